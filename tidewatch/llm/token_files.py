@@ -128,18 +128,36 @@ _SAFE = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that byte-level pre-tokenizers write for bytes: printable ones for themselves, the rest from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def _lowered(text: bytes) -> bytes:
+    """A-Z in lower case, unless a combining mark could join a letter first or a special token could stand in the text."""
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 class WordCoder:
     """Ids of texts by a tokenizer file, through a bounded store of words and their pre-tokens."""
 
     _kept: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.words, self.pieces = most, {}, {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.names = [np.array([k], self.kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
+        # two generations of each store: what is still in use moves on from the older one
+        self.most, self.words, self.pieces, self.old_words, self.old_pieces = most, {}, {}, {}, {}
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -148,28 +166,47 @@ class WordCoder:
         return cls._kept[path]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast form leaves out offsets
+        return [np.array(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token that normalisation leaves as it is goes to the tokenizer's model at once, as byte-level characters."""
+        tokens = self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS))
+        return b"".join([self.names[t.id] for t in tokens])
 
     def _learn(self, words: set[bytes]) -> None:
-        plain: dict[bytes, list[str]] = {}
+        for w in words & self.old_words.keys():
+            self.words[w] = self.old_words[w]
+        fresh = list(words - self.words.keys())
+        single: list[tuple[bytes, str]] = []
+        several: list[tuple[bytes, list[str]]] = []
         direct: list[bytes] = []
-        for w in words:
-            text = w.decode()
-            if _SAFE.fullmatch(text) and "<|" not in text:
-                plain[w] = _PRE.findall(text.lower())
-            else:
+        for w, text in zip(fresh, b"\n".join(fresh).decode().lower().split("\n")):
+            if not (w.isascii() and text.isprintable() or _SAFE.fullmatch(w.decode())) or b"<|" in w:
                 direct.append(w)
-        fresh = list({p for own in plain.values() for p in own} - self.pieces.keys())
-        self.pieces.update(zip(fresh, self._library(fresh)))
-        for w, own in plain.items():
-            self.words[w] = self.pieces[own[0]] if len(own) == 1 else b"".join([self.pieces[p] for p in own])
+            elif text.isalpha():
+                single.append((w, text))
+            elif text[:-1].isalpha() and text[-1] in ".,;:!?":
+                several.append((w, [text[:-1], text[-1]]))
+            else:
+                several.append((w, _PRE.findall(text)))
+        pieces = {p for _, p in single}.union(*(own for _, own in several))
+        for p in pieces & self.old_pieces.keys():
+            self.pieces[p] = self.old_pieces[p]
+        for p in pieces - self.pieces.keys():
+            self.pieces[p] = self._piece(p)
+        get = self.pieces.__getitem__
+        self.words.update([(w, get(p)) for w, p in single])
+        self.words.update([(w, b"".join(map(get, own))) for w, own in several])
         self.words.update(zip(direct, self._library([w.decode() for w in direct])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        if len(self.words) > self.most or len(self.pieces) > self.most:
-            self.words, self.pieces = {}, {}
-        split = [(t or b"").split() for t in texts]
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > self.most:
+            self.pieces, self.old_pieces = {}, self.pieces
+        split = [_lowered(t or b"").split() for t in texts]
         self._learn(set().union(*split) - self.words.keys())
         get = self.words.__getitem__
         return [b"".join(map(get, own)) for own in split]
