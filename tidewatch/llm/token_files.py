@@ -21,6 +21,7 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -174,10 +175,10 @@ class WordCoder:
         tokens = self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS))
         return b"".join([self.names[t.id] for t in tokens])
 
-    def _learn(self, words: set[bytes]) -> None:
-        for w in words & self.old_words.keys():
-            self.words[w] = self.old_words[w]
-        fresh = list(words - self.words.keys())
+    def _learn(self, words: list[bytes]) -> None:
+        # filters look words up; an operation on sets and key views would walk the whole store
+        self.words.update([(w, self.old_words[w]) for w in words if w in self.old_words])
+        fresh = list(filterfalse(self.words.__contains__, words))
         single: list[tuple[bytes, str]] = []
         several: list[tuple[bytes, list[str]]] = []
         direct: list[bytes] = []
@@ -191,9 +192,8 @@ class WordCoder:
             else:
                 several.append((w, _PRE.findall(text)))
         pieces = {p for _, p in single}.union(*(own for _, own in several))
-        for p in pieces & self.old_pieces.keys():
-            self.pieces[p] = self.old_pieces[p]
-        for p in pieces - self.pieces.keys():
+        self.pieces.update([(p, self.old_pieces[p]) for p in pieces if p in self.old_pieces])
+        for p in filterfalse(self.pieces.__contains__, pieces):
             self.pieces[p] = self._piece(p)
         get = self.pieces.__getitem__
         self.words.update([(w, get(p)) for w, p in single])
@@ -207,7 +207,7 @@ class WordCoder:
         if len(self.pieces) > self.most:
             self.pieces, self.old_pieces = {}, self.pieces
         split = [_lowered(t or b"").split() for t in texts]
-        self._learn(set().union(*split) - self.words.keys())
+        self._learn(list(filterfalse(self.words.__contains__, set().union(*split))))
         get = self.words.__getitem__
         return [b"".join(map(get, own)) for own in split]
 
