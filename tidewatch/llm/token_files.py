@@ -21,7 +21,6 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes
 
 SCALE, LOW = 20, 31
-LANES, INTERVAL, BLOCK_IDS = 1024, 256, 1 << 20
+LANES, INTERVAL, BLOCK_IDS = 4096, 128, 1 << 20
 _HEAD = struct.Struct("<4sQIIQIII")
 _MAGIC = b"TKR1"
 
@@ -144,12 +143,39 @@ def _lowered(text: bytes) -> bytes:
     return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
 
 
+class _Words(dict):
+    """Ids of words as bytes; a missing word is encoded when it is met. What is still in use moves on from the older generation."""
+
+    def __init__(self, coder: WordCoder, old: dict | None = None) -> None:
+        super().__init__()
+        self.coder, self.old = coder, old or {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            text = word.decode()
+            if b"<|" in word or not (word.isascii() and text.isprintable() or _SAFE.fullmatch(text)):
+                out = self.coder.library(text)
+            elif text.isalpha():
+                out = self.coder.piece(text.lower())
+            elif word[-1:] in _ENDS and text[:-1].isalpha():
+                out = self[word[:-1]] + self[word[-1:]]
+            else:
+                pieces = _PRE.findall(text.lower())
+                out = self.coder.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+        self[word] = out
+        return out
+
+
+_ENDS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+
+
 class WordCoder:
-    """Ids of texts by a tokenizer file, through a bounded store of words and their pre-tokens."""
+    """Ids of texts by a tokenizer file, through a bounded store of words."""
 
     _kept: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,8 +183,7 @@ class WordCoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.tokenize = self.tokenizer.model.tokenize
         self.names = [np.array([k], self.kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
-        # two generations of each store: what is still in use moves on from the older one
-        self.most, self.words, self.pieces, self.old_words, self.old_pieces = most, {}, {}, {}, {}
+        self.most, self.words = most, _Words(self)
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -166,50 +191,22 @@ class WordCoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the fast form leaves out offsets
-        return [np.array(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         """A pre-token that normalisation leaves as it is goes to the tokenizer's model at once, as byte-level characters."""
         tokens = self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS))
-        return b"".join([self.names[t.id] for t in tokens])
-
-    def _learn(self, words: list[bytes]) -> None:
-        # filters look words up; an operation on sets and key views would walk the whole store
-        self.words.update([(w, self.old_words[w]) for w in words if w in self.old_words])
-        fresh = list(filterfalse(self.words.__contains__, words))
-        single: list[tuple[bytes, str]] = []
-        several: list[tuple[bytes, list[str]]] = []
-        direct: list[bytes] = []
-        for w, text in zip(fresh, b"\n".join(fresh).decode().lower().split("\n")):
-            if not (w.isascii() and text.isprintable() or _SAFE.fullmatch(w.decode())) or b"<|" in w:
-                direct.append(w)
-            elif text.isalpha():
-                single.append((w, text))
-            elif text[:-1].isalpha() and text[-1] in ".,;:!?":
-                several.append((w, [text[:-1], text[-1]]))
-            else:
-                several.append((w, _PRE.findall(text)))
-        pieces = {p for _, p in single}.union(*(own for _, own in several))
-        self.pieces.update([(p, self.old_pieces[p]) for p in pieces if p in self.old_pieces])
-        for p in filterfalse(self.pieces.__contains__, pieces):
-            self.pieces[p] = self._piece(p)
-        get = self.pieces.__getitem__
-        self.words.update([(w, get(p)) for w, p in single])
-        self.words.update([(w, b"".join(map(get, own))) for w, own in several])
-        self.words.update(zip(direct, self._library([w.decode() for w in direct])))
+        names = self.names
+        return names[tokens[0].id] if len(tokens) == 1 else b"".join([names[t.id] for t in tokens])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         if len(self.words) > self.most:
-            self.words, self.old_words = {}, self.words
-        if len(self.pieces) > self.most:
-            self.pieces, self.old_pieces = {}, self.pieces
-        split = [_lowered(t or b"").split() for t in texts]
-        self._learn(list(filterfalse(self.words.__contains__, set().union(*split))))
+            self.words.old = {}
+            self.words = _Words(self, self.words)
         get = self.words.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        return [b"".join(map(get, _lowered(t or b"").split())) for t in texts]
 
 
 _IDS = "bucket int, doc_id long, ids binary"
@@ -225,8 +222,8 @@ def token_ids(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         coder = WordCoder.of(tokenizer)
         end = np.array([end_id], coder.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 ids = [x + end for x in coder.encode([c.as_py() for c in part.column("text")])]
                 buckets = [-1 if d is None else bisect_left(bounds, d) for d in part.column("doc_id").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
