@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_utc(rows: DataFrame, column: str = "ts") -> DataFrame:
+    """A time column without zone read as UTC, whatever the session's zone is; one with a zone stays."""
+    if dict(rows.dtypes)[column] != "timestamp_ntz":
+        return rows
+    return rows.withColumn(column, F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")))
+
+
 def floor_ts(ts: Column, step: int) -> Column:
     """The start of the step (seconds) that holds ts."""
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / step) * step)
@@ -14,7 +21,7 @@ def floor_ts(ts: Column, step: int) -> Column:
 def ticks(events: DataFrame, groups: int | None = None) -> DataFrame:
     """Event rows as ticks: symbol, ts, price. With `groups`, users are dealt into that many symbols for each type."""
     symbol = F.col("event_type") if groups is None else F.concat_ws("_", "event_type", F.pmod("user_id", F.lit(groups)).cast("string"))
-    return events.where("ts IS NOT NULL AND value IS NOT NULL").select(symbol.alias("symbol"), "ts", F.col("value").alias("price"))
+    return with_utc(events).where("ts IS NOT NULL AND value IS NOT NULL").select(symbol.alias("symbol"), "ts", F.col("value").alias("price"))
 
 
 def from_ticks(rows: DataFrame, step: int) -> DataFrame:
