@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.features import BY_SYMBOL, returns, rows
+from tidewatch.operators.features import by_symbol, returns, rows
 
 FAMILIES = ("E01", "E02", "E03", "E04", "E05", "E06", "E07", "E08")
 
@@ -15,7 +15,7 @@ def families(bars: DataFrame, benchmark: str, *, short: int = 4, long: int = 25,
     low20, high20 = F.min("low").over(rows(-20, -1)), F.max("high").over(rows(-20, -1))
     median = F.percentile("amount", F.lit(0.5)).over(rows(-40, -1))
     ret = returns(short)
-    base = bars.withColumns({"low20": low20, "high20": high20, "median_amount": median, "ret_short": ret, "amount_short": F.sum("amount").over(rows(1 - short, 0)), "mean12": F.avg("close").over(rows(-12, -1)), "high16": F.max("high").over(rows(-16, -1)), "low16": F.min("low").over(rows(-16, -1)), "before": F.lag("close", 1).over(BY_SYMBOL), "run_up": (F.lag("close", 1).over(BY_SYMBOL) / F.lag("close", long).over(BY_SYMBOL) - 1) * 100, "ready": F.count("close").over(rows(-ready, -1)) == ready})
+    base = bars.withColumns({"low20": low20, "high20": high20, "median_amount": median, "ret_short": ret, "amount_short": F.sum("amount").over(rows(1 - short, 0)), "mean12": F.avg("close").over(rows(-12, -1)), "high16": F.max("high").over(rows(-16, -1)), "low16": F.min("low").over(rows(-16, -1)), "before": F.lag("close", 1).over(by_symbol()), "run_up": (F.lag("close", 1).over(by_symbol()) / F.lag("close", long).over(by_symbol()) - 1) * 100, "ready": F.count("close").over(rows(-ready, -1)) == ready})
     broke = F.col("close") < support_slack * F.col("low20")
     base = base.withColumns({"broke": broke, "support": F.last(F.when(broke, F.col("low20")), ignorenulls=True).over(rows(-9, -1)), "recent_break": F.max(broke).over(rows(-8, -1))})
     bench = base.where(F.col("symbol") == benchmark).select("ts", F.col("ret_short").alias("bench_ret"))
@@ -37,7 +37,7 @@ def families(bars: DataFrame, benchmark: str, *, short: int = 4, long: int = 25,
 
 def failed_breakouts(bars: DataFrame, *, back: int = 48, rise: float = 8.0, sweep: float = 0.25, wick: float = 0.35, turnover: float = 0.0, day: int = 24) -> DataFrame:
     """Features and the flag of a failed breakout: a strong rise, a high above the earlier ones, a bearish close back below with a long wick."""
-    change = F.log(F.col("close") / F.lag("close").over(BY_SYMBOL))
+    change = F.log(F.col("close") / F.lag("close").over(by_symbol()))
     out = bars.withColumns({"ret_day": returns(day), "prev_high": F.max("high").over(rows(-back, -1)), "turnover": F.sum("amount").over(rows(1 - day, 0)), "_change": change, "_back": F.count("high").over(rows(-back, -1))})
     out = out.withColumns({"volatility": F.stddev_pop("_change").over(rows(1 - day, 0)) * F.sqrt(F.lit(float(day))) * 100, "sweep": (F.col("high") / F.col("prev_high") - 1) * 100, "wick": (F.col("high") - F.greatest("open", "close")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))})
     flag = (F.col("_back") == back) & (F.col("ret_day") >= rise) & (F.col("sweep") >= sweep) & (F.col("close") < F.col("prev_high")) & (F.col("close") < F.col("open")) & (F.col("wick") >= wick) & (F.col("turnover") >= turnover)
@@ -47,8 +47,8 @@ def failed_breakouts(bars: DataFrame, *, back: int = 48, rise: float = 8.0, swee
 def exhaustion(bars: DataFrame, benchmark: str, step: int, *, rise: float = 10.0, fall: float = -2.0, relative: float = -3.0) -> DataFrame:
     """Exhaustion over 25 contiguous bars: a rise of the first 18, a fall of the last 6, also against the benchmark."""
     t = F.unix_seconds("ts")
-    whole = F.lag(t, 24).over(BY_SYMBOL) == t - 24 * step
-    out = bars.withColumns({"prior18": (F.lag("close", 6).over(BY_SYMBOL) / F.lag("close", 24).over(BY_SYMBOL) - 1) * 100, "last6": returns(6), "whole": F.coalesce(whole, F.lit(False))})
+    whole = F.lag(t, 24).over(by_symbol()) == t - 24 * step
+    out = bars.withColumns({"prior18": (F.lag("close", 6).over(by_symbol()) / F.lag("close", 24).over(by_symbol()) - 1) * 100, "last6": returns(6), "whole": F.coalesce(whole, F.lit(False))})
     bench = out.where(F.col("symbol") == benchmark).select("ts", F.col("last6").alias("bench_last6"))
     joined = out.join(bench, "ts", "left").withColumn("relative6", F.col("last6") - F.col("bench_last6"))
     return joined.withColumn("is_event", F.coalesce(F.col("whole") & (F.col("prior18") >= rise) & (F.col("last6") <= fall) & (F.col("relative6") <= relative), F.lit(False)))

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("ts")
-BY_TIME = Window.partitionBy("ts")
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("ts")
 
 
 def rows(lo: int, hi: int) -> WindowSpec:
-    return BY_SYMBOL.rowsBetween(lo, hi)
+    return by_symbol().rowsBetween(lo, hi)
 
 
 def returns(n: int, price: str = "close") -> Column:
     """Percent change over n bars; null while history is short."""
-    return (F.col(price) / F.lag(price, n).over(BY_SYMBOL) - 1) * 100
+    return (F.col(price) / F.lag(price, n).over(by_symbol()) - 1) * 100
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_SYMBOL)
+    before = F.lag("close").over(by_symbol())
     return F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - before), F.lit(0.0)), F.coalesce(F.abs(F.col("low") - before), F.lit(0.0)))
 
 
@@ -75,7 +79,7 @@ def swings() -> dict[str, Column]:
 def with_swings(bars: DataFrame) -> DataFrame:
     """swing_high and swing_low: the price of the swing that this bar confirms, two bars after it."""
     marked = bars.withColumns(swings())
-    known = lambda flag, price: F.when(F.lag(flag, 2).over(BY_SYMBOL), F.lag(price, 2).over(BY_SYMBOL))
+    known = lambda flag, price: F.when(F.lag(flag, 2).over(by_symbol()), F.lag(price, 2).over(by_symbol()))
     return marked.withColumns({"swing_high": known("_swing_high", "high"), "swing_low": known("_swing_low", "low")}).drop("_swing_high", "_swing_low")
 
 
@@ -85,7 +89,7 @@ def with_strict_pivots(bars: DataFrame) -> DataFrame:
     high = (F.col("high") > F.max("high").over(rows(-2, -1))) & (F.col("high") >= F.max("high").over(rows(1, 2)))
     whole = (F.count("low").over(rows(-2, -1)) == 2) & (F.count("low").over(rows(1, 2)) == 2)
     marked = bars.withColumns({"_low": whole & low, "_high": whole & high})
-    known = lambda flag, price: F.when(F.lag(flag, 2).over(BY_SYMBOL), F.lag(price, 2).over(BY_SYMBOL))
+    known = lambda flag, price: F.when(F.lag(flag, 2).over(by_symbol()), F.lag(price, 2).over(by_symbol()))
     return marked.withColumns({"pivot_low": known("_low", "low"), "pivot_high": known("_high", "high")}).drop("_low", "_high")
 
 
@@ -106,7 +110,7 @@ def with_sweep(bars: DataFrame, n: int = 20, keep: int = 8, over: float = 1.001)
     """The newest liquidity sweep of the last `keep` bars: high above the n bars before and close back below."""
     level = F.max("high").over(rows(-n, -1))
     hit = (F.count("high").over(rows(-n, -1)) == n) & (F.col("high") > level * over) & (F.col("close") < level)
-    numbered = bars.withColumns({"_rn": F.row_number().over(BY_SYMBOL), "_hit": F.when(hit, F.struct(F.row_number().over(BY_SYMBOL).alias("rn"), level.alias("level")))})
+    numbered = bars.withColumns({"_rn": F.row_number().over(by_symbol()), "_hit": F.when(hit, F.struct(F.row_number().over(by_symbol()).alias("rn"), level.alias("level")))})
     newest = F.last("_hit", ignorenulls=True).over(rows(1 - keep, 0))
     return numbered.withColumn("_newest", newest).withColumns({"sweep_level": F.col("_newest.level"), "sweep_bars_ago": (F.col("_rn") - F.col("_newest.rn")).cast("long")}).drop("_rn", "_hit", "_newest")
 
@@ -122,14 +126,14 @@ def with_runs(bars: DataFrame, condition: Column, name: str = "run") -> DataFram
 def touch_episodes(bars: DataFrame, lower: Column, upper: Column) -> DataFrame:
     """How often each symbol enters the zone: runs of bars that overlap it."""
     touched = bars.select("symbol", "ts", ((F.col("high") >= lower) & (F.col("low") <= upper)).alias("touched"))
-    entered = touched.withColumn("entered", F.col("touched") & ~F.coalesce(F.lag("touched").over(BY_SYMBOL), F.lit(False)))
+    entered = touched.withColumn("entered", F.col("touched") & ~F.coalesce(F.lag("touched").over(by_symbol()), F.lit(False)))
     return entered.groupBy("symbol").agg(F.count_if("entered").alias("episodes"), F.count_if("touched").alias("bars"))
 
 
 def cross_section(features: DataFrame, column: str) -> DataFrame:
     """Rank, rank share and weakness (1 for the lowest) among the symbols of each timestamp; ties by symbol."""
-    order = BY_TIME.orderBy(F.col(column).desc_nulls_last(), "symbol")
-    n = F.count("*").over(BY_TIME)
+    order = by_time().orderBy(F.col(column).desc_nulls_last(), "symbol")
+    n = F.count("*").over(by_time())
     rank = (F.row_number().over(order) - 1).cast("long")
     return features.withColumns({"rank": rank, "rank_share": rank / n, "weakness": rank / F.greatest(n - 1, F.lit(1))})
 

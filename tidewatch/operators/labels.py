@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.features import BY_SYMBOL, rows
+from tidewatch.operators.features import by_symbol, rows
 from tidewatch.operators.matching import forward_bars
 
 
 def horizon_labels(bars: DataFrame, step: int, horizons: tuple[int, ...]) -> DataFrame:
     """Entry at the next open; return, best and worst move within h bars, null where a bar is missing."""
-    t, entry = F.unix_seconds("ts"), F.lead("open", 1).over(BY_SYMBOL)
+    t, entry = F.unix_seconds("ts"), F.lead("open", 1).over(by_symbol())
     out = {"entry": entry}
     for h in horizons:
-        whole = F.lead(t, h).over(BY_SYMBOL) == t + h * step
+        whole = F.lead(t, h).over(by_symbol()) == t + h * step
         ahead = rows(1, h)
-        out |= {f"short_{h}": F.when(whole, (entry - F.lead("close", h).over(BY_SYMBOL)) / entry * 100), f"mfe_{h}": F.when(whole, (entry - F.min("low").over(ahead)) / entry * 100), f"mae_{h}": F.when(whole, (F.max("high").over(ahead) - entry) / entry * 100)}
+        out |= {f"short_{h}": F.when(whole, (entry - F.lead("close", h).over(by_symbol())) / entry * 100), f"mfe_{h}": F.when(whole, (entry - F.min("low").over(ahead)) / entry * 100), f"mae_{h}": F.when(whole, (F.max("high").over(ahead) - entry) / entry * 100)}
     return bars.withColumns(out)
 
 

@@ -190,7 +190,7 @@ _MATCH = DAILY + f", f AS (SELECT symbol, t, (close / lag(close) OVER ({W_}) - 1
 
 
 def _matches(spark, d):
-    f = bars(spark, d, DAY, 8).withColumns({"ret": W.returns(1), "outcome": (F.lead("open").over(W.BY_SYMBOL) - F.lead("close", 2).over(W.BY_SYMBOL)) / F.lead("open").over(W.BY_SYMBOL) * 100}).select("symbol", "ts", "ret", "amount", "outcome")
+    f = bars(spark, d, DAY, 8).withColumns({"ret": W.returns(1), "outcome": (F.lead("open").over(W.by_symbol()) - F.lead("close", 2).over(W.by_symbol())) / F.lead("open").over(W.by_symbol()) * 100}).select("symbol", "ts", "ret", "amount", "outcome")
     distance = F.abs(F.col("c_ret") - F.col("p_ret")) / 6 + 0.35 * F.abs(F.log(F.col("c_amount") / F.col("p_amount")))
     return J.matched_controls(f.where("ret <= -60"), f.where("ret > -60"), {"ret": 40.0}, distance)
 
