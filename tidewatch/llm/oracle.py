@@ -1,3 +1,46 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT n FROM p),
+u AS (SELECT rid, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i, len(w) AS m FROM d),
+x AS (SELECT rid, n, i, string_agg(v, ' ') OVER (PARTITION BY rid, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS k, m FROM u, s WHERE m >= n),
+h AS (SELECT rid, i, n, item FROM x JOIN p USING (n, k) WHERE i + n - 1 <= m),
+c AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS at FROM h) GROUP BY 1),
+t AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_SPACE = "[\\x20\\x09-\\x0D]"
+_STOCK = "all rights reserved|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|this site uses cookies|subscribe to our|sign up for our|enable javascript|click here to|skip to (?:main )?content|lorem ipsum|powered by|back to top|share on (?:facebook|twitter)"
+
+_QUALITY_RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, unnest(ws) AS v, unnest(range(len(ws))) AS i FROM (SELECT rid, {_WORDS.format("text")} AS ws FROM d)),
+g AS (SELECT *, CASE WHEN lead(v, 2) OVER o IS NOT NULL THEN v || ' ' || lead(v) OVER o || ' ' || lead(v, 2) OVER o END AS win FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+f AS (SELECT *, win IS NOT NULL AND count(*) OVER (PARTITION BY rid, win) > 1 AS twice FROM g),
+h AS (SELECT rid, length(v) AS chars, bool_or(twice) OVER (PARTITION BY rid ORDER BY i ROWS 2 PRECEDING) AS hit FROM f),
+c AS (SELECT rid, count(*) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars, count(*) FILTER (hit) AS n_repeat_words FROM h GROUP BY 1),
+l AS (SELECT rid, line, array_to_string({_WORDS.format("line")}, '') AS joined, len({_WORDS.format("line")}) AS m, row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS again
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d)),
+j AS (SELECT rid, again, length(joined) AS chars, again
+  OR NOT regexp_matches(joined, '[A-Za-z]|[^\\x00-\\x7F]')
+  OR 10 * (length(joined) - length(translate(joined, '#*$%&|<>{{}}~^=_\\', ''))) > strlen(joined)
+  OR len(regexp_extract_all(line, '{_SPACE}(?:\\||/|»|›|·|>){_SPACE}')) >= 3
+  OR (m >= 4 AND 2 * (length(line) - length(replace(line, '!', ''))) > m)
+  OR (m >= 8 AND NOT regexp_matches(joined, '[a-z]') AND regexp_matches(joined, '[A-Z]'))
+  OR regexp_matches(line, '(?i)\\b(?:{_STOCK})\\b') AS bad FROM l WHERE m > 0),
+k AS (SELECT rid, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (bad), 0) AS lost FROM j GROUP BY 1),
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= CAST(0.3 AS DOUBLE) * word_chars AS kept FROM a
+"""
+
+ORACLES: dict[str, str] = {"op7_decontamination": _DECONTAMINATION, "op9_quality_rules": _QUALITY_RULES}
