@@ -93,3 +93,31 @@ def test_slot_health_counts_missed_and_late(spark):
     made = [("a", T0 + dt.timedelta(hours=h)) for h in (0, 0.2, 1.9, 3)]
     r = cohorts.slot_health(spark.createDataFrame(made, "symbol string, ts timestamp"), ["symbol"], HOUR, 1800, 0.5).first()
     assert (r.expected, r.present, r.missed, r.late, r.duplicates, r.healthy) == (4, 3, 1, 1, 1, True)
+
+
+def test_three_stages(spark):
+    def run(*later):
+        b = frame(spark, [(100, 100, 100, 100), *later])
+        r = sequences.three_stages(signal(b), b, 86_400).first()
+        return r.stages, r.state, None if r.gross_r is None else round(r.gross_r, 9)
+
+    assert run((100, 101.5, 95, 100)) == (0, "STOP", -1.0)  # the stop goes first in one bar
+    assert run((100, 100, 98.9, 99), (99, 100.2, 98.5, 100)) == (1, "BREAK_EVEN", 0.4)
+    assert run((100, 100, 97.9, 98), (98, 99.2, 97.5, 98)) == (2, "TRAILED", 1.3)
+    assert run((100, 100, 95, 96)) == (3, "RUNNER", 2.2)
+    assert run() == (None, "UNRESOLVED", None)
+
+
+def test_fill_then_barrier_starts_after_the_fill(spark):
+    b = frame(spark, [(100, 100, 100, 100), (100, 103, 90, 100), (100, 101, 100, 100), (100, 100, 95, 96)])
+    s = signal(b, stop=104.0).withColumn("limit_price", F.lit(102.0))
+    r = sequences.fill_then_barrier(s, b, 2 * HOUR, 86_400).first()
+    assert (r.state, r.gross_r, r.target_t - r.fill_t) == ("TARGET", 2.0, 2 * HOUR)
+    assert sequences.fill_then_barrier(s.withColumn("limit_price", F.lit(103.5)), b, 2 * HOUR, 86_400).first().state == "NO_FILL"
+
+
+def test_plan_ladder_without_atr(spark):
+    plan = sequences.plan_ladder(F.col("e"), F.col("a"), F.col("atr"), F.col("s"))
+    rows = spark.createDataFrame([(100.0, 101.0, None, 90.0), (100.0, 101.0, 2.0, None)], "e double, a double, atr double, s double").withColumns(plan).orderBy("atr").collect()
+    assert (rows[0].plan_stop, rows[0].risk_ok) == (None, False)
+    assert (rows[1].plan_stop, rows[1].room_r, rows[1].tp1, rows[1].risk_ok) == (102.0, 5.0, 96.0, True)

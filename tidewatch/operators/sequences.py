@@ -139,3 +139,69 @@ def plan_reason(entry: Column, stop: Column, atr: Column, *, max_stop_pct: float
     risk = stop - entry
     bad = entry.isNull() | stop.isNull() | atr.isNull() | (entry <= 0) | (risk <= 0) | (atr <= 0)
     return F.when(bad, "INVALID_PLAN").when(100 * risk / entry > max_stop_pct, "SKIP_STOP_PCT").when(risk / atr > max_risk_atr, "SKIP_RISK_TOO_WIDE").when(cost_bps / 1e4 * entry / risk > max_cost_r, "SKIP_COST_R")
+
+
+def fill_then_barrier(signals: DataFrame, bars: DataFrame, wait: int, horizon: int, limit: str = "limit_price", reward: float = 2.0) -> DataFrame:
+    """A short's limit order that must fill within `wait` seconds, then its stop or target within `horizon` seconds after the bar that filled it. All signals stay."""
+    own = Window.partitionBy(*_KEYS)
+    price, risk = F.col(limit), F.col("stop") - F.col(limit)
+    due = (F.col("bar_high") >= price) & (_t() - F.unix_seconds("ts") <= wait)
+    joined = forward_bars(signals.where(risk > 0), bars, wait + horizon).withColumn("fill_t", F.min(F.when(due, _t())).over(own))
+    held = joined.where((_t() >= F.col("fill_t")) & (_t() <= F.col("fill_t") + horizon))
+    later = _t() > F.col("fill_t")
+    hits = held.groupBy(*_KEYS).agg(F.first("fill_t").alias("fill_t"), F.min(F.when(later & (F.col("bar_high") >= F.col("stop")), _t())).alias("stop_t"), F.min(F.when(later & (F.col("bar_low") <= price - reward * risk), _t())).alias("target_t"), F.max_by("bar_close", _t()).alias("_last"))
+    out = signals.join(hits, _KEYS, "left")
+    state = F.when(risk <= 0, "INVALID_RISK").when(F.col("fill_t").isNull(), "NO_FILL").when(_before("stop_t", "target_t"), "STOP").when(F.col("target_t").isNotNull(), "TARGET").otherwise("TIME")
+    gross = F.when(state == "STOP", F.lit(-1.0)).when(state == "TARGET", F.lit(reward)).when(state == "TIME", (price - F.col("_last")) / risk)
+    return out.withColumns({"state": state, "gross_r": gross}).drop("_last")
+
+
+def three_stages(signals: DataFrame, bars: DataFrame, horizon: int, *, targets: tuple[float, float, float] = (1.0, 2.0, 4.0), weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """Three legs of a short. After the first target the rest leaves at the entry, after the second at the first target, each from the next bar on; what is left at the end leaves at the last close.
+
+    stages: how many targets were reached; state: how the last leg ended. Three chained first-hit times over one partitioning by signal.
+    """
+    own = Window.partitionBy(*_KEYS)
+    risk = F.col("stop") - F.col("entry")
+    level = lambda k: F.col("entry") - targets[k] * risk
+    low = lambda k: F.col("bar_low") <= level(k)
+    first = lambda c: F.min(F.when(c, _t())).over(own)
+    joined = forward_bars(signals.where(risk > 0), bars, horizon).withColumns({"_s": first(F.col("bar_high") >= F.col("stop")), "_1": first(low(0)), "_2": first(low(1)), "_3": first(low(2))})
+    one = joined.withColumn("_be", first((_t() > F.col("_1")) & (F.col("bar_high") >= F.col("entry")))).withColumn("_trail", first((_t() > F.col("_2")) & (F.col("bar_high") >= level(0))))
+    hits = one.groupBy(*_KEYS).agg(*(F.first(c).alias(c) for c in ("_s", "_1", "_2", "_3", "_be", "_trail")), F.max_by("bar_close", _t()).alias("_last"))
+    out = signals.join(hits, _KEYS, "left")
+    sooner = lambda a, b: F.col(a).isNotNull() & (F.col(a) < F.coalesce(b, F.lit(_NEVER)))
+    s1 = sooner("_1", "_s")
+    s2 = s1 & sooner("_2", "_be")
+    s3 = s2 & sooner("_3", "_trail")
+    stages = F.when(F.col("_last").isNull(), F.lit(None)).when(s3, 3).when(s2, 2).when(s1, 1).otherwise(0).cast("long")
+    n, at_end = F.col("stages"), (F.col("entry") - F.col("_last")) / risk
+    state = (
+        F.when(n.isNull(), "UNRESOLVED").when((n == 0) & F.col("_s").isNotNull(), "STOP").when((n == 1) & F.col("_be").isNotNull(), "BREAK_EVEN").when((n == 2) & F.col("_trail").isNotNull(), "TRAILED").when(n == 3, "RUNNER").otherwise("TIME")
+    )
+    a, b, c = weights
+    r1, r2, r3 = targets
+    rest = F.when(n == 0, 1.0).when(n == 1, b + c).when(n == 2, c).otherwise(0.0)
+    banked = F.when(n == 0, 0.0).when(n == 1, a * r1).when(n == 2, a * r1 + b * r2).when(n == 3, a * r1 + b * r2 + c * r3)
+    leaves = F.when(F.col("state") == "STOP", -1.0).when(F.col("state") == "BREAK_EVEN", 0.0).when(F.col("state") == "TRAILED", r1).when(F.col("state") == "RUNNER", 0.0).otherwise(at_end)
+    return out.withColumn("stages", stages).withColumn("state", state).withColumn("gross_r", banked + rest * leaves).drop("_s", "_1", "_2", "_3", "_be", "_trail", "_last")
+
+
+def level_freshness(levels: DataFrame, bars: DataFrame, step: int, age: int, max_touches: int) -> DataFrame:
+    """Levels (symbol, ts, lower, upper; one for each symbol and ts) `age` seconds later: closed through, entered too often, or FRESH. The last bar may be the retest itself, so it counts as no touch."""
+    order = Window.partitionBy(*_KEYS).orderBy("bar_ts")
+    touch = (F.col("bar_high") >= F.col("lower")) & (F.col("bar_low") <= F.col("upper"))
+    joined = forward_bars(levels, bars, age).withColumns({"_touch": touch, "_more": F.lead("bar_ts").over(order).isNotNull()}).withColumn("_enter", F.col("_touch") & ~F.coalesce(F.lag("_touch").over(order), F.lit(False)))
+    seen = joined.groupBy(*_KEYS).agg(F.count("*").alias("age_bars"), F.count_if(F.col("_enter") & F.col("_more")).alias("touches"), F.min(F.when(F.col("bar_close") > F.col("upper"), _t())).alias("broken_t"))
+    out = levels.join(seen, _KEYS, "left").fillna(0, ["age_bars", "touches"])
+    return out.withColumn("freshness", F.when(F.col("broken_t").isNotNull(), "INVALIDATED_CLOSE_ABOVE").when(F.col("touches") > max_touches, "TOO_MANY_PRIOR_TOUCHES").otherwise("FRESH"))
+
+
+def plan_ladder(entry: Column, anchor: Column, atr: Column, support: Column, *, buffer: float = 0.1, floor_atr: float = 1.0, targets: tuple[float, ...] = (2.0, 3.0, 5.0), cost_bps: float = 14.0, max_stop_pct: float = 6.0, min_room: float = 1.5, max_cost_r: float = 0.25) -> dict[str, Column]:
+    """Stop above the anchor with a floor in ATR, targets in risks, room to the support (5 where none lies below), cost in risks and whether the plan holds."""
+    risk = F.greatest(anchor + buffer * atr - entry, floor_atr * atr)
+    ok = F.when(atr > 0, risk)
+    room = F.when(support < entry, (entry - support) / ok).otherwise(F.when(ok.isNotNull(), 5.0))
+    cost = entry * cost_bps / 1e4 / ok
+    held = (100 * ok / entry <= max_stop_pct) & (room >= min_room) & (cost <= max_cost_r)
+    return {"plan_stop": entry + ok, "plan_risk": ok, "room_r": room, "plan_cost_r": cost, "risk_ok": F.coalesce(held, F.lit(False))} | {f"tp{k}": entry - r * ok for k, r in enumerate(targets, 1)}

@@ -125,3 +125,16 @@ def reclaim_after(signals: DataFrame, bars: DataFrame, horizon: int, level: str,
     over = F.sum((F.col("bar_close") > F.col(level)).cast("int")).over(order.rowsBetween(1 - confirm, 0)) == confirm
     flagged = forward_bars(signals, bars, horizon).withColumn("_over", over)
     return flagged.groupBy("symbol", "ts").agg(F.min(F.when(F.col("_over"), F.unix_seconds("bar_ts"))).alias("reclaim_t"), F.max(F.greatest(F.lit(0.0), F.col("bar_close") - F.col(level))).alias("highest_above"))
+
+
+def micro_trigger(ema20: Column, lower_high: Column, lower_low: Column, rejection: Column) -> Column:
+    """Points (20 at most) of a short trigger on small bars: side of the mean, falling swings, a failed reclaim of the mean, a rejection, a break of the 8 lows and a sweep of the 12 highs before. Columns must exist on the bars."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    below = F.col("close") < ema20
+    near = F.max((F.col("high") >= ema20 * 0.995).cast("int")).over(rows(-4, 0)) == 1
+    rejected = F.max(rejection.cast("int")).over(rows(-3, 0)) == 1
+    broke = F.col("close") < F.min("low").over(rows(-8, -1))
+    top = F.max("high").over(rows(-12, -1))
+    parts = [(4, below), (5, lower_high), (4, lower_low), (5, below & near), (3, rejected), (2, broke), (2, (F.col("high") > top * 1.0005) & (F.col("close") < top))]
+    points = [F.when(yes(c), p).otherwise(0) for p, c in parts]
+    return F.least(sum(points[1:], points[0]), F.lit(20)).cast("long")

@@ -111,3 +111,10 @@ def m2_boosted_heads(spark, d):
 @query()
 def m9_importance(spark, d):
     return M.importance(spark.createDataFrame(_scored(spark, d, "logistic")[1], "fold int, label string, feature string, weight double"))
+
+
+@query(BARS + f", l AS (SELECT *, list(close) OVER ({W_} ROWS 179 PRECEDING) AS v FROM bars), e AS (SELECT *, list_reduce(v, lambda s, x: x * (2.0 / 21) + s * (1 - 2.0 / 21)) AS ema, max(high) OVER ({W_} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS top FROM l), f AS (SELECT symbol, t, close < ema AS c1, high < lag(high) OVER ({W_}) AS c2, low < lag(low) OVER ({W_}) AS c3, max(CASE WHEN high >= ema * 0.995 THEN 1 ELSE 0 END) OVER ({W_} ROWS 4 PRECEDING) = 1 AND close < ema AS c4, max(CASE WHEN (high - greatest(open, close)) / greatest(high - low, 1e-12) >= 0.3 THEN 1 ELSE 0 END) OVER ({W_} ROWS 3 PRECEDING) = 1 AS c5, close < min(low) OVER ({W_} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS c6, high > top * 1.0005 AND close < top AS c7 FROM e) SELECT symbol, t, CAST(least(20, 4 * c1::INT + 5 * coalesce(c2, false)::INT + 4 * coalesce(c3, false)::INT + 5 * c4::INT + 3 * c5::INT + 2 * coalesce(c6, false)::INT + 2 * coalesce(c7, false)::INT) AS BIGINT) AS trigger FROM f")
+def w26_micro_trigger(spark, d):
+    before = W.by_symbol()
+    b = bars(spark, d).withColumns({"ema20": W.ema(20), "rejected": W.anatomy()["upper_wick"] >= 0.3, "lower_high": F.col("high") < F.lag("high").over(before), "lower_low": F.col("low") < F.lag("low").over(before)})
+    return _out(b.withColumn("trigger", P.micro_trigger(F.col("ema20"), F.col("lower_high"), F.col("lower_low"), F.col("rejected"))), "symbol", "ts", "trigger")

@@ -162,3 +162,32 @@ def m7_edge_states(spark, d):
 def w15_support_room(spark, d):
     b = W.with_strict_pivots(bars(spark, d))
     return _out(b.withColumn("room_r", K.support_room("pivot_low", F.col("close"), F.col("close") * 0.2)), "symbol", "ts", "room_r")
+
+
+_FILL = _LONG.replace("172800", "230400") + ", p AS (SELECT *, entry * 1.05 AS lim, entry * 1.2 - entry * 1.05 AS risk, min(CASE WHEN bt <= t + 57600 AND high >= entry * 1.05 THEN bt END) OVER (PARTITION BY symbol, t) AS fill_t FROM j), h AS (SELECT symbol, t, any_value(fill_t) AS fill_t, any_value(lim) AS lim, any_value(risk) AS risk, min(bt) FILTER (bt > fill_t AND high >= entry * 1.2) AS st, min(bt) FILTER (bt > fill_t AND low <= lim - 2 * risk) AS tt, arg_max(close, bt) AS lc FROM p WHERE bt >= fill_t AND bt <= fill_t + 172800 GROUP BY 1, 2), o AS (SELECT s.symbol, s.t, h.fill_t, lim, risk, lc, CASE WHEN h.fill_t IS NULL THEN 'NO_FILL' WHEN st <= coalesce(tt, st) THEN 'STOP' WHEN tt IS NOT NULL THEN 'TARGET' ELSE 'TIME' END AS state FROM s LEFT JOIN h USING (symbol, t))"
+
+
+@query(_FILL + " SELECT symbol, t, fill_t, state, round(CASE state WHEN 'STOP' THEN -1.0 WHEN 'TARGET' THEN 2.0 WHEN 'TIME' THEN (lim - lc) / risk END, 6) AS gross_r FROM o")
+def l9_fill_then_barrier(spark, d):
+    s, b = _signals(spark, d)
+    return _out(Q.fill_then_barrier(s.withColumn("limit_price", F.col("entry") * 1.05), b, 57_600, 172_800), "symbol", "ts", "fill_t", "state", "gross_r")
+
+
+_STAGES = _LONG + ", k AS (SELECT *, entry * 1.2 - entry AS risk FROM j), p AS (SELECT *, min(CASE WHEN high >= entry * 1.2 THEN bt END) OVER q AS ts, min(CASE WHEN low <= entry - 1.0 * risk THEN bt END) OVER q AS t1, min(CASE WHEN low <= entry - 2.0 * risk THEN bt END) OVER q AS t2, min(CASE WHEN low <= entry - 4.0 * risk THEN bt END) OVER q AS t3 FROM k WINDOW q AS (PARTITION BY symbol, t)), h AS (SELECT symbol, t, any_value(ts) AS ts, any_value(t1) AS t1, any_value(t2) AS t2, any_value(t3) AS t3, any_value(risk) AS risk, min(bt) FILTER (bt > t1 AND high >= entry) AS be, min(bt) FILTER (bt > t2 AND high >= entry - 1.0 * risk) AS tr, arg_max(close, bt) AS lc FROM p GROUP BY 1, 2), n AS (SELECT s.symbol, s.t, s.entry, h.* EXCLUDE (symbol, t), CASE WHEN lc IS NULL THEN NULL WHEN NOT coalesce(t1 < coalesce(ts, t1 + 1), false) THEN 0 WHEN NOT coalesce(t2 < coalesce(be, t2 + 1), false) THEN 1 WHEN NOT coalesce(t3 < coalesce(tr, t3 + 1), false) THEN 2 ELSE 3 END AS stages FROM s LEFT JOIN h USING (symbol, t)), o AS (SELECT *, CASE WHEN stages IS NULL THEN 'UNRESOLVED' WHEN stages = 0 AND ts IS NOT NULL THEN 'STOP' WHEN stages = 1 AND be IS NOT NULL THEN 'BREAK_EVEN' WHEN stages = 2 AND tr IS NOT NULL THEN 'TRAILED' WHEN stages = 3 THEN 'RUNNER' ELSE 'TIME' END AS state FROM n)"
+
+
+@query(_STAGES + " SELECT symbol, t, CAST(stages AS BIGINT) AS stages, state, round(CASE stages WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 WHEN 2 THEN 1.0 WHEN 3 THEN 2.2 END + CASE stages WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.0 END * CASE state WHEN 'STOP' THEN -1.0 WHEN 'BREAK_EVEN' THEN 0.0 WHEN 'TRAILED' THEN 1.0 WHEN 'RUNNER' THEN 0.0 ELSE (entry - lc) / risk END, 6) AS gross_r FROM o")
+def l11_three_stages(spark, d):
+    return _out(Q.three_stages(*_signals(spark, d), 172_800), "symbol", "ts", "stages", "state", "gross_r")
+
+
+@query(_LONG + ", z AS (SELECT *, high >= entry * 1.3 AND low <= entry * 1.5 AS touch, lead(bt) OVER w IS NOT NULL AS more FROM j WINDOW w AS (PARTITION BY symbol, t ORDER BY bt)), e AS (SELECT *, touch AND NOT coalesce(lag(touch) OVER (PARTITION BY symbol, t ORDER BY bt), false) AS enter FROM z), h AS (SELECT symbol, t, count(*) AS age_bars, count(*) FILTER (enter AND more) AS touches, min(bt) FILTER (close > entry * 1.5) AS broken_t FROM e GROUP BY 1, 2) SELECT s.symbol, s.t, coalesce(age_bars, 0) AS age_bars, coalesce(touches, 0) AS touches, broken_t, CASE WHEN broken_t IS NOT NULL THEN 'INVALIDATED_CLOSE_ABOVE' WHEN touches > 1 THEN 'TOO_MANY_PRIOR_TOUCHES' ELSE 'FRESH' END AS freshness FROM s LEFT JOIN h USING (symbol, t)")
+def p22_level_freshness(spark, d):
+    s, b = _signals(spark, d)
+    return _out(Q.level_freshness(s.withColumns({"lower": F.col("entry") * 1.3, "upper": F.col("entry") * 1.5}), b, STEP, 172_800, 1), "symbol", "ts", "age_bars", "touches", "broken_t", "freshness")
+
+
+@query(BARS + f", r AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER ({W_})), 0), coalesce(abs(low - lag(close) OVER ({W_})), 0)) AS tr, max(high) OVER ({W_} ROWS 11 PRECEDING) AS hi, min(low) OVER ({W_} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS sup FROM bars), a AS (SELECT *, CASE WHEN count(tr) OVER ({W_} ROWS 13 PRECEDING) >= 7 THEN avg(tr) OVER ({W_} ROWS 13 PRECEDING) END AS atr FROM r), k AS (SELECT *, CASE WHEN atr > 0 THEN greatest(hi + 0.1 * atr - close, atr) END AS risk FROM a), p AS (SELECT *, CASE WHEN sup < close THEN (close - sup) / risk WHEN risk IS NOT NULL THEN 5.0 END AS room FROM k) SELECT symbol, t, round(close + risk, 6) AS plan_stop, round(close - 3.0 * risk, 6) AS tp2, round(room, 6) AS room_r, coalesce(100 * risk / close <= 200 AND room >= 0.3 AND close * 14 / 1e4 / risk <= 0.25, false) AS risk_ok FROM p")
+def p23_plan_ladder(spark, d):
+    b = W.with_atr(bars(spark, d)).withColumns({"hi": F.max("high").over(W.rows(-11, 0)), "sup": F.min("low").over(W.rows(-20, -1))})
+    return _out(b.withColumns(Q.plan_ladder(F.col("close"), F.col("hi"), F.col("atr"), F.col("sup"), max_stop_pct=200.0, min_room=0.3)), "symbol", "ts", "plan_stop", "tp2", "room_r", "risk_ok")
