@@ -1,7 +1,7 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
 A text is brought to a canonical form: lower case, copyright lines and list marks gone, punctuation and space as single blanks, equivalent
-spellings as one. Known licence texts pass through the same form. The digest of the whole text, and of each of its lines, is joined to
+spellings as one, a version as its number alone ('version 2.0', 'v2' and '2.0' are '2'). Known licence texts pass through the same form. The digest of the whole text, and of each of its lines, is joined to
 the known digests, so a licence is found as a whole document and as a notice line within one.
 
 Defined cases: a null or empty text matches nothing; a text whose canonical form is empty has no digest; repeated rows and rows with a null doc_id
@@ -10,6 +10,8 @@ are judged one by one; other columns are ignored. Two licences with one canonica
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,28 @@ NAMES = {
     "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0",
     "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0",
 }
+#: Further names that notices and titles use. Punctuation, case and the form of the version don't matter.
+OTHER_NAMES = {
+    "Apache-2.0": ("Apache 2.0 License", "Apache Software License 2.0"),
+    "MIT": ("MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License (ISC)",),
+    "0BSD": ("BSD Zero-Clause License", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("2-Clause BSD License", "BSD 2-Clause Simplified License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("3-Clause BSD License", "BSD 3-Clause New or Revised License", "New BSD License", "Modified BSD License", "Revised BSD License"),
+    "GPL-2.0-only": ("GNU General Public License v2.0 only", "GNU GPL v2", "GNU GPLv2", "GPL-2.0", "GPLv2"),
+    "GPL-3.0-only": ("GNU General Public License v3.0 only", "GNU GPL v3", "GNU GPLv3", "GPL-3.0", "GPLv3"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License v2.1 only", "GNU LGPL v2.1", "GNU LGPLv2.1", "LGPL-2.1", "LGPLv2.1"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License v3.0 only", "GNU LGPL v3", "GNU LGPLv3", "LGPL-3.0", "LGPLv3"),
+    "AGPL-3.0-only": ("GNU Affero General Public License v3.0 only", "GNU AGPL v3", "GNU AGPLv3", "AGPL-3.0", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License 2.0 (MPL-2.0)",),
+    "EPL-2.0": ("Eclipse Public License 2.0 (EPL-2.0)",),
+    "Unlicense": ("Unlicense License", "Unlicense (Public Domain)"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal"),
+    **{
+        f"CC-{short}-4.0": (f"Attribution{long} 4.0 International", f"Creative Commons Attribution{long} 4.0 International", f"Creative Commons Attribution{long} 4.0 International License", f"Creative Commons Attribution{long} 4.0 International Public License")
+        for short, long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"))
+    },
+}
 #: The sentences around a licence's name.
 NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the {}.", "This project is licensed under the {}.")
 #: Whole texts of short licences.
@@ -45,16 +69,19 @@ TEXTS = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "MIT": "MIT License\n\nCopyright (c) <year> <holder>\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
+#: One file for each further whole text: title, terms and appendix, with lines of %% between them.
+FOLDER = Path(__file__).parent / "license_texts"
 #: Equivalent spellings, as whole words of the canonical form.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non infringement": "noninfringement", "ver": "version", "v": "version", "acknowledgement": "acknowledgment", "favour": "favor", "honour": "honor", "organisation": "organization", "redistributions": "redistribution", "whilst": "while", "wilful": "willful", "http": "https"}
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*"
+#: Not those lines of a licence's terms that begin with the word because the text is wrapped there.
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright(?!ed\b|able\b|s?[ \t]+(notice|holder|owner|license|licence|law|statement|interest|disclaimer|treaty|protection|and|or|on|resulting)s?\b)|\(c\)(?![ \t]+you\b)|©|all rights reserved)[^\n]*"
 MARKS = r"(^|\n)[ \t]*([0-9]{1,2}[.)]|[-*•#/;])+[ \t]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form, line by line: lines are kept apart by \\n and empty ones are gone."""
     out = F.lower(text)
-    for pattern, to in ((COPYRIGHT_LINE, "$1"), (MARKS, "$1"), (r"version\s+([0-9])", "version $1"), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n[ \n]*", " \n "), (r"^[ \n]+|[ \n]+$", "")):
+    for pattern, to in ((COPYRIGHT_LINE, "$1"), (MARKS, "$1"), (r"\b(version\s*|ver\.?[ \t]*|v\.?[ \t]*)(?=[0-9])", ""), (r"(?<=[0-9])(\.0)+(?![0-9]|\.[0-9])", ""), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n[ \n]*", " \n "), (r"^[ \n]+|[ \n]+$", "")):
         out = F.regexp_replace(out, pattern, to)
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for old, new in SPELLINGS.items():
@@ -62,11 +89,27 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def whole_texts() -> dict[str, tuple[str, str, str]]:
+    """Title, terms and appendix of each licence that is known by its whole text; title and appendix may be empty."""
+    out = {k: ("", text.removeprefix("MIT License\n\n"), "") for k, text in TEXTS.items()}
+    for file in sorted(FOLDER.glob("*.txt")):
+        title, terms, appendix = file.read_text(encoding="utf-8").split("%%\n")
+        out[file.stem] = title, terms, appendix
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """license_id and text of the built-in notices and texts."""
-    names = spark.createDataFrame(list(NAMES.items()), "license_id string, name string")
-    notices = names.select("license_id", F.explode(F.array(*(F.replace(F.lit(n), F.lit("{}"), F.col("name")) for n in NOTICES), F.concat(F.lit("SPDX-License-Identifier: "), "license_id"))).alias("text"))
-    return notices.union(spark.createDataFrame(list(TEXTS.items()), "license_id string, text string"))
+    """license_id and text of the built-in notices and texts: each notice with each name, each text with and without titles and appendix."""
+    names = {k: (name, k, f"{k} License", *OTHER_NAMES.get(k, ())) for k, name in NAMES.items()}
+    named = spark.createDataFrame([(k, x) for k, own in names.items() for x in own], "license_id string, name string")
+    notices = named.select("license_id", F.explode(F.array(*(F.replace(F.lit(n), F.lit("{}"), F.col("name")) for n in NOTICES))).alias("text"))
+    tags = spark.createDataFrame([(k, f"SPDX-License-Identifier: {k}") for k in NAMES], "license_id string, text string")
+    rows = []
+    for k, (title, terms, appendix) in whole_texts().items():
+        usual = (x for n in names[k] for x in (n, f"The {n}")) if len(terms) < 5_000 else (title.strip().split("\n\n")[0], NAMES[k], *OTHER_NAMES.get(k, ())[:2])
+        rows.append((k, sorted({"", title, *usual}), terms, sorted({"", appendix})))
+    parts = spark.createDataFrame(rows, "license_id string, titles array<string>, terms string, appendices array<string>").withColumn("title", F.explode("titles")).withColumn("appendix", F.explode("appendices"))
+    return notices.union(tags).union(parts.select("license_id", F.concat_ws("\n", "title", "terms", "appendix")))
 
 
 def _digest(canon: Column) -> Column:
