@@ -2,7 +2,8 @@
 
 The trees learn from labelled URLs: a table of (url, blocked), or, without one, the URLs that the rules decide. Features are lengths, depth, digit
 ratios, character entropy, parameter counts and suffix statistics, the smoothed share of blocked URLs under the last one and the last two labels of the host
-among the labelled ones. Training takes at most `max_training` labelled URLs, those with the lowest hash; suffix statistics and verdicts cover all.
+among the labelled ones. Training takes at most `max_training` distinct labelled URLs, those with the lowest hash, each weighted by its number of rows; suffix
+statistics and verdicts cover all.
 
 Defined cases: a null URL or one without `://` has an empty host and path, matches no rule and is judged like any other; if the labels hold
 one class only, or none, the verdict is that class (allow without labels); repeated rows are judged one by one; other columns are ignored.
@@ -84,9 +85,10 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, *, id_col: str =
     features = _features(F.col("url"), F.col("host"), F.col("path"))
     names = [*features, "blocked1", "seen1", "blocked2", "seen2"]
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    sample = marked.orderBy(F.xxhash64("url"), "url", "label").limit(max_training)
-    training = assembler.transform(with_suffixes(sample).withColumns(features)).select("features", "label").repartition(2).cache()
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, maxBins=32).fit(training)
+    distinct = marked.groupBy("url", "label").agg(F.count("*").cast("double").alias("weight"))
+    sample = parts(distinct.orderBy(F.xxhash64("url"), "url", "label").limit(max_training))
+    training = assembler.transform(with_suffixes(sample).withColumns(features)).select("features", "label", "weight").repartition(2).cache()
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, maxBins=32, weightCol="weight").fit(training)
     training.unpersist()
     undecided = assembler.transform(with_suffixes(rows).withColumns(features))
     scored = model.transform(undecided).withColumn("score", vector_to_array("probability")[1])
