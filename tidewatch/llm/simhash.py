@@ -12,7 +12,8 @@ Pigeonhole over four errors in three segments leaves two cases, and each has its
   the side of even parity gives its own codeword only, the side of odd parity gives all its keys, and only opposite parities meet.
 
 Fingerprints that share a key are compared in full. A bucket gives edges of a spanning forest of its links, never all pairs of a group. A bucket
-of more than `block` fingerprints is dealt out as pairs of blocks to other tasks, so no task holds a bucket as a whole. Components come from
+of more than `block` fingerprints is cut into ceil(count / block) blocks and dealt out as pairs of blocks to other tasks; a pair holds at most 2 * `block`
+fingerprints, so no task holds a bucket as a whole. Components come from
 alternating large-star and small-star steps over the edges.
 
 Defined cases: a null text counts as empty; without words the fingerprint is zero and links like any other; repeated rows and rows with a null
@@ -218,11 +219,11 @@ def _forest(left: np.ndarray, right: np.ndarray | None) -> list[tuple[int, int]]
     return edges
 
 
-_EDGES = "a long, b long, key long, part int, side int"
+_EDGES = "a long, b long, key long, part long, side int"
 
 
 def _bucket_edges(block: int):
-    """Over rows sorted by key: edges of small buckets; rows of larger ones again, dealt out to pairs of blocks (key, part)."""
+    """Over rows sorted by key: edges of small buckets; rows of larger ones again, with their block (part) of the key."""
     schema = arrow_schema(_EDGES)
 
     def table(rows) -> pa.RecordBatch:
@@ -232,14 +233,10 @@ def _bucket_edges(block: int):
         fps = fps.view(np.uint64)
         return _forest(fps, None) if side[0] == 0 else _forest(fps[side == 1], fps[side == 2])
 
-    def deal(key: int, fps: np.ndarray, side: np.ndarray, blocks: int) -> pa.RecordBatch:
-        """Each fingerprint goes to the pairs of blocks that hold its own block."""
-        own = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
-        other = np.arange(blocks)
-        low, high = np.minimum(own[:, None], other), np.maximum(own[:, None], other)
-        part = (low * blocks + high).ravel()
-        n = len(part)
-        return table([np.repeat(fps, blocks), np.full(n, None), np.full(n, key), part.astype(np.int32), np.repeat(side, blocks)])
+    def deal(key: int, first: int, fps: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        """The fingerprints from number `first` of the key on, each in its own block."""
+        n = len(fps)
+        return table([fps, np.full(n, None), np.full(n, key), (first + np.arange(n)) // block, side])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -279,8 +276,7 @@ def _bucket_edges(block: int):
                         large = True
                     if large:
                         fps, sides = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                        for at in range(0, len(fps), 4096):
-                            yield deal(int(held_key), fps[at : at + 4096], sides[at : at + 4096], 16)
+                        yield deal(int(held_key), held_n - len(fps), fps, sides)
                         held = []
                 else:
                     edges += finish(int(key[lo]), fp[lo:hi], side[lo:hi])
@@ -322,12 +318,19 @@ def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def _pairs_of_blocks(large: DataFrame) -> DataFrame:
+    """Rows of large buckets (key, part, a, side), each for all pairs of blocks that hold its own; part is then the pair's number."""
+    blocks = F.broadcast(large.groupBy("key").agg((F.max("part") + 1).alias("blocks")))
+    other = large.join(blocks, "key").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return other.select("key", (F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")).alias("part"), "a", "side")
+
+
 def edges_between(fps: DataFrame, *, block: int = 4096) -> DataFrame:
     """Edges a, b over distinct fingerprints; their components are those of all links."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.mapInArrow(_keyed, _KEYED).repartition(n, "key").sortWithinPartitions("key")
     found = checkpoint(keyed.mapInArrow(_bucket_edges(block), _EDGES))
-    dealt = found.where("key IS NOT NULL").repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    dealt = _pairs_of_blocks(found.where("key IS NOT NULL").select("key", "part", "a", "side")).repartition(n, "key", "part").sortWithinPartitions("key", "part")
     return found.where("key IS NULL").select("a", "b").union(dealt.mapInArrow(_block_edges, "a long, b long")).distinct()
 
 
