@@ -2,12 +2,13 @@
 
 Documents are encoded by a tokenizer file, an end id follows each, and their ids are stored in ascending order of doc_id. One frequency table over
 all ids is shared by all blocks. A block holds whole documents of about `block_ids` ids and decodes on its own: its ids are dealt over interleaved
-lanes, checkpoints give the state of all lanes every `interval` steps, so that parts of it decode in parallel too, and checksums
-guard it. A folder has `blocks` (one row for each block: bucket, block, first position in its bucket, ids and lengths of its documents, payload)
+lanes, checkpoints give the state of all lanes every `interval` steps with the checksum of the ids up to the next one, so that parts of it decode
+in parallel too (`read_parts`), and a checksum guards the whole. A folder has `blocks` (one row for each block: bucket, block, first position in its bucket, ids and lengths of its documents, payload)
 and `frequencies`. Spark's writer commits both, so a lost executor leaves no half file.
 
-Each worker keeps the ids of words that it has met, since white space always separates tokens in these vocabularies; a word is encoded by the
-tokenizers library once. The store has a bound and starts anew when it is full, which costs time only.
+Where the tokenizer file has the form of `encodes_by_words`, white space always separates tokens, and each worker keeps the ids of words that it has
+met; a word is encoded by the tokenizers library once. The store has a bound and starts anew when it is full, which costs time only. Texts of any other
+file go to the library as a whole.
 
 Defined cases: a null text counts as empty and has the end id only; a null doc_id sorts first; documents that share a doc_id follow each other in the
 order of their ids; an empty table gives no blocks and no rows; other columns are ignored.
@@ -15,6 +16,7 @@ order of their ids; an empty table gives no blocks and no rows; other columns ar
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -28,12 +30,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes
+from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes, shared_folder
 
 SCALE, LOW = 20, 31
 LANES, INTERVAL, BLOCK_IDS = 4096, 128, 1 << 20
-_HEAD = struct.Struct("<4sQIIQIII")
-_MAGIC = b"TKR1"
+_HEAD = struct.Struct("<4sQIIQII")
+_MARK = struct.Struct("<IQI")
+_MAGIC = b"TKR2"
 
 
 def normalised(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -87,25 +90,38 @@ class Coder:
                 marks[t] = states.copy()
         offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.uint64)
         stream = np.concatenate(words) if words else np.zeros(0, np.uint32)
-        body = b"".join(struct.pack("<IQ", t, int(offsets[t])) + marks[t].astype("<u8").tobytes() for t in sorted(marks)) + stream.astype("<u4").tobytes()
-        return _HEAD.pack(_MAGIC, n, lanes, self.interval, len(stream), len(marks), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+        raw, size = ids.astype("<u4").tobytes(), 4 * lanes * self.interval
+        heads = (_MARK.pack(t, int(offsets[t]), zlib.crc32(raw[k * size : (k + 1) * size])) + marks[t].astype("<u8").tobytes() for k, t in enumerate(sorted(marks)))
+        body = b"".join(heads) + stream.astype("<u4").tobytes()
+        return _HEAD.pack(_MAGIC, n, lanes, self.interval, len(stream), len(marks), zlib.crc32(body)) + body
+
+    @staticmethod
+    def parts(payload: bytes) -> int:
+        """How many checkpoints a block has."""
+        return _HEAD.unpack_from(payload)[5]
+
+    @staticmethod
+    def part_size(payload: bytes) -> int:
+        """How many ids lie between two checkpoints."""
+        return _HEAD.unpack_from(payload)[2] * _HEAD.unpack_from(payload)[3]
 
     def decode(self, payload: bytes, part: int | None = None) -> np.ndarray:
-        """All ids, or those from checkpoint `part` up to the next one."""
-        magic, n, lanes, interval, n_words, n_marks, crc_ids, crc_body = _HEAD.unpack_from(payload)
+        """All ids, or those from checkpoint `part` up to the next one. Each part starts from its own checkpoint and is held against its checksum."""
+        magic, n, lanes, interval, n_words, n_marks, crc_body = _HEAD.unpack_from(payload)
         body = memoryview(payload)[_HEAD.size :]
         if magic != _MAGIC or zlib.crc32(body) != crc_body:
             raise ValueError("the block is damaged")
         if self._slots is None:
             self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        size = 12 + 8 * lanes
+        size = _MARK.size + 8 * lanes
         stream = np.frombuffer(body, "<u4", n_words, n_marks * size)
-        steps = -(-n // lanes)
-        if not n:
-            return np.zeros(0, np.uint32)
-        t0, at = struct.unpack_from("<IQ", body, (part or 0) * size)
-        states = np.frombuffer(body, "<u8", lanes, (part or 0) * size + 12).astype(np.uint64)
-        end = steps if part is None else min(steps, t0 + interval)
+        chosen = range(n_marks) if part is None else [part]
+        return np.concatenate([np.zeros(0, np.uint32), *(self._part(body[k * size : (k + 1) * size], stream, n, lanes, interval) for k in chosen)])
+
+    def _part(self, mark: memoryview, stream: np.ndarray, n: int, lanes: int, interval: int) -> np.ndarray:
+        t0, at, crc = _MARK.unpack_from(mark)
+        states = np.frombuffer(mark, "<u8", lanes, _MARK.size).astype(np.uint64)
+        end = min(-(-n // lanes), t0 + interval)
         out = np.empty(min(n, end * lanes) - t0 * lanes, np.uint32)
         scale, half, mask, low = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1), np.uint64(1 << LOW)
         for t in range(t0, end):
@@ -119,7 +135,7 @@ class Coder:
             if len(need):
                 x[need] = (x[need] << half) | stream[at : at + len(need)]
                 at += len(need)
-        if part is None and zlib.crc32(out.astype("<u4").tobytes()) != crc_ids:
+        if zlib.crc32(out.astype("<u4").tobytes()) != crc:
             raise ValueError("the ids don't match their checksum")
         return out
 
@@ -170,8 +186,24 @@ class _Words(dict):
 _ENDS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 
+#: The only form of tokenizer whose words can be encoded apart: what normalises and pre-tokenises it, as its file says.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZER = [{"type": "Split", "pattern": {"Regex": _PRE.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+_WORD_END = "</w>"
+
+
+def encodes_by_words(path: str) -> bool:
+    """Whether the tokenizer file has the form whose words can be encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model = made["model"]
+    own = (made.get("normalizer") or {}).get("normalizers"), (made.get("pre_tokenizer") or {}).get("pretokenizers")
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return own == (_NORMALIZER, _PRE_TOKENIZER) and plain and model.get("end_of_word_suffix") == _WORD_END and all(t["content"].startswith("<|") for t in made.get("added_tokens") or [])
+
+
 class WordCoder:
-    """Ids of texts by a tokenizer file, through a bounded store of words."""
+    """Ids of texts by a tokenizer file: through a bounded store of words where its form allows that, else by the library, text by text."""
 
     _kept: dict[str, WordCoder] = {}
 
@@ -180,9 +212,11 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        n = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.tokenize = self.tokenizer.model.tokenize
-        self.names = [np.array([k], self.kind).tobytes() for k in range(self.tokenizer.get_vocab_size())]
+        self.names = [np.array([k], self.kind).tobytes() for k in range(n)]
+        self.by_words = encodes_by_words(path)
         self.most, self.words = most, _Words(self)
 
     @classmethod
@@ -202,6 +236,8 @@ class WordCoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
+        if not self.by_words:
+            return [self.library((t or b"").decode()) for t in texts]
         if len(self.words) > self.most:
             self.words.old = {}
             self.words = _Words(self, self.words)
@@ -211,37 +247,46 @@ class WordCoder:
 
 _IDS = "bucket int, doc_id long, ids binary"
 _BLOCKS = "bucket int, block int, start long, doc_ids array<long>, lengths array<long>, payload binary"
+_DEALT = "bucket int, block int, part int, payload binary"
+_PARTS = "bucket int, block int, part int, start long, ids array<int>"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def token_ids(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, bounds: list[int] = ()) -> DataFrame:
-    """bucket (by doc_id between the bounds), doc_id and the ids as bytes, for each row."""
+def token_ids(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, bounds: list[int] = (), buckets: int = 1) -> DataFrame:
+    """bucket (by doc_id between the bounds; -1 for a null id), doc_id and the ids as bytes, for each row. Each task adds the counts of its ids, as a row of a bucket below -1."""
     schema = arrow_schema(_IDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         coder = WordCoder.of(tokenizer)
         end = np.array([end_id], coder.kind).tobytes()
+        counts = np.zeros(max(coder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 ids = [x + end for x in coder.encode([c.as_py() for c in part.column("text")])]
-                buckets = [-1 if d is None else bisect_left(bounds, d) for d in part.column("doc_id").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+                counts += np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=len(counts))
+                in_buckets = [-1 if d is None else bisect_left(bounds, d) for d in part.column("doc_id").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(in_buckets, pa.int32()), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+        row = (-2 - TaskContext.get().partitionId() % buckets, None, counts.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
 
     return id_and_bytes(documents, id_col, text_col).mapInArrow(run, _IDS)
 
 
-def _counted(kind: str, n_ids: int):
+def _counted():
+    """Over the counts of tasks: the sum of each id."""
     schema = arrow_schema("id int, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n_ids, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                joined = b"".join(x.as_py() for x in batch.column("ids")[at : at + 500])
-                counts += np.bincount(np.frombuffer(joined, kind), minlength=n_ids)
-        ids = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], schema=schema)
+            for cell in batch.column("ids"):
+                own = np.frombuffer(cell.as_py(), np.int64)
+                total = own + (total if len(total) else 0)
+        ids = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], schema=schema)
 
     return run
 
@@ -281,14 +326,14 @@ def write(documents: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc
     cuts = documents.agg(F.percentile_approx(F.col(id_col), [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
     coder = WordCoder.of(tokenizer)
     kind, n_ids = coder.kind.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
-    ids = token_ids(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, bounds=sorted(set(cuts or [])))
+    ids = token_ids(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, bounds=sorted(set(cuts or [])), buckets=n)
     ordered = checkpoint(ids.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids"))
     counts = np.zeros(n_ids, np.int64)
-    for r in ordered.mapInArrow(_counted(kind, n_ids), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ordered.where("bucket < -1").mapInArrow(_counted(), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     table = normalised(counts)
     spark.createDataFrame([(SCALE, [int(x) for x in table])], "scale int, frequencies array<int>").write.parquet(f"{path}/frequencies")
-    blocks = ordered.mapInArrow(_blocked(kind, spark.sparkContext.broadcast(table), block_ids), _BLOCKS)
+    blocks = ordered.where("bucket >= -1").mapInArrow(_blocked(kind, spark.sparkContext.broadcast(table), block_ids), _BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -317,9 +362,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(run, RESULT)
 
 
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """bucket, block, part, start (within the block) and ids of each part between checkpoints; parts are dealt out and decoded apart."""
+    table = spark.sparkContext.broadcast(np.array(spark.read.parquet(f"{path}/frequencies").first().frequencies, np.int64))
+    schema, dealt = arrow_schema(_PARTS), arrow_schema(_DEALT)
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").select("bucket", "block", "payload")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                for part in range(Coder.parts(r["payload"])):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((r["bucket"], r["block"], part, r["payload"]), dealt)], schema=dealt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(table.value)
+        for batch in batches:
+            for r in batch.to_pylist():
+                row = (r["bucket"], r["block"], r["part"], r["part"] * Coder.part_size(r["payload"]), coder.decode(r["payload"], r["part"]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
+
+    return blocks.mapInArrow(counted, _DEALT).repartition("bucket", "block", "part").mapInArrow(run, _PARTS)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of spark.checkpoint.dir."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
