@@ -182,10 +182,10 @@ def redact(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = scan(documents.select(key.alias("doc_id"), text.alias("text")), **options)
     spans = found.select(F.col("doc_id").alias("key"), F.array_sort(F.concat("strong", "linked")).alias("spans")).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
     keyed = documents.select(F.struct(*(F.col(c) for c in documents.columns)).alias("doc"), key.alias("key"), text.alias("text"))
-    joined = keyed.alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")), "left").select("doc", F.col("d.key").alias("key"), "text", "spans")
+    joined = keyed.alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")), "left").select("doc", "text", "spans")
+    short = joined.where(F.col("spans").isNull() | (F.size("spans") <= few)).select("doc", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_masked_few(F.col("text"), F.col("spans"), mask)).alias("masked"))
     long = spans.where(F.size("spans") > few).select(F.col("key").alias("row"), "spans")
-    texts = keyed.select(F.col("key").alias("row"), "text").join(long.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    many = _masked_many(long.join(texts, "row"), mask)
-    out = joined.alias("j").join(many.alias("m"), F.col("j.key").eqNullSafe(F.col("m.row")), "left")
-    masked = F.coalesce("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_masked_few(F.col("text"), F.when(F.size("spans") <= few, F.col("spans")), mask)))
-    return out.select(*(masked.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in documents.columns))
+    rows = keyed.alias("d").join(long.select("row").alias("l"), F.col("d.key").eqNullSafe(F.col("l.row"))).select("doc", "row", "text")
+    many = _masked_many(rows.select("row", "text").dropDuplicates(["row"]).join(long, "row"), mask)
+    out = short.union(rows.join(many, "row").select("doc", "masked"))
+    return out.select(*(F.col("masked").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in documents.columns))
