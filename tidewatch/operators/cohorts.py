@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import profit_factor, ratio
 from tidewatch.operators.features import rows
 from tidewatch.operators.matching import forward_bars
+from tidewatch.operators.scans import percentiles
 
 
 def _share(condition: Column, of: Column) -> Column:
     return ratio(100.0 * F.count_if(condition), of)
 
 
-def _quantiles(column: str, shares: tuple[float, ...]) -> list[Column]:
-    return [F.percentile(column, F.lit(q)).alias(f"{column}_q{int(100 * q)}") for q in shares]
+def _with_quantiles(out: DataFrame, of: DataFrame, keys: list[str], shares: dict[str, tuple[float, ...]]) -> DataFrame:
+    for column, q in shares.items():
+        named = percentiles(of, keys, column, list(q)).select(*keys, *(F.col("q")[i].alias(f"{column}_q{int(100 * p)}") for i, p in enumerate(q)))
+        out = out.join(named, keys, "left")
+    return out
 
 
 def path_summary(paths: DataFrame, point: str, levels: list[float]) -> DataFrame:
     """Quartiles of the best and the median of the worst move at each checkpoint, and how many paths reached each level."""
     reach = [(100 * F.avg((F.col("mfe") >= x).cast("double"))).alias(f"reach_{x:g}_pct") for x in levels]
-    return paths.groupBy(point).agg(F.count("*").alias("n"), *_quantiles("mfe", (0.25, 0.5, 0.75)), *_quantiles("mae", (0.5,)), *reach)
+    return _with_quantiles(paths.groupBy(point).agg(F.count("*").alias("n"), *reach), paths, [point], {"mfe": (0.25, 0.5, 0.75), "mae": (0.5,)})
 
 
 def path_cohorts(paths: DataFrame, point: str, sides: list[str], levels: list[float]) -> DataFrame:
@@ -75,7 +79,8 @@ def target_hits(signals: DataFrame, bars: DataFrame, horizon: int, target_pct: f
     each = joined.groupBy("symbol", "ts").agg(F.first("_hit").alias("hit_t"), ((F.max(F.when(up_to, F.col("bar_high"))) - F.first("entry")) / F.first("entry") * 100).alias("adverse")).withColumn("minutes", (F.col("hit_t") - F.unix_seconds("ts")) / 60)
     hit = F.col("hit_t").isNotNull()
     clean = [_share(hit & (F.col("adverse") < cap), F.count("*")).alias(f"clean_{cap:g}_pct") for cap in stop_caps]
-    return each.groupBy("symbol").agg(F.count("*").alias("n"), _share(hit, F.count("*")).alias("hit_pct"), *clean, *_quantiles("adverse", (0.5, 0.75)), *_quantiles("minutes", (0.5,)))
+    out = each.groupBy("symbol").agg(F.count("*").alias("n"), _share(hit, F.count("*")).alias("hit_pct"), *clean)
+    return _with_quantiles(out, each, ["symbol"], {"adverse": (0.5, 0.75), "minutes": (0.5,)})
 
 
 def ledger_summary(ledger: DataFrame, tier: str, r: str) -> DataFrame:

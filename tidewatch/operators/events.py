@@ -10,12 +10,18 @@ from tidewatch.operators.features import by_symbol, returns, rows
 FAMILIES = ("E01", "E02", "E03", "E04", "E05", "E06", "E07", "E08")
 
 
-def families(bars: DataFrame, benchmark: str, *, short: int = 4, long: int = 25, ready: int = 40, support_slack: float = 0.998, drop: float = -2.5, surge: float = 1.8, runup: float = 10.0, lag_to_benchmark: float = -2.0, tight: float = 0.035) -> DataFrame:
-    """Boolean flags of the eight event families, with the benchmark's return of the same timestamp."""
+def families(bars: DataFrame, benchmark: str, *, short: int = 4, long: int = 25, ready: int = 40, support_slack: float = 0.998, drop: float = -2.5, surge: float = 1.8, runup: float = 10.0, lag_to_benchmark: float = -2.0, tight: float = 0.035, min_turnover: float | None = None, day: int = 96, warm_up: int = 128) -> DataFrame:
+    """Boolean flags of the eight event families, with the benchmark's return of the same timestamp.
+
+    With a `min_turnover`, a bar must also have `warm_up` closes up to it, that turnover over `day` bars and a finite volatility.
+    """
     low20, high20 = F.min("low").over(rows(-20, -1)), F.max("high").over(rows(-20, -1))
     median = F.percentile("amount", F.lit(0.5)).over(rows(-40, -1))
     ret = returns(short)
-    base = bars.withColumns({"low20": low20, "high20": high20, "median_amount": median, "ret_short": ret, "amount_short": F.sum("amount").over(rows(1 - short, 0)), "mean12": F.avg("close").over(rows(-12, -1)), "high16": F.max("high").over(rows(-16, -1)), "low16": F.min("low").over(rows(-16, -1)), "before": F.lag("close", 1).over(by_symbol()), "run_up": (F.lag("close", 1).over(by_symbol()) / F.lag("close", long).over(by_symbol()) - 1) * 100, "ready": F.count("close").over(rows(-ready, -1)) == ready})
+    base = bars.withColumns({"low20": low20, "high20": high20, "median_amount": median, "ret_short": ret, "amount_short": F.sum("amount").over(rows(1 - short, 0)), "mean12": F.avg("close").over(rows(-12, -1)), "high16": F.max("high").over(rows(-16, -1)), "low16": F.min("low").over(rows(-16, -1)), "before": F.lag("close", 1).over(by_symbol()), "run_up": (F.lag("close", 1).over(by_symbol()) / F.lag("close", long).over(by_symbol()) - 1) * 100, "ready": F.count("close").over(rows(-ready, -1)) == ready, "_whole": F.count("close").over(rows(1 - warm_up, 0)) == warm_up, "_turnover": F.sum("amount").over(rows(1 - day, 0)), "_change": F.log(F.col("close") / F.lag("close", 1).over(by_symbol()))})
+    if min_turnover is not None:
+        steady = F.stddev_samp("_change").over(rows(1 - day, 0))
+        base = base.withColumn("ready", F.col("ready") & F.col("_whole") & (F.col("_turnover") >= min_turnover) & steady.isNotNull() & ~F.isnan(steady))
     broke = F.col("close") < support_slack * F.col("low20")
     base = base.withColumns({"broke": broke, "support": F.last(F.when(broke, F.col("low20")), ignorenulls=True).over(rows(-9, -1)), "recent_break": F.max(broke).over(rows(-8, -1))})
     bench = base.where(F.col("symbol") == benchmark).select("ts", F.col("ret_short").alias("bench_ret"))
@@ -71,17 +77,35 @@ def cooldown(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return events.join(chosen, [*keys, "ts"], "left_semi")
 
 
-def confirmation(events: DataFrame, bars: DataFrame, step: int, lags: int = 6) -> DataFrame:
-    """RECLAIMED if a close gets back to the old high first, CONFIRMED if one falls below the event bar's low first, else NONE."""
+def confirmation(events: DataFrame, bars: DataFrame, step: int, lags: int = 6, horizon: int = 0) -> DataFrame:
+    """What the closes after an event (low, prev_high) say first, one bar after the other: RECLAIMED if one gets back to the old high, CONFIRMED if one falls below the event bar's low, DATA_GAP if a bar is missing, NOT_MATURED if it isn't closed yet, else NONE.
+
+    A confirmation counts only if the next bar and the `horizon` bars after the confirming one are there; it is NOT_MATURED while the symbol's bars end before.
+    """
     later = bars.select("symbol", F.col("ts").alias("later"), F.col("close").alias("later_close"))
-    lag = (F.unix_seconds("later") - F.unix_seconds("ts")) / step
-    keyed = events.select("symbol", "ts", "low", "prev_high", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).withColumn("later", F.timestamp_seconds(F.unix_seconds("ts") + F.col("lag") * step))
-    joined = keyed.join(later, ["symbol", "later"], "left")
-    del lag
-    found = joined.groupBy("symbol", "ts").agg(F.min(F.when(F.col("later_close") >= F.col("prev_high"), F.col("lag"))).alias("reclaimed"), F.min(F.when((F.col("later_close") < F.col("prev_high")) & (F.col("later_close") < F.col("low")), F.col("lag"))).alias("confirmed"))
-    status = F.when(F.coalesce("reclaimed", F.lit(99)) < F.coalesce("confirmed", F.lit(99)), "RECLAIMED").when(F.col("confirmed").isNotNull(), "CONFIRMED").otherwise("NONE")
-    return found.select("symbol", "ts", status.alias("status"), F.least("reclaimed", "confirmed").cast("long").alias("lag"))
+    ends = bars.groupBy("symbol").agg(F.max(F.unix_seconds("ts")).alias("last_t"))
+    keyed = events.select("symbol", "ts", "low", "prev_high", F.explode(F.sequence(F.lit(1), F.lit(lags + 1 + horizon))).alias("lag")).withColumn("later", F.timestamp_seconds(F.unix_seconds("ts") + F.col("lag") * step))
+    joined = keyed.join(later, ["symbol", "later"], "left").join(ends, "symbol")
+    gone = F.col("later_close").isNull()
+    says = F.when(gone, F.when(F.unix_seconds("later") > F.col("last_t"), "NOT_MATURED").otherwise("DATA_GAP")).when(F.col("later_close") >= F.col("prev_high"), "RECLAIMED").when(F.col("later_close") < F.col("low"), "CONFIRMED")
+    found = joined.groupBy("symbol", "ts").agg(F.min(F.when(says.isNotNull() & (F.col("lag") <= lags), F.struct("lag", says.alias("says")))).alias("_first"), F.array_sort(F.collect_list(F.when(gone, F.col("lag")))).alias("_gone"), F.first("last_t").alias("last_t"))
+    need = F.col("_first.lag") + 1 + horizon
+    missing = F.exists("_gone", lambda x: (x > F.col("_first.lag")) & (x <= need))
+    ripe = F.unix_seconds("ts") + need * step <= F.col("last_t")
+    status = F.when(F.col("_first").isNull(), "NONE").when(F.col("_first.says") != "CONFIRMED", F.col("_first.says")).when(~ripe, "NOT_MATURED").when(missing, "DATA_GAP").otherwise("CONFIRMED")
+    return found.select("symbol", "ts", status.alias("status"), F.col("_first.lag").cast("long").alias("lag"))
 
 
 def regime(ret_fast: Column, ret_slow: Column, above: Column, on: float = 1.0, off: float = -0.8) -> Column:
     return F.when((ret_fast >= on) & (ret_slow >= 2 * on) & above, "RISK_ON").when((ret_fast <= off) & (ret_slow <= 0) & ~above, "RISK_OFF").when(ret_fast.isNull() | ret_slow.isNull(), "UNKNOWN").otherwise("NEUTRAL")
+
+
+def rolling_set(bars: DataFrame, benchmark: str, *, short: int = 4, middle: int = 16, day: int = 96, warm_up: int = 128) -> DataFrame:
+    """The features that the families read, for each bar: prior highs and lows, median amount, returns, return against the benchmark, run-up, mean, volatility, turnover and completeness."""
+    w, change = by_symbol(), F.log(F.col("close") / F.lag("close").over(by_symbol()))
+    out = bars.withColumns({
+        "prior_high20": F.max("high").over(rows(-20, -1)), "prior_low20": F.min("low").over(rows(-20, -1)), "prior_high16": F.max("high").over(rows(-16, -1)), "prior_low16": F.min("low").over(rows(-16, -1)), "median_amount40": F.percentile("amount", F.lit(0.5)).over(rows(-40, -1)),
+        "ret_short": returns(short), "ret_middle": returns(middle), "ret_day": returns(day), "run_up": (F.lag("close", 1).over(w) / F.lag("close", 25).over(w) - 1) * 100, "mean12": F.avg("close").over(rows(-12, -1)), "_change": change, "turnover_day": F.sum("amount").over(rows(1 - day, 0)), "complete": F.count("close").over(rows(1 - warm_up, 0)) == warm_up,
+    }).withColumn("volatility_day", F.stddev_samp("_change").over(rows(1 - day, 0)) * F.sqrt(F.lit(float(day))) * 100).drop("_change")
+    bench = out.where(F.col("symbol") == benchmark).select("ts", F.col("ret_short").alias("_bench"))
+    return out.join(bench, "ts", "left").withColumn("relative_short", F.col("ret_short") - F.col("_bench")).drop("_bench")

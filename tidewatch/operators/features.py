@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.operators.scans import carried, running, with_history, with_position
+
+
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -35,7 +38,7 @@ def with_atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def ema(span: int, lookback: int = 180, price: str = "close") -> Column:
-    """Exponential mean seeded with the first of the last `lookback` bars; bounded, so no whole history is gathered."""
+    """Exponential mean seeded with the first of the last `lookback` bars, as one expression. scans.with_ema gives the mean over the whole history."""
     alpha = 2 / (span + 1)
     values = F.collect_list(price).over(rows(1 - lookback, 0))
     return F.aggregate(F.slice(values, 2, lookback), F.element_at(values, 1), lambda s, x: x * alpha + s * (1 - alpha))
@@ -93,17 +96,27 @@ def with_strict_pivots(bars: DataFrame) -> DataFrame:
     return marked.withColumns({"pivot_low": known("_low", "low"), "pivot_high": known("_high", "high")}).drop("_low", "_high")
 
 
-def with_structure(bars: DataFrame, spans: tuple[int, int] = (20, 50)) -> DataFrame:
-    """Trend structure: means, whether the last two confirmed swing highs and lows fall."""
-    out = with_swings(bars).withColumns({f"ema{s}": ema(s) for s in spans})
-    last = lambda c: F.last(c, ignorenulls=True).over(rows(Window.unboundedPreceding, 0))
-    # the swing before the last one travels with each swing
-    ranked = out.withColumns({f"_n_{k}": F.count(f"swing_{k}").over(rows(Window.unboundedPreceding, 0)) for k in ("high", "low")})
-    for k in ("high", "low"):
-        islands = Window.partitionBy("symbol").orderBy(f"_n_{k}").rangeBetween(-1, -1)
-        ranked = ranked.withColumn(f"last_{k}", last(f"swing_{k}")).withColumn(f"before_{k}", F.max(f"swing_{k}").over(islands))
-    fast, slow = (F.col(f"ema{s}") for s in spans)
-    return ranked.withColumns({"lower_high": F.col("last_high") < F.col("before_high"), "lower_low": F.col("last_low") < F.col("before_low"), "ema_bear": (F.col("close") < fast) & (fast < slow)}).drop("_n_high", "_n_low")
+def with_pivot_age(bars: DataFrame) -> DataFrame:
+    """For bars with strict pivots: how far the highs around a confirmed low rise above it, and how many bars ago the last confirmed low was."""
+    placed = with_position(bars, name="_at")
+    prominence = F.max("high").over(rows(-2, 2)) - F.col("low")
+    marked = placed.withColumn("_prominence", prominence).withColumn("low_prominence", F.when(F.col("pivot_low").isNotNull(), F.lag("_prominence", 2).over(by_symbol())))
+    known = carried(marked.withColumn("_low_at", F.when(F.col("pivot_low").isNotNull(), F.col("_at") - 2)), {"_low_at": "_last_at"})
+    return known.withColumn("low_age", F.col("_at") - F.col("_last_at")).drop("_at", "_prominence", "_low_at", "_last_at")
+
+
+def with_structure(bars: DataFrame, spans: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """Trend structure (column atr given): means over the whole history (the slowest one only from its own length on, the one before it until then), atr_pct, whether the last two confirmed swing highs and lows fall, and the bearish orders of price and means."""
+    out = with_history(with_swings(bars), spans, {"swing_high": "highs", "swing_low": "lows"})
+    fast, middle, slow = (f"ema{s}" for s in spans)
+    out = out.withColumn(slow, F.when(F.col("position") >= spans[2] - 1, F.col(slow)).otherwise(F.col(middle)))
+    falls = lambda k: F.coalesce(F.try_element_at(f"last_{k}", F.lit(-1)) < F.try_element_at(f"last_{k}", F.lit(-2)), F.lit(False))
+    close = F.col("close")
+    named = {
+        "atr_pct": F.col("atr") / F.greatest(close, F.lit(1e-12)) * 100, "last_high": F.try_element_at("last_highs", F.lit(-1)), "last_low": F.try_element_at("last_lows", F.lit(-1)),
+        "ema_bear": (close < F.col(fast)) & (F.col(fast) < F.col(middle)), "macro_bear": (F.col(middle) <= F.col(slow)) | (close < F.col(slow)), "lower_high": falls("highs"), "lower_low": falls("lows"),
+    }
+    return out.withColumns(named).drop("position", "last_highs", "last_lows")
 
 
 def with_sweep(bars: DataFrame, n: int = 20, keep: int = 8, over: float = 1.001) -> DataFrame:
@@ -138,11 +151,9 @@ def cross_section(features: DataFrame, column: str) -> DataFrame:
     return features.withColumns({"rank": rank, "rank_share": rank / n, "weakness": rank / F.greatest(n - 1, F.lit(1))})
 
 
-def equity(trades: DataFrame, keys: list[str], order: list[str], r: str = "r") -> DataFrame:
-    """Running total, its peak (0 at least) and the drawdown, in order, for each key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = trades.withColumn("equity", F.sum(r).over(w))
-    return summed.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(0.0))).withColumn("drawdown", F.col("peak") - F.col("equity"))
+def equity(trades: DataFrame, keys: list[str], order: list[str], r: str = "r", span_of: Column | None = None) -> DataFrame:
+    """Running total, its peak (0 at least) and the drawdown, in order, for each key. `span_of` cuts a key along its order (default: days of the first order column)."""
+    return running(trades, keys, order, r, span_of=F.floor(F.col(order[0]) / 86_400) if span_of is None else span_of)
 
 
 def price_clusters(levels: DataFrame, keys: list[str], price: str, gap: Column, touches: int = 1) -> DataFrame:

@@ -16,18 +16,19 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, righ
     return both.select("_left.*", "_found.*")
 
 
-def matched_controls(cases: DataFrame, pool: DataFrame, calipers: dict[str, float], distance: Column, top: int = 3) -> DataFrame:
+def matched_controls(cases: DataFrame, pool: DataFrame, calipers: dict[str, float], distance: Column, top: int = 3, *, allowed: Column | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """The `top` nearest rows of the pool at each case's timestamp: another symbol, within all calipers. `distance` may use c_ columns of the case and p_ columns of the pool.
 
+    `allowed` adds a condition on c_ and p_ columns, such as that the control doesn't carry the case's own family; `per` names further columns that tell cases apart.
     An equi-join on the timestamp with the calipers as its residual condition; never a product of the tables.
     """
     c = cases.select(*(F.col(x).alias(f"c_{x}") for x in cases.columns))
     p = pool.select(*(F.col(x).alias(f"p_{x}") for x in pool.columns))
-    close = F.lit(True)
+    close = F.lit(True) if allowed is None else allowed
     for column, width in calipers.items():
         close = close & (F.abs(F.col(f"c_{column}") - F.col(f"p_{column}")) <= width)
     joined = c.join(p, (F.col("c_ts") == F.col("p_ts")) & (F.col("c_symbol") != F.col("p_symbol")) & close)
-    w = Window.partitionBy("c_symbol", "c_ts").orderBy("distance", "p_symbol")
+    w = Window.partitionBy("c_symbol", "c_ts", *(f"c_{x}" for x in per)).orderBy("distance", "p_symbol")
     return joined.withColumn("distance", distance).withColumn("control_rank", F.row_number().over(w).cast("long")).where(F.col("control_rank") <= top)
 
 
@@ -46,11 +47,14 @@ def forward_bars(signals: DataFrame, bars: DataFrame, horizon: int) -> DataFrame
     return s.join(b, ["symbol", "_bucket"]).where((gap > 0) & (gap <= horizon)).drop("_bucket")
 
 
-def overlaps(trades: DataFrame, entry: str, exit_: str, keys: list[str]) -> DataFrame:
-    """How many trades of the key are open when each one is entered, by a running sum over entries and exits; itself not counted."""
-    steps = trades.select(*trades.columns, F.col(entry).alias("_t"), F.lit(1).alias("_step")).unionByName(trades.select(*trades.columns, F.col(exit_).alias("_t"), F.lit(-1).alias("_step")))
-    w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("open_trades", (F.sum("_step").over(w) - 1).cast("long")).where("_step = 1").drop("_t", "_step")
+def overlaps(trades: DataFrame, entry: str, exit_: str, keys: list[str], span: int = 86_400) -> DataFrame:
+    """How many trades of the key are open when each one is entered, itself not counted: a running sum over entries and exits within spans of time, on top of what the spans before leave open."""
+    steps = trades.select(*trades.columns, F.col(entry).alias("_t"), F.lit(1).alias("_step")).unionByName(trades.select(*trades.columns, F.col(exit_).alias("_t"), F.lit(-1).alias("_step"))).withColumn("_span", F.floor(F.col("_t") / span))
+    left = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = steps.groupBy(*keys, "_span").agg(F.sum("_step").alias("n")).select(*keys, "_span", left.alias("_left"))
+    w = Window.partitionBy(*keys, "_span").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    within = steps.withColumn("_open", F.sum("_step").over(w)).where("_step = 1").join(before, [*keys, "_span"])
+    return within.withColumn("open_trades", (F.col("_left") + F.col("_open") - 1).cast("long")).drop("_t", "_step", "_span", "_open", "_left")
 
 
 def assign_blocks(rows: DataFrame, ts: Column, start: int, seconds: int) -> DataFrame:
@@ -68,7 +72,9 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str],
     return joined.where(F.col("_a").isNull() | F.col("_b").isNull() | off).withColumn("problem", F.when(F.col("_a").isNull(), "UNEXPECTED").when(F.col("_b").isNull(), "MISSING").otherwise("DIFFERS")).drop("_a", "_b")
 
 
-def within_windows(bars: DataFrame, windows: DataFrame, step: int) -> DataFrame:
-    """Bars inside any window (symbol, start, end) of their symbol: the windows' slots, then a semi-join."""
+def within_windows(bars: DataFrame, windows: DataFrame, step: int, holdout: int | None = None) -> DataFrame:
+    """Bars inside any window (symbol, start, end) of their symbol: the windows' slots, then a semi-join. A bar at or after the holdout (seconds) fails the job when it is read."""
+    if holdout is not None:
+        bars = bars.withColumn("ts", F.when(F.unix_seconds("ts") < holdout, F.col("ts")).otherwise(F.raise_error(F.lit("a bar lies in the holdout")).cast("timestamp")))
     slots = windows.select("symbol", F.explode(F.sequence(F.unix_seconds("start"), F.unix_seconds("end"), F.lit(step).cast("long"))).alias("_s")).select("symbol", F.timestamp_seconds("_s").alias("ts")).distinct()
     return bars.join(slots, ["symbol", "ts"], "left_semi")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import trade_metrics, wilson
+from tidewatch.functions.columns import finite, trade_metrics, wilson
+from tidewatch.operators.scans import percentiles, running
 
 
 def metrics(trades: DataFrame, keys: list[str], r: str = "r") -> DataFrame:
@@ -27,30 +28,33 @@ def breakdowns(trades: DataFrame, dimensions: list[str], r: str = "r") -> DataFr
 
 def distribution(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Count, mean, extremes and exact linear-interpolated percentiles."""
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), q.alias("_q"))
-    return out.select(*keys, "n", "mean", "least", "most", *(F.col("_q")[i].alias(k) for i, k in enumerate(("p10", "p25", "p50", "p75", "p90"))))
+    out = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    named = percentiles(rows, keys, x, [0.1, 0.25, 0.5, 0.75, 0.9])
+    return out.join(named, keys, "left").select(*keys, "n", "mean", "least", "most", *(F.col("q")[i].alias(k) for i, k in enumerate(("p10", "p25", "p50", "p75", "p90"))))
 
 
 def quartile_buckets(rows: DataFrame, x: str, r: str = "r") -> DataFrame:
     """Metrics for each quartile of x; the cuts are three numbers and are joined back as a one-row table."""
-    cuts = rows.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_cuts"))
-    bucket = F.when(F.col(x) <= F.col("_cuts")[0], "Q1").when(F.col(x) <= F.col("_cuts")[1], "Q2").when(F.col(x) <= F.col("_cuts")[2], "Q3").otherwise("Q4")
+    cuts = percentiles(rows, [], x, [0.25, 0.5, 0.75])
+    bucket = F.when(F.col(x) <= F.col("q")[0], "Q1").when(F.col(x) <= F.col("q")[1], "Q2").when(F.col(x) <= F.col("q")[2], "Q3").otherwise("Q4")
     return metrics(rows.where(F.col(x).isNotNull()).join(F.broadcast(cuts)).withColumn("bucket", bucket), ["bucket"], r)
 
 
 def robust_means(rows: DataFrame, keys: list[str], x: str, share: float = 0.1) -> DataFrame:
     """Mean, mean without the outer shares, and mean with them set to the share's percentiles."""
-    cuts = rows.groupBy(*keys).agg(F.percentile(x, F.lit(share)).alias("_lo"), F.percentile(x, F.lit(1 - share)).alias("_hi"))
+    cuts = percentiles(rows, keys, x, [share, 1 - share]).select(*keys, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
     inside = F.col(x).between(F.col("_lo"), F.col("_hi"))
     return rows.join(cuts, keys).groupBy(*keys).agg(F.avg(x).alias("mean"), F.avg(F.when(inside, F.col(x))).alias("trimmed"), F.avg(F.least(F.greatest(F.col(x), F.col("_lo")), F.col("_hi"))).alias("winsorised"))
 
 
 def tail_risk(rows: DataFrame, keys: list[str], x: str, share: float = 0.05) -> DataFrame:
-    """Percentiles of the tails and the mean of the worst share of rows."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.where(F.col(x).isNotNull()).select(*keys, x, F.row_number().over(w.orderBy(x)).alias("_rank"), F.count("*").over(w).alias("_n"))
-    return ranked.groupBy(*keys).agg(F.percentile(x, F.lit(0.01)).alias("p01"), F.percentile(x, F.lit(0.05)).alias("p05"), F.percentile(x, F.lit(0.95)).alias("p95"), F.avg(F.when(F.col("_rank") <= F.ceil(F.col("_n") * share), F.col(x))).alias("shortfall"), F.count_if(F.col(x) < -0.9).alias("exceedances"))
+    """Percentiles of the tails and the mean of the worst share of rows: those below the last of its ranks, and as many equal to it as are left."""
+    last = F.ceil(F.col("_total") * share)
+    cuts = percentiles(rows, keys, x, [0.01, 0.05, 0.95, last - 1])
+    below = F.col(x) < F.col("q")[3]
+    out = rows.where(F.col(x).isNotNull()).join(cuts, keys).groupBy(*keys).agg(F.first("q").alias("q"), F.count("*").alias("_total"), F.coalesce(F.sum(F.when(below, F.col(x))), F.lit(0.0)).alias("_worse"), F.count_if(below).alias("_n"), F.count_if(F.col(x) < -0.9).alias("exceedances"))
+    shortfall = (F.col("_worse") + (last - F.col("_n")) * F.col("q")[3]) / last
+    return out.select(*keys, *(F.col("q")[i].alias(k) for i, k in enumerate(("p01", "p05", "p95"))), shortfall.alias("shortfall"), "exceedances")
 
 
 def by_cluster(rows: DataFrame, cluster: str, x: str) -> DataFrame:
@@ -61,18 +65,31 @@ def by_cluster(rows: DataFrame, cluster: str, x: str) -> DataFrame:
     return sums.join(F.broadcast(total)).agg(F.count("*").alias("clusters"), F.avg(F.col("s") / F.col("n")).alias("equal_mean"), F.count_if(F.col("s") > 0).alias("positive"), F.min(left_out).alias("least_without_one"), F.max(left_out).alias("most_without_one"))
 
 
+def _drawn(sums: DataFrame, n: int, reps: int, salt: str) -> DataFrame:
+    """95 % interval of sum(s) / sum(n) over n numbered groups (k, s, n) drawn with replacement. A draw is a hash of (salt, rep, draw), so results repeat; only the sums of the groups are drawn from."""
+    spark = sums.sparkSession
+    text = F.concat_ws("|", F.lit(salt), F.floor(F.col("id") / n).cast("string"), (F.col("id") % n).cast("string"))
+    draws = spark.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n).alias("k"))
+    means = draws.join(sums, "k").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    ordered = means.agg(F.sort_array(F.collect_list("mean")).alias("m"))  # `reps` numbers
+    return ordered.select(F.try_element_at("m", F.lit(int(0.025 * (reps - 1)) + 1)).alias("low"), F.try_element_at("m", F.lit(int(0.975 * (reps - 1)) + 1)).alias("high"))
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, x: str, reps: int = 500, least: int = 5) -> DataFrame:
-    """95 % interval of the mean by drawing clusters with replacement. Draws are hashes of (rep, draw), so results repeat; only sums by cluster are drawn from."""
+    """95 % interval of the mean by drawing clusters (days) with replacement; nulls with fewer than `least` clusters."""
     sums = rows.groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy(cluster)) - 1)  # one row for each cluster (day)
+    numbered = sums.withColumn("k", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long"))  # one row for each cluster
     n = numbered.count()
-    spark = rows.sparkSession
     if n < least:
-        return spark.sql("SELECT CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high")
-    draws = spark.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("k"))
-    means = draws.join(numbered, "k").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    ordered = means.agg(F.sort_array(F.collect_list("mean")).alias("m"))  # `reps` numbers
-    return ordered.select(F.col("m")[int(0.025 * (reps - 1))].alias("low"), F.col("m")[int(0.975 * (reps - 1))].alias("high"))
+        return rows.sparkSession.sql("SELECT CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high")
+    return _drawn(numbered, n, reps, "cluster")
+
+
+def row_bootstrap(rows: DataFrame, identity: str, x: str, reps: int = 500, bags: int = 1000) -> DataFrame:
+    """95 % interval of the mean of single rows. Rows are dealt into `bags` by the hash of their identity, and bags are drawn: independent rows in random bags vary as single ones do, while the work stays at reps * bags whatever the table's size."""
+    bag = F.conv(F.substring(F.md5(F.col(identity).cast("string")), 1, 8), 16, 10).cast("long") % bags
+    sums = rows.where(F.col(x).isNotNull()).groupBy(bag.alias("k")).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
+    return _drawn(sums, bags, reps, "row")
 
 
 def wilson_by(rows: DataFrame, keys: list[str], won: Column) -> DataFrame:
@@ -124,8 +141,10 @@ def co_occurrence(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
 def contrast(rows: DataFrame, features: list[str], good: Column) -> DataFrame:
     """Medians of each feature among good and other rows, and their difference."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("_f"), good.alias("_good")).select("_f.*", "_good")
-    out = long.groupBy("feature").agg(F.percentile(F.when(F.col("_good"), F.col("x")), F.lit(0.5)).alias("good"), F.percentile(F.when(~F.col("_good"), F.col("x")), F.lit(0.5)).alias("other"))
-    return out.withColumn("delta", F.col("good") - F.col("other"))
+    keyed = long.select("feature", "x", F.when(F.col("_good"), "good").when(~F.col("_good"), "other").alias("_side")).where("_side IS NOT NULL")
+    medians = percentiles(keyed, ["feature", "_side"], "x", [0.5])
+    out = medians.groupBy("feature").agg(*(F.max(F.when(F.col("_side") == k, F.col("q")[0])).alias(k) for k in ("good", "other")))
+    return long.select("feature").distinct().join(out, "feature", "left").withColumn("delta", F.col("good") - F.col("other"))
 
 
 def horizon_summary(pairs: DataFrame, day: Column) -> DataFrame:
@@ -150,3 +169,41 @@ def best_thresholds(rows: DataFrame, fold: str, score: str, thresholds: list[flo
     before = own.withColumns({"bs": F.sum("s").over(w), "bn": F.sum("n").over(w)}).where(F.col("bn") >= least)
     chosen = before.groupBy(fold).agg(F.max_by(F.struct("threshold", "s", "n", "bn"), F.struct(F.col("bs") / F.col("bn"), F.col("threshold"))).alias("c"))
     return chosen.select(fold, "c.threshold", F.col("c.n").alias("trades"), (F.col("c.s") / F.col("c.n")).alias("expectancy"))
+
+
+def rates(rows: DataFrame, keys: list[str], *, averages: list[str] = (), medians: list[str] = (), flags: list[str] = (), values: dict[str, tuple[str, str]] = {}, states: list[str] = ()) -> DataFrame:  # noqa: B006
+    """Means and medians of what is known and finite, shares of flags and of enum values among what is known (percent), and the counts of each state as `A:3;B:4` in order."""
+    known = lambda k: finite(F.col(k).cast("double"))
+    share = lambda holds, of: 100 * F.count_if(holds) / F.nullif(F.count(of), F.lit(0))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("count"), *(F.avg(known(k)).alias(f"avg_{k}") for k in averages), *(share(F.col(k), k).alias(f"rate_{k}") for k in flags), *(share(F.col(k) == v, k).alias(name) for name, (k, v) in values.items()))
+    for k in medians:
+        own = percentiles(rows.withColumn("_known", known(k)), keys, "_known", [0.5]).select(*keys, F.col("q")[0].alias(f"median_{k}"))
+        out = out.join(own, keys, "left") if keys else out.join(F.broadcast(own), F.lit(True), "left")
+    for k in states:
+        counted = rows.groupBy(*keys, F.coalesce(F.col(k).cast("string"), F.lit("UNKNOWN")).alias("_state")).agg(F.count("*").alias("_n"))  # few states
+        own = counted.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_state", "_n"))), lambda s: F.concat_ws(":", s["_state"], s["_n"].cast("string"))), ";").alias(f"{k}_counts"))
+        out = out.join(own, keys, "left") if keys else out.join(F.broadcast(own), F.lit(True), "left")
+    return out
+
+
+def diagnostics(rows: DataFrame, keys: list[str], horizons: tuple[int, ...]) -> DataFrame:
+    """The usual bundle of a cohort of direction labels: moves and shares at each horizon, first moves, direction classes."""
+    return rates(
+        rows, keys, averages=[f"{k}_{h}_atr" for h in horizons for k in ("close", "mfe", "mae")], medians=[f"close_{horizons[-1]}_atr"], flags=[f"short_{h}" for h in horizons],
+        values={"short_first_pct": ("first_move", "SHORT_FIRST"), "adverse_first_pct": ("first_move", "ADVERSE_FIRST"), "strong_pct": ("direction", "STRONG_SHORT_FOLLOWTHROUGH"), "wrong_timing_pct": ("direction", "BOTTOM_OR_WRONG_TIMING")}, states=["first_move", "direction"],
+    )
+
+
+def compounded(trades: DataFrame, keys: list[str], order: list[str], r: str, risk_pct: float, span_of: Column) -> DataFrame:
+    """Growth and deepest drawdown (percent) of an account that risks `risk_pct` of its equity on each trade, in order. Logs are summed in two levels, so no key is walked in one task."""
+    logs = trades.withColumn("_log", F.log(F.greatest(1 + F.col(r) * risk_pct / 100, F.lit(1e-12))))
+    out = running(logs, keys, order, "_log", span_of=span_of)
+    return out.groupBy(*keys).agg(F.count("*").alias("trades"), F.count_if(F.col(r) > 0).alias("wins"), ((F.exp(F.sum("_log")) - 1) * 100).alias("return_pct"), ((1 - F.exp(-F.max("drawdown"))) * 100).alias("max_drawdown_pct"))
+
+
+def loss_streaks(trades: DataFrame, keys: list[str], order: list[str], r: str, span_of: Column) -> DataFrame:
+    """The longest run of losses in order: losses between two other trades share their number of other trades before."""
+    marked = trades.where(F.col(r).isNotNull()).withColumn("_other", (F.col(r) >= 0).cast("double"))
+    placed = running(marked, keys, order, "_other", span_of=span_of)
+    runs = placed.groupBy(*keys, "equity").agg(F.count_if(F.col(r) < 0).alias("_run"))
+    return runs.groupBy(*keys).agg(F.max("_run").alias("longest_loss_streak"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,22 +23,28 @@ def epoch(t: Column) -> Column:
 
 
 def _finish(rows: DataFrame) -> DataFrame:
+    """Whole bars, each time once: the first of the payload stays, and of several payloads that with the lowest ingest_seq."""
     numbers = {k: finite(F.col(k).try_cast("double")) for k in FIELDS}
     whole = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
-    return rows.withColumns(numbers).where(whole & F.col("ts").isNotNull()).dropDuplicates(["symbol", "ts"])
+    first = F.min_by(F.struct(*FIELDS), F.struct("_seq", "_pos", *FIELDS))
+    return rows.withColumns(numbers).where(whole & F.col("ts").isNotNull()).groupBy("symbol", "ts").agg(first.alias("_bar")).select("symbol", "ts", "_bar.*")
+
+
+def _sequence(landed: DataFrame) -> Column:
+    return (F.col("ingest_seq") if "ingest_seq" in landed.columns else F.lit(0)).cast("long").alias("_seq")
 
 
 def parse_columns(landed: DataFrame, payload: str = "payload") -> DataFrame:
     """Payloads that hold parallel arrays, as bars."""
-    p = landed.select("symbol", F.from_json(payload, PAYLOAD).alias("p"))
+    p = landed.select("symbol", _sequence(landed), F.from_json(payload, PAYLOAD).alias("p"))
     zipped = F.arrays_zip(F.col("p.time").alias("t"), *(F.col(f"p.{'vol' if k == 'volume' else k}").alias(k) for k in FIELDS))
-    return _finish(p.select("symbol", F.explode(zipped).alias("z")).select("symbol", epoch(F.col("z.t")).alias("ts"), *(F.col(f"z.{k}").alias(k) for k in FIELDS)))
+    return _finish(p.select("symbol", "_seq", F.posexplode(zipped).alias("_pos", "z")).select("symbol", "_seq", "_pos", epoch(F.col("z.t")).alias("ts"), *(F.col(f"z.{k}").alias(k) for k in FIELDS)))
 
 
 def parse_rows(landed: DataFrame, payload: str = "payload") -> DataFrame:
     """Payloads that hold an array of rows [time, open, high, low, close, volume, amount], as bars."""
-    z = landed.select("symbol", F.explode(F.from_json(payload, ROWS)).alias("z"))
-    return _finish(z.select("symbol", epoch(F.col("z")[0].try_cast("bigint")).alias("ts"), *(F.col("z")[i + 1].alias(k) for i, k in enumerate(FIELDS))))
+    z = landed.select("symbol", _sequence(landed), F.posexplode(F.from_json(payload, ROWS)).alias("_pos", "z"))
+    return _finish(z.select("symbol", "_seq", "_pos", epoch(F.col("z")[0].try_cast("bigint")).alias("ts"), *(F.col("z")[i + 1].alias(k) for i, k in enumerate(FIELDS))))
 
 
 def quarantine(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,11 +80,38 @@ def read_checked(spark: SparkSession, path: str, schema: StructType | str, keys:
     bad_flag = F.lit(False)
     for f in flags:
         bad_flag = bad_flag | ~F.coalesce(F.col(f).cast("int").isin(0, 1), F.lit(False))
-    if df.where(bad_flag).limit(1).count() or df.groupBy(*keys).count().where("count > 1").limit(1).count():
-        raise ValueError(f"{path}: duplicate keys or flags outside 0 and 1")
+    seen = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(bad_flag).alias("_bad"))
+    wrong = seen.agg(F.count_if(F.col("_n") > 1).alias("duplicates"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("flags")).first()
+    if wrong.duplicates or wrong.flags:
+        raise ValueError(f"{path}: {wrong.duplicates} duplicate keys, {wrong.flags} rows with flags outside 0 and 1")
     return df
 
 
+def write_features(df: DataFrame, path: str, fields: list[str], flags: list[str], kind: str = "csv") -> None:
+    """Features in a fixed column order, flags as 0 and 1, gzip."""
+    own = [F.col(c).cast("int").alias(c) if c in flags else F.col(c) for c in fields]
+    df.select(*own).write.mode("errorifexists").option("compression", "gzip").option("header", True).format(kind).save(path)
+
+
+def write_registry(events: DataFrame, path: str, order: list[str]) -> None:
+    """An event registry as gzipped JSON lines, each file in time order."""
+    events.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "gzip").json(path)
+
+
+def read_registry(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir, or of a local session without one in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_once(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> None:
     """Writes a new table; an existing one is an error."""
     df.write.mode("errorifexists").options(**options).format(kind).save(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,8 +16,9 @@ def closed_bars(ticks: DataFrame, step: str, late: str) -> DataFrame:
 
 
 def captured(bars: DataFrame, slot: str, late: str) -> DataFrame:
-    """The first bar of each symbol and cadence slot; repeats within the watermark are dropped."""
-    return bars.withColumn("slot", F.window("ts", slot)["start"]).withWatermark("ts", late).dropDuplicatesWithinWatermark(["slot", "symbol"])
+    """The first bar of each symbol and cadence slot, once the watermark has passed the slot: a slot is captured once, whatever arrives again. Missed slots stay missing."""
+    first = F.min_by(F.struct("ts", "close"), "ts")
+    return bars.withWatermark("ts", late).groupBy("symbol", F.window("ts", slot)).agg(first.alias("_first")).select("symbol", F.col("window.start").alias("slot"), F.col("_first.ts").alias("ts"), F.col("_first.close").alias("close"))
 
 
 def registered(signals: DataFrame, late: str) -> DataFrame:
@@ -58,3 +59,21 @@ def cooled_down(events: DataFrame, seconds: int, late: str) -> DataFrame:
 
     slim = events.select("symbol", "ts").withWatermark("ts", late)
     return slim.groupBy("symbol").applyInPandasWithState(keep, "symbol string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_to_end(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Runs a stream over all that its source holds, into Parquet files of `folder`, and gives these back as a table."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def settlement(joined: DataFrame, signals: DataFrame, step: int, horizon_bars: int, now: int, *, move: float, most_missing: float = 0.05) -> DataFrame:
+    """Outcome of each signal (entry) from its later bars: CLOSED_TARGET or CLOSED_STOP at the first of -/+ `move`, CLOSED_TIME once the horizon is over with enough bars, POSTPONED if too many are missing, else OPEN."""
+    t = F.unix_seconds("bar_ts")
+    seen = joined.join(signals.select("symbol", "ts", "entry"), ["symbol", "ts"]).groupBy("symbol", "ts").agg(F.count("*").alias("bars"), F.min(F.when(F.col("low") <= F.col("entry") * (1 - move), t)).alias("_down"), F.min(F.when(F.col("high") >= F.col("entry") * (1 + move), t)).alias("_up"))
+    out = signals.join(seen, ["symbol", "ts"], "left")
+    over = F.unix_seconds("ts") + step * horizon_bars <= now
+    enough = F.coalesce("bars", F.lit(0)) >= (1 - most_missing) * horizon_bars
+    never = F.lit(2**62)
+    status = F.when(F.col("_up").isNotNull() & (F.col("_up") <= F.coalesce("_down", never)), "CLOSED_STOP").when(F.col("_down").isNotNull(), "CLOSED_TARGET").when(over & enough, "CLOSED_TIME").when(over, "POSTPONED").otherwise("OPEN")
+    return out.select("symbol", "ts", F.coalesce("bars", F.lit(0)).alias("bars"), status.alias("status"))
