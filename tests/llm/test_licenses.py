@@ -37,3 +37,42 @@ def test_version_spellings(spark):
     other = ["the Apache License 1.0", "the Apache License 2.0.1", "the GPL v4"]
     cases = [(k, n) for k, names in same.items() for n in names] + [("", n) for n in other]
     assert found(spark, [f"Text.\nLicensed under {n}." for _, n in cases]) == [("", k) for k, _ in cases]
+
+
+def test_neighbouring_spellings_have_one_form(spark):
+    rows = spark.createDataFrame([("sub licence licence licence",), ("sub license license license",), ("licence sub licence",), ("license sublicense",)], "t string")
+    forms = [r[0].split() for r in rows.select(licenses.canonical(rows.t)).collect()]
+    assert forms[0] == forms[1] and forms[2] == forms[3]
+
+
+def test_each_built_in_text_is_found_in_other_spellings(spark):
+    from pyspark.sql import functions as F
+
+    known = licenses.known_licenses(spark)
+    shown = F.concat(F.lit("Copyright (c) 2021 A. Person\n  "), F.upper(F.replace(F.regexp_replace("text", r"\blicense\b", "licence"), F.lit(", "), F.lit(" ,\t "))))
+    rows = known.select(F.row_number().over(licenses_order()).cast("long").alias("doc_id"), "license_id", shown.alias("text"))
+    ids = {r.doc_id: r.license_id for r in rows.select("doc_id", "license_id").collect()}
+    for r in licenses.scan(rows.select("doc_id", "text")).collect():
+        assert ids[r.doc_id] in r.whole_license.split(","), (r.doc_id, ids[r.doc_id], r.whole_license)
+
+
+def licenses_order():
+    from pyspark.sql import Window
+
+    return Window.orderBy("license_id", "text")
+
+
+def test_notices_of_later_versions_and_of_the_usual_header(spark):
+    texts = ["# SPDX-License-Identifier: GPL-3.0-or-later", 'x\nLicensed under the Apache License, Version 2.0 (the "License");\ny', "licensed under MIT", "Licensed under the GPLv2 or later.", "no notice", "Distributed for reading.\nReleased today."]
+    assert [x[1] for x in found(spark, texts)] == ["GPL-3.0-or-later", "Apache-2.0", "MIT", "GPL-2.0-or-later", "", ""]
+
+
+def test_defined_cases(spark):
+    one = "Licensed under the MIT License."
+    rows = [(1, one, "a", 1), (1, one, "a", 1), (None, one, "a", 1), (2, None, "a", 1), (3, "", "a", 1), (4, "© 2020", "a", 1), (5, "plain line\n" * 200_000 + one, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, row int")
+    got = sorted(((r.doc_id, r.licenses, r.n_lines) for r in licenses.scan(docs).collect()), key=str)
+    assert got == sorted([(1, "MIT", 1), (1, "MIT", 1), (None, "MIT", 1), (2, "", 0), (3, "", 0), (4, "", 0), (5, "MIT", 1)], key=str)
+    assert licenses.scan(docs.where("false")).count() == 0
+    own = spark.createDataFrame([("OWN", "Free for all uses"), ("EMPTY", "(c) 1999")], "license_id string, text string")
+    assert {r.licenses for r in licenses.scan(spark.createDataFrame([(1, "free, for ALL uses!")], "doc_id long, text string"), own).collect()} == {"OWN"}

@@ -1,15 +1,20 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
 A text is brought to a canonical form: lower case, copyright lines and list marks gone, punctuation and space as single blanks, equivalent
-spellings as one, a version as its number alone ('version 2.0', 'v2' and '2.0' are '2'). Known licence texts pass through the same form. The digest of the whole text, and of each of its lines, is joined to
+spellings as one, a version as its number alone ('version 2.0', 'v2' and '2.0' are '2', '2.0+' is '2 or later'). Known licence texts pass through the same form. The digest of the whole text, and of each of its lines, is joined to
 the known digests, so a licence is found as a whole document and as a notice line within one.
 
+Every known text holds one of a few stems (ANCHORS), so a text or line without any can't be one and isn't brought to its form. Where a table of licences
+has a text without one, all lines are.
+
 Defined cases: a null or empty text matches nothing; a text whose canonical form is empty has no digest; repeated rows and rows with a null doc_id
 are judged one by one; other columns are ignored. Two licences with one canonical form are both reported.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +66,16 @@ OTHER_NAMES = {
         for short, long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"))
     },
 }
+#: Identifiers that allow later versions, and the names that notices use for them.
+OR_LATER = {
+    "GPL-2.0-or-later": ("GNU General Public License v2.0 or later", "GNU General Public License, version 2 or later", "GPL-2.0+", "GPLv2+", "GPLv2 or later"),
+    "GPL-3.0-or-later": ("GNU General Public License v3.0 or later", "GNU General Public License, version 3 or later", "GPL-3.0+", "GPLv3+", "GPLv3 or later"),
+    "LGPL-2.1-or-later": ("GNU Lesser General Public License v2.1 or later", "GNU Lesser General Public License, version 2.1 or later", "LGPL-2.1+", "LGPLv2.1+"),
+    "LGPL-3.0-or-later": ("GNU Lesser General Public License v3.0 or later", "GNU Lesser General Public License, version 3 or later", "LGPL-3.0+", "LGPLv3+"),
+    "AGPL-3.0-or-later": ("GNU Affero General Public License v3.0 or later", "GNU Affero General Public License, version 3 or later", "AGPL-3.0+", "AGPLv3+"),
+}
 #: The sentences around a licence's name.
-NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the {}.", "This project is licensed under the {}.")
+NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the {}.", "This project is licensed under the {}.", "This project is licensed under {}.", 'Licensed under the {} (the "License");')
 #: Whole texts of short licences.
 TEXTS = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
@@ -81,12 +94,22 @@ MARKS = r"(^|\n)[ \t]*([0-9]{1,2}[.)]|[-*•#/;])+[ \t]+"
 def canonical(text: Column) -> Column:
     """The canonical form, line by line: lines are kept apart by \\n and empty ones are gone."""
     out = F.lower(text)
-    for pattern, to in ((COPYRIGHT_LINE, "$1"), (MARKS, "$1"), (r"\b(version\s*|ver\.?[ \t]*|v\.?[ \t]*)(?=[0-9])", ""), (r"(?<=[0-9])(\.0)+(?![0-9]|\.[0-9])", ""), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n[ \n]*", " \n "), (r"^[ \n]+|[ \n]+$", "")):
+    for pattern, to in ((COPYRIGHT_LINE, "$1"), (MARKS, "$1"), (r"(?<=[0-9])\+(?![0-9])", " or later"), (r"\b(version\s*|ver\.?[ \t]*|v\.?[ \t]*)(?=[0-9])", ""), (r"(?<=[0-9])(\.0)+(?![0-9]|\.[0-9])", ""), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n[ \n]*", " \n "), (r"^[ \n]+|[ \n]+$", "")):
         out = F.regexp_replace(out, pattern, to)
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+    # each word gets its own blanks on both sides, so that neighbours don't share one
+    out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return out
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new} "))
+    return F.replace(out, F.lit("  "), F.lit(" "))
+
+
+#: Stems of which each built-in text, in any spelling, holds one; `licen` also stands in licence.
+ANCHORS = ("licen", "spdx", "releas", "distribut")
+
+
+def anchored(text: Column) -> Column:
+    lowered = F.lower(text)
+    return reduce(or_, (F.contains(lowered, F.lit(a)) for a in ANCHORS))
 
 
 def whole_texts() -> dict[str, tuple[str, str, str]]:
@@ -101,9 +124,10 @@ def whole_texts() -> dict[str, tuple[str, str, str]]:
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id and text of the built-in notices and texts: each notice with each name, each text with and without titles and appendix."""
     names = {k: (name, k, f"{k} License", *OTHER_NAMES.get(k, ())) for k, name in NAMES.items()}
-    named = spark.createDataFrame([(k, x) for k, own in names.items() for x in own], "license_id string, name string")
+    later = {k: (k, *own) for k, own in OR_LATER.items()}
+    named = spark.createDataFrame([(k, x) for k, own in (names | later).items() for x in own], "license_id string, name string")
     notices = named.select("license_id", F.explode(F.array(*(F.replace(F.lit(n), F.lit("{}"), F.col("name")) for n in NOTICES))).alias("text"))
-    tags = spark.createDataFrame([(k, f"SPDX-License-Identifier: {k}") for k in NAMES], "license_id string, text string")
+    tags = spark.createDataFrame([(k, f"SPDX-License-Identifier: {k}") for k in (*NAMES, *OR_LATER)], "license_id string, text string")
     rows = []
     for k, (title, terms, appendix) in whole_texts().items():
         usual = (x for n in names[k] for x in (n, f"The {n}")) if len(terms) < 5_000 else (title.strip().split("\n\n")[0], NAMES[k], *OTHER_NAMES.get(k, ())[:2])
@@ -124,11 +148,17 @@ def scan(documents: DataFrame, licenses: DataFrame | None = None, *, id_col: str
     """
     if licenses is None:
         licenses = known_licenses(documents.sparkSession)
-    known = licenses.select("license_id", _digest(canonical(F.col("text"))).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
-    if licenses.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    canon = licenses.select("license_id", canonical(F.col("text")).alias("canon"))
+    size = canon.agg(F.count("*").alias("rows"), F.coalesce(F.bool_and(anchored(F.col("canon")) | (F.trim("canon") == "")), F.lit(True)).alias("all_anchored")).first()
+    known = canon.select("license_id", _digest(F.col("canon")).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
+    if size.rows <= broadcast_rows:
         known = F.broadcast(known)
-    canon = documents.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("canon"))
-    units = canon.select("doc_id", "row", F.posexplode(F.concat(F.array("canon"), F.split("canon", "\n"))).alias("unit", "line"))
-    looked = units.select("doc_id", "row", "unit", _digest(F.col("line")).alias("digest")).join(known, "digest", "left").where("unit = 0 OR ids IS NOT NULL")
+    may_hold = anchored if size.all_anchored else (lambda text: text.isNotNull())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    # the whole text as unit 0, then the lines that may be a notice; a text that can't hold one has no unit
+    parts = F.when(may_hold(F.col("text")), F.concat(F.array("text"), F.filter(F.split("text", "\n"), may_hold)))
+    units = rows.select("doc_id", "row", F.posexplode_outer(parts).alias("unit", "line"))
+    looked = units.select("doc_id", "row", "unit", _digest(canonical(F.col("line"))).alias("digest")).join(known, "digest", "left").where("unit IS NULL OR unit = 0 OR ids IS NOT NULL")
     found = looked.groupBy("row", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"), F.max(F.when(F.col("unit") == 0, F.array_join("ids", ","))).alias("whole_license"), F.count_if((F.col("unit") > 0) & F.col("ids").isNotNull()).alias("n_lines"))
     return found.select("doc_id", F.coalesce("whole_license", F.lit("")).alias("whole_license"), F.array_join("ids", ",").alias("licenses"), F.col("n_lines").cast("long").alias("n_lines"))
