@@ -1,26 +1,29 @@
 """Benchmark decontamination with a Wu-Manber search over words.
 
 Words are the runs of ASCII digits, ASCII letters (A-Z lower-cased) and non-ASCII characters. Every run of `window` words of a benchmark item is a
-pattern; an item of fewer words is one pattern. Patterns of one length share a searcher: a block of two words tells how far the search may jump,
-a block that ends some pattern leads to a bucket of patterns, and direct comparison confirms an occurrence.
+pattern; an item of fewer words is one pattern. For each length of pattern, a table of shifts, indexed by the hash of a block of two words, tells how far
+the search may jump; a collision only shortens a jump. Where a block may end a pattern, the search stops, the hash of the window there selects the test
+strings, and direct comparison of the words confirms an occurrence.
 
-The benchmark is the query set. It reaches the executors in blocks of at most `block_patterns` patterns, and each block is held against all
-documents, so a benchmark of any size is covered whole.
+Only the tables of shifts reach driver and tasks as a whole: at most `slots` bytes for each of the `window` lengths. Patterns stay a table, which joins the
+windows where the search stopped; it is broadcast while it has at most `broadcast_patterns` rows, and joins by shuffle beyond that. Where the
+patterns are so many that the tables are full, the search stops more often, and results stay the same.
 
 Defined cases: a null or empty text has no words and no hits; benchmark rows with a null id or text are left out; repeated benchmark rows count
-once; repeated documents are judged one by one; a null doc_id stays null; other columns are ignored.
+once; repeated documents are judged one by one; a null doc_id stays null; an empty benchmark leaves all clean; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, id_and_bytes
+from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes
 
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -29,116 +32,126 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_KEEP).split()
 
 
-class WuManber:
-    """Finds all occurrences of word tuples that share one length."""
-
-    def __init__(self, patterns: dict[tuple, list[str]]) -> None:
-        self.length = len(next(iter(patterns)))
-        self.block = min(2, self.length)
-        self.jump = self.length - self.block + 1
-        self.shifts: dict[tuple, int] = {}
-        self.buckets: dict[tuple, list[tuple[list, list[str]]]] = {}
-        for words, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                at, left = words[end - self.block : end], self.length - end
-                if left < self.shifts.get(at, self.jump):
-                    self.shifts[at] = left
-            self.buckets.setdefault(words[-self.block :], []).append((list(words), items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """The start of each occurrence and the items that hold the pattern."""
-        length, jump, shift_of, end = self.length, self.jump, self.shifts.get, self.length
-        pairs, n = self.block == 2, len(words)
-        while end <= n:
-            at = (words[end - 2], words[end - 1]) if pairs else (words[end - 1],)
-            shift = shift_of(at, jump)
-            if shift:
-                end += shift
-                continue
-            start = end - length
-            first = words[start]
-            for pattern, items in self.buckets[at]:
-                if pattern[0] == first and words[start:end] == pattern:
-                    yield start, items
+def _block(words: list[bytes], end: int, size: int, mask: int) -> int:
+    """The slot of the block that ends before position `end`."""
+    return xxhash.xxh64_intdigest(b" ".join(words[end - size : end])) & mask
+
+
+def shifts_of(words: list[bytes], mask: int) -> Iterator[tuple[int, int]]:
+    """(slot, shift) of each block of one pattern."""
+    n, size = len(words), min(2, len(words))
+    for end in range(size, n + 1):
+        yield _block(words, end, size, mask), n - end
+
+
+def stops(words: list[bytes], length: int, table: bytes) -> Iterator[int]:
+    """Where a pattern of this length may start. `table` has the shift of each slot; its size is a power of two."""
+    size, mask, end, n = min(2, length), len(table) - 1, length, len(words)
+    digest = xxhash.xxh64_intdigest
+    while end <= n:
+        shift = table[digest(b" ".join(words[end - size : end])) & mask]
+        if shift:
+            end += shift
+        else:
+            yield end - length
             end += 1
 
 
-def patterns_of(rows, window: int) -> Iterator[tuple[tuple, str]]:
-    for item, text in rows:
-        words = words_of(bytes(text))
-        for start in range(max(1, len(words) - window + 1)) if words else ():
-            yield tuple(words[start : start + window]), str(item)
+_PATTERNS = "length int, key long, words binary, item string"
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_patterns: int) -> Iterator[dict[tuple, list[str]]]:
-    rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("binary").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
-    block: dict[tuple, list[str]] = {}
-    for words, item in patterns_of(rows.toLocalIterator(), window):
-        if words not in block and len(block) >= block_patterns:
-            yield block
-            block = {}
-        if item not in (items := block.setdefault(words, [])):
-            items.append(item)
-    yield block
+def _patterns(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """The distinct patterns of each item: their length, the hash of their words and the words themselves."""
+    schema = arrow_schema(_PATTERNS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, cell in zip(b.column("item").to_pylist(), b.column("text")):
+                words = words_of(cell.as_py())
+                for start in range(max(1, len(words) - window + 1)) if words else ():
+                    own = words[start : start + window]
+                    line = b" ".join(own)
+                    rows.append((len(own), _signed(line), line, item))
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-def _spread(spans: list[tuple[int, int]]) -> int:
-    """How many words the spans cover."""
-    covered = reach = 0
-    for start, end in sorted(spans):
-        covered += max(0, end - max(start, reach))
-        reach = max(reach, end)
-    return covered
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    return checkpoint(items.mapInArrow(run, _PATTERNS).distinct())
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_PART = "doc_id long, text binary, spans array<struct<start:long,end:long>>, items array<string>"
+def _signed(line: bytes) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(line)).view(np.int64))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, hit_share: int = 20, block_patterns: int = 200_000) -> DataFrame:
-    """One row for each document: words, words hit, items that occur, and contaminated (any hit and hit_share * n_hit >= n_words)."""
-    sc = documents.sparkSession.sparkContext
-    df = id_and_bytes(documents, id_col, text_col)
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_patterns)
-    here, rest = next(blocks), next(blocks, None)
-    while rest is not None:
-        df = df.mapInArrow(_searching(sc.broadcast(here), None), _PART)
-        here, rest = rest, next(blocks, None)
-    return df.mapInArrow(_searching(sc.broadcast(here), hit_share), RESULT)
+def _tables(patterns: DataFrame, slots: int) -> dict[int, bytes]:
+    """The table of shifts of each length of pattern, reduced by Spark to one number for each slot."""
+    schema = arrow_schema("length int, slot int, shift int")
+    mask = slots - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(n, slot, shift) for n, line in zip(b.column("length").to_pylist(), b.column("words")) for slot, shift in shifts_of(line.as_py().split(b" "), mask)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
 
-def _searching(patterns, hit_share: int | None):
-    """A batch function that adds the occurrences of one block; the last block's gives the results."""
-    schema = arrow_schema(RESULT if hit_share else _PART)
+    least = patterns.select("length", "words").distinct().mapInArrow(run, "length int, slot int, shift int").groupBy("length", "slot").agg(F.min("shift").alias("shift")).toArrow()
+    out = {}
+    lengths, slot, shift = (least.column(k).to_numpy() for k in ("length", "slot", "shift"))
+    for n in np.unique(lengths).tolist():
+        table = np.full(slots, n - min(2, n) + 1, np.uint8)
+        table[slot[lengths == n]] = shift[lengths == n]
+        out[n] = table.tobytes()
+    return out
+
+
+_SCANNED = "row string, doc_id long, n_words long, found array<struct<start:long,length:int,key:long,words:binary>>"
+
+
+def _scanning(tables):
+    schema = arrow_schema(_SCANNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length: dict[int, dict[tuple, list[str]]] = {}
-        for words, items in patterns.value.items():
-            by_length.setdefault(len(words), {})[words] = items
-        searchers = [WuManber(p) for p in by_length.values()]
+        from pyspark import TaskContext
+
+        n, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            known = batch.schema.get_field_index("spans") >= 0
-            columns = [batch.column("doc_id").to_pylist(), batch.column("text"), *((batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if known else ())]
-            for doc_id, cell, *before in zip(*columns):
-                text = cell.as_py()
-                words = words_of(text)
-                spans = [(x["start"], x["end"]) for x in before[0]] if known else []
-                items = set(before[1]) if known else set()
-                for searcher in searchers:
-                    for start, found in searcher.search(words):
-                        spans.append((start, start + searcher.length))
-                        items.update(found)
-                if hit_share:
-                    hit = _spread(spans)
-                    rows.append((doc_id, len(words), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and hit_share * hit >= len(words)))
-                else:
-                    rows.append((doc_id, text, [{"start": a, "end": b} for a, b in spans], sorted(items)))
+            for doc_id, cell in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                words, found = words_of(cell.as_py()), []
+                for length, table in tables.value.items():
+                    for start in stops(words, length, table):
+                        line = b" ".join(words[start : start + length])
+                        found.append({"start": start, "length": length, "key": _signed(line), "words": line})
+                n += 1
+                rows.append((f"{task}-{n}", doc_id, len(words), found))
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
     return run
 
 
+def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, hit_share: int = 20, slots: int = 1 << 20, broadcast_patterns: int = 1_000_000) -> DataFrame:
+    """One row for each document: words, words hit, items that occur, and contaminated (any hit and hit_share * n_hit >= n_words). `slots` is a power of two."""
+    sc = documents.sparkSession.sparkContext
+    patterns = _patterns(benchmark, item_col, item_text_col, window)
+    scanned = checkpoint(id_and_bytes(documents, id_col, text_col).mapInArrow(_scanning(sc.broadcast(_tables(patterns, slots))), _SCANNED))
+    tested = patterns.select("key", "words", "item")
+    if patterns.count() <= broadcast_patterns:
+        tested = F.broadcast(tested)
+    stopped = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
+    hits = stopped.join(tested, ["key", "words"]).groupBy("row", "start", "length").agg(F.collect_set("item").alias("items"))
+    # spans in order; a word counts once however many spans hold it
+    start = F.struct(F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("covered"))
+
+    def step(acc, s):
+        end = s["start"] + s["length"]
+        return F.struct(F.greatest(acc["reach"], end).alias("reach"), (acc["covered"] + F.greatest(end - F.greatest(s["start"], acc["reach"]), F.lit(0))).alias("covered"))
+
+    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counted = by_row.select("row", F.aggregate("spans", start, step, lambda acc: acc["covered"]).alias("hit"), "items")
+    both = scanned.select("row", "doc_id", "n_words").join(counted, "row", "left")
+    n_hit, items = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (hit_share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their own columns. Rows whose doc_id is null stay; rows with one doc_id stay or go together."""
     bad = contamination(documents, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
