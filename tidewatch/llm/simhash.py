@@ -334,18 +334,25 @@ def edges_between(fps: DataFrame, *, block: int = 4096) -> DataFrame:
     return found.where("key IS NULL").select("a", "b").union(dealt.mapInArrow(_block_edges, "a long, b long")).distinct()
 
 
+def joined_by(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """Rows with the one row of their key. Keys that hold over 1 / share of all rows (column n of per_key counts them), of which there are fewer than `share`, are broadcast, so that none comes together in one task."""
+    hot = F.broadcast(per_key.where(F.col(n) * share > total))
+    return rows.join(hot, key).union(rows.join(hot.select(key), key, "left_anti").join(per_key.where(F.col(n) * share <= total), key))
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """vertex and root (the smallest vertex that it reaches), for each vertex of an edge."""
+    """vertex and root (the smallest vertex that it reaches), for each vertex of an edge. Vertices may be of any type that has an order."""
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    before = None
+    measured = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = measured()
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = joined_by(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_by(large, least, "u", "n", before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpoint(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = measured()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "vertex")
         before = now
@@ -355,12 +362,16 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, block: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row."""
     prints = checkpoint(fingerprints(documents, id_col=id_col, text_col=text_col, width=width))
-    first = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(edges_between(first.select("fp"), block=block))
-    rooted = first.join(roots, first.fp == roots.vertex, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint is named by its smallest doc_id, so that the root of a component is its id; one without any comes last
+    name = F.struct(F.col("first").isNull().alias("no_id"), "first", "fp").alias("name")
+    first = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("fp", "n", name))
+    total = int(first.agg(F.sum("n")).first()[0] or 0)
+    found = checkpoint(edges_between(first.select("fp"), block=block))
+    by_fp = lambda side: first.select(F.col("fp").alias(side), F.col("name").alias(f"{side}_name"))
+    edges = found.join(by_fp("a"), "a").join(by_fp("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    roots = components(edges)
+    classes = first.join(roots, first.name == roots.vertex, "left").select("fp", "n", F.coalesce(F.col("root.first"), F.col("name.first")).alias("component_id"))
+    return joined_by(prints, classes, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
