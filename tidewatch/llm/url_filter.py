@@ -2,7 +2,7 @@
 
 The trees learn from labelled URLs: a table of (url, blocked), or, without one, the URLs that the rules decide. Features are lengths, depth, digit
 ratios, character entropy, parameter counts and suffix statistics, the smoothed share of blocked URLs under the last one and the last two labels of the host
-among the labelled ones. Training takes at most `max_training` distinct labelled URLs, those with the lowest hash, each weighted by its number of rows; suffix
+among the labelled ones. A training row's own label is taken out of its shares. Training takes at most `max_training` distinct labelled URLs, those with the lowest hash, each weighted by its number of rows; suffix
 statistics and verdicts cover all.
 
 Defined cases: a null URL or one without `://` has an empty host and path, matches no rule and is judged like any other; if the labels hold
@@ -44,7 +44,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     u = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(u), F.lit(1))
-    kinds = F.map_values(F.aggregate(F.filter(F.split(u, ""), lambda c: c != ""), F.create_map().cast("map<string,int>"), lambda m, c: F.map_concat(F.map_filter(m, lambda k, _: k != c), F.create_map(c, F.coalesce(F.element_at(m, c), F.lit(0)) + 1))))
+    kinds = F.transform(F.array_distinct(F.filter(F.split(u, ""), lambda c: c != "")), lambda c: n - F.length(F.replace(u, c, F.lit(""))))
     entropy = F.aggregate(kinds, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
     count = lambda pattern, of: F.regexp_count(of, F.lit(pattern)).cast("double")
     return {
@@ -73,12 +73,15 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, *, id_col: str =
         method = F.lit("block" if totals.mean == 1.0 else "allow")
         return rows.select(*out, F.coalesce("says", method).alias("verdict"), F.lit(float(totals.mean or 0.0)).alias("score"))
 
-    def with_suffixes(df: DataFrame) -> DataFrame:
+    def with_suffixes(df: DataFrame, own_n: Column, own_label: Column) -> DataFrame:
+        """The share of blocked URLs under each suffix and how many there are, without the row's own ones."""
         for labels in (1, 2):
-            share = marked.groupBy(_suffix(F.col("host"), labels).alias(f"suffix{labels}")).agg(((F.sum("label") + smoothing * totals.mean) / (F.count("*") + smoothing)).alias(f"blocked{labels}"), F.log1p(F.count("*")).alias(f"seen{labels}"))
+            seen = marked.groupBy(_suffix(F.col("host"), labels).alias(f"suffix{labels}")).agg(F.sum("label").alias("_s"), F.count("*").alias("_n"))
             if small[labels]:
-                share = F.broadcast(share)
-            df = df.withColumn(f"suffix{labels}", _suffix(F.col("host"), labels)).join(share, f"suffix{labels}", "left").fillna({f"blocked{labels}": totals.mean, f"seen{labels}": 0.0})
+                seen = F.broadcast(seen)
+            n, s = F.coalesce("_n", F.lit(0)) - own_n, F.coalesce("_s", F.lit(0.0)) - own_n * own_label
+            joined = df.withColumn(f"suffix{labels}", _suffix(F.col("host"), labels)).join(seen, f"suffix{labels}", "left")
+            df = joined.withColumns({f"blocked{labels}": (s + smoothing * totals.mean) / (n + smoothing), f"seen{labels}": F.log1p(n)}).drop("_s", "_n")
         return df
 
     small = {k: marked.select(_suffix(F.col("host"), k)).distinct().limit(suffix_rows + 1).count() <= suffix_rows for k in (1, 2)}
@@ -87,9 +90,9 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, *, id_col: str =
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     distinct = marked.groupBy("url", "label").agg(F.count("*").cast("double").alias("weight"))
     sample = parts(distinct.orderBy(F.xxhash64("url"), "url", "label").limit(max_training))
-    training = assembler.transform(with_suffixes(sample).withColumns(features)).select("features", "label", "weight").repartition(2).cache()
+    training = assembler.transform(with_suffixes(sample, F.col("weight"), F.col("label")).withColumns(features)).select("features", "label", "weight").repartition(2).cache()
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, maxBins=32, weightCol="weight").fit(training)
     training.unpersist()
-    undecided = assembler.transform(with_suffixes(rows).withColumns(features))
+    undecided = assembler.transform(with_suffixes(rows, F.lit(0), F.lit(0.0)).withColumns(features))
     scored = model.transform(undecided).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*out, F.coalesce("says", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
