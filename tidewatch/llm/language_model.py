@@ -1,4 +1,4 @@
-"""Katz backoff language model over word pairs, counted and evaluated in partitioned tables.
+"""Katz backoff language model over word pairs, counted and evaluated in partitioned tables. ngram_tables has the model of any order.
 
 P(w|h) = d(c) c(h,w) / c(h) if the pair occurs in the training texts, else alpha(h) P1(w); P1(w) = d1(c) c(w) / N if the word occurs, else the unigram mass that
 discounting leaves, which is the probability of the unknown word. A history that never occurs backs off with weight one. d is the Good-Turing
@@ -8,11 +8,12 @@ discounts, the largest usable cut-off below five is taken, and at last an absolu
 
 Work is laid out so that nothing grows with the corpus in one place:
 
-1. word counts, by Spark's aggregation; only their sum, their counts of counts and the words with over `hot` occurrences come to the driver;
+1. word counts, by Spark's aggregation; only their sum, their counts of counts and the words that hold over 1 / hot_share of all tokens, fewer than hot_share of them, come to the driver;
 2. each batch of documents gives its distinct pairs with the documents that hold them, by bucket of the word (of the pair, where the word is hot);
    a bucket holds about `bucket_tokens` tokens. Buckets count pairs and words and give each batch its documents' sums back, each history its part
    of the backoff table, and the pairs of scored documents that are unseen;
-3. the backoff table is settled by bucket of the history, where the unseen pairs wait for it;
+3. the backoff table is settled by bucket of the history, where the unseen pairs wait for it; hot histories, fewer than hot_share, are settled apart and
+   their unseen pairs spread by batch;
 4. each batch adds up its documents.
 
 Words are known by 64 bits of their hash and histories by 48, so of V words about V / 2**49 share a history with another.
@@ -225,13 +226,14 @@ def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, order[new]
 
 
-def _counted(n_train: int, d1: list[float], unknown: float, hot: dict[int, int], buckets: int):
-    """Over pair blobs sorted by bucket."""
+def _counted(n_train: int, d1: list[float], unknown: float, hot: dict[int, int], hot_histories: list[int], buckets: int):
+    """Over pair blobs sorted by bucket. Hot histories leave their part of the backoff table apart (hback), and their unseen pairs go to buckets by batch."""
     schema = arrow_schema(_OUT)
     end = np.uint64(_hash(END))
     hot_keys = np.array(sorted(np.array(list(hot), np.int64).view(np.uint64).tolist()), np.uint64)
     by_hash = {int(np.int64(k).view(np.uint64)): n for k, n in hot.items()}
     hot_counts = np.array([by_hash[int(k)] for k in hot_keys], np.float64)
+    hot_h = np.unique(np.array(hot_histories, np.int64).view(np.uint64) & _M48)
 
     def one(kind: str, part: int, batch: int, blob: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((kind, part, batch, blob), schema)], schema=schema)
@@ -268,10 +270,10 @@ def _counted(n_train: int, d1: list[float], unknown: float, hot: dict[int, int],
         h, of = np.unique(history[first[train_pairs]], return_inverse=True)
         by_count = [np.bincount(of, weights=c == r, minlength=len(h)) for r in range(1, K + 1)] + [np.bincount(of, weights=c > K, minlength=len(h))]
         columns = [h, np.bincount(of, weights=c, minlength=len(h)), *by_count, np.bincount(of, weights=p1[inverse[first[train_pairs]]], minlength=len(h))]
-        home = (_mix(h) % np.uint64(buckets)).astype(np.int64)
+        home = np.where(np.isin(h, hot_h), -1, (_mix(h) % np.uint64(buckets)).astype(np.int64))
         for b in np.unique(home):
             k = home == b
-            yield one("back", int(b), 0, _pack(columns[0][k], *(_small(x[k].astype(np.int64)) for x in columns[1:-1]), columns[-1][k]))
+            yield one("back" if b >= 0 else "hback", int(b), 0, _pack(columns[0][k], *(_small(x[k].astype(np.int64)) for x in columns[1:-1]), columns[-1][k]))
         yield one("stat", 0, 0, _pack(np.array([(c == r).sum() for r in range(1, K + 2)], np.int64)))
         # what each batch's documents gain here
         at = 0
@@ -289,7 +291,7 @@ def _counted(n_train: int, d1: list[float], unknown: float, hot: dict[int, int],
             miss = np.nonzero(c == 0)[0]
             if len(miss):
                 hm = history[pair[miss]]
-                home = _mix(hm) % np.uint64(buckets)
+                home = (_mix(hm) + np.where(np.isin(hm, hot_h), np.uint64(key), np.uint64(0))) % np.uint64(buckets)
                 for b in np.unique(home):
                     k = home == b
                     yield one("miss", int(b), key, _pack(hm[k], doc[miss][k], _small(n[miss][k].astype(np.int64)), np.log10(p1[w[miss][k]])))
@@ -301,15 +303,22 @@ def _counted(n_train: int, d1: list[float], unknown: float, hot: dict[int, int],
     return run
 
 
-def _settled(d2: list[float]):
-    """Over the backoff parts and unseen pairs sorted by history bucket: what the documents gain by backing off."""
+def _left(d2: list[float]) -> np.ndarray:
+    """What discounting leaves of each count class."""
+    return np.array([(1 - d) * r for r, d in enumerate(d2, 1)] + [TAKEN])
+
+
+def _settled(d2: list[float], of_hot: tuple[np.ndarray, np.ndarray]):
+    """Over the backoff parts and unseen pairs sorted by history bucket: what the documents gain by backing off. `of_hot` has the hot histories and their weights."""
     schema = arrow_schema("batch long, blob binary")
-    left = np.array([(1 - d) * r for r, d in enumerate(d2, 1)] + [TAKEN])
+    left = _left(d2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "part"):
             parts = [_unpack(blob) for kind, _, _, blob in rows if kind == "back"]
-            h, log_weight = backoff_weights(parts, left)
+            h, log_weight = (np.concatenate(x) for x in zip(backoff_weights(parts, left), of_hot))
+            order = np.argsort(h)
+            h, log_weight = h[order], log_weight[order]
             for kind, _, key, blob in rows:
                 if kind != "miss":
                     continue
@@ -365,10 +374,12 @@ def _summed(n_train: int, n_words: int, n_docs: int, d2: list[float]):
     return run
 
 
-def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, bucket_tokens: int = 3_000_000, hot: int = 500_000) -> DataFrame:
+def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, bucket_tokens: int = 3_000_000, hot_share: int = 200) -> DataFrame:
     """One row for each document: its tokens, how many are known, and its log10 probability under the base and the Katz model."""
     docs = id_and_bytes(documents, id_col, text_col)
     words = docs.mapInArrow(_word_counts(folds), _COUNTS).groupBy("w").agg(F.sum("n").alias("n"))
+    words = checkpoint(words)
+    hot = (words.agg(F.sum("n")).first()[0] or 0) // hot_share
     counts = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct"), *(F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, K + 2)), F.collect_list(F.when(F.col("n") > hot, F.struct("w", "n"))).alias("hot"), F.sum(F.when(F.col("w") == int(np.uint64(_hash(END)).view(np.int64)), F.col("n"))).alias("docs")).first()
     n_train, n_docs = int(counts.tokens or 0), int(counts.docs or 0)
     of_counts = [counts[f"n{r}"] for r in range(1, K + 2)]
@@ -378,9 +389,12 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     unknown = max(1e-12, (n_train - _mass(d1, of_counts, n_train, counts.distinct)) / n_train) if n_train else 1.0
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = docs.mapInArrow(_pairs(buckets, list(hot_words), folds), _PAIRS).repartition(max(partitions, buckets), "bucket").sortWithinPartitions("bucket")
-    found = checkpoint(pairs.mapInArrow(_counted(n_train, d1, unknown, hot_words, buckets), _OUT))
+    start = int(np.uint64(_hash(START)).view(np.int64))
+    found = checkpoint(pairs.mapInArrow(_counted(n_train, d1, unknown, hot_words, [*hot_words, *([start] if n_docs > hot else [])], buckets), _OUT))
     d2 = discounts(np.sum([_unpack(r.blob)[0] for r in found.where("kind = 'stat'").select("blob").toLocalIterator()] or [[0] * (K + 1)], axis=0).tolist())
-    backed = found.where("kind IN ('back', 'miss')").repartition(max(partitions, buckets), "part").sortWithinPartitions("part").mapInArrow(_settled(d2), "batch long, blob binary")
+    # the hot histories' parts: at most hot_share entries from each bucket, a bucket at a time
+    of_hot = backoff_weights([_unpack(r.blob) for r in found.where("kind = 'hback'").select("blob").toLocalIterator()], _left(d2))
+    backed = found.where("kind IN ('back', 'miss')").repartition(max(partitions, buckets), "part").sortWithinPartitions("part").mapInArrow(_settled(d2, of_hot), "batch long, blob binary")
     own = found.where("kind IN ('head', 'doc')").select("batch", F.concat(F.when(F.col("kind") == "head", F.lit("H")).otherwise("S").cast("binary"), F.col("blob")).alias("blob"))
     return own.union(backed).repartition(partitions, "batch").sortWithinPartitions("batch").mapInArrow(_summed(n_train, counts.distinct, n_docs, d2), _RESULT)
 
