@@ -1,6 +1,6 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much text is rejected.
 
-A line fails when it is a repeat of an earlier line of the document, has no letter, is mostly symbols, reads as navigation (several separators
+A line fails when it is a repeat of an earlier line of the document, has no letter, has over a tenth of symbols, reads as navigation (several separators
 between short segments), shouts (exclamation marks after most words, or capitals throughout) or holds a stock phrase of web boilerplate. A line
 without words carries no text and never counts as lost. A document is kept if it has enough words, does not repeat itself and keeps at least
 1 - `max_lost` of its word characters.
