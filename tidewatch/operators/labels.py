@@ -156,3 +156,19 @@ def path_study(signals: DataFrame, bars: DataFrame, step: int, horizons: tuple[i
     known = (F.col("_all") == most) | F.col("_hit").isNotNull()
     return both.select(*keys, F.col("horizon").cast("long").alias("horizon"), (F.greatest(zero, F.col("_high") - entry) / atr).alias("mae_atr"), (F.greatest(zero, entry - F.col("_low")) / atr).alias("mfe_atr"), "bars_to_mae", "bars_to_mfe", ((entry - F.col("_close")) / atr).alias("close_atr"),
                        F.when(known, F.col("_hit").isNotNull()).alias("hit"), F.col("_hit").alias("bars_to_hit"), (F.greatest(zero, F.col("_upto") - entry) / atr).alias("mae_before_hit_atr"))
+
+
+def path_checkpoints(signals: DataFrame, bars: DataFrame, market: DataFrame, step: int, points: tuple[int, ...], block: int) -> DataFrame:
+    """Where a short signal (close, atr) stands after each of the checkpoints: move and extremes in ATR, the market's return (market: ts, level) and the return against it; and the move within the block of bars that ends there, if one does. One row for each signal and checkpoint that has bars."""
+    keys, price, atr, zero = ["symbol", "ts"], F.col("close"), F.col("atr"), F.lit(0.0)
+    joined = forward_bars(signals.where("atr > 0"), bars, step * max(points)).withColumn("_n", ((F.unix_seconds("bar_ts") - F.unix_seconds("ts")) / step).cast("int"))
+    grid = joined.withColumn("point", F.explode(F.array(*(F.lit(p) for p in points)))).where(F.col("_n") <= F.col("point"))
+    inside = F.col("_n") > F.col("point") - block
+    seen = grid.groupBy(*keys, "point").agg(
+        F.first("close").alias("close"), F.first("atr").alias("atr"), F.max_by("bar_close", "_n").alias("_c"), F.min("bar_low").alias("_l"), F.max("bar_high").alias("_h"), F.max_by("bar_close", F.when(~inside, F.col("_n"))).alias("_before"), F.count_if(inside).alias("_in"),
+    )
+    level = lambda name, at: market.select(F.unix_seconds("ts").alias(at), F.col("level").alias(name))
+    timed = seen.withColumns({"_a": F.unix_seconds("ts"), "_b": F.unix_seconds("ts") + F.col("point") * step}).join(level("_m0", "_a"), "_a", "left").join(level("_m1", "_b"), "_b", "left")
+    own, of_market = (F.col("_c") / price - 1) * 100, (F.col("_m1") / F.col("_m0") - 1) * 100
+    ends_block = (F.col("point") % block == 0) & (F.col("_in") > 0)
+    return timed.select(*keys, F.col("point").cast("long").alias("point"), ((price - F.col("_c")) / atr).alias("close_atr"), (F.greatest(zero, price - F.col("_l")) / atr).alias("mfe_atr"), (F.greatest(zero, F.col("_h") - price) / atr).alias("mae_atr"), of_market.alias("market_pct"), (own - of_market).alias("relative_pct"), F.when(ends_block, (F.coalesce(F.col("_before"), price) - F.col("_c")) / atr).alias("block_atr"))

@@ -125,6 +125,21 @@ def reentry(signals: DataFrame, bars: DataFrame, horizon: int, window: int) -> D
     return out.select(*_KEYS, "stop_t", "reclaim_t", F.col("_n.t").alias("reentry_t"), F.col("_n.entry").alias("reentry"), (F.col("_n.entry") + F.col("_risk")).alias("reentry_stop"))
 
 
+def reentry_sequence(primary: DataFrame, again: DataFrame, bars: DataFrame, horizon: int, *, reward: float = 2.0, cost_bps: float = 14.0) -> DataFrame:
+    """Net result of a short and of its one re-entry after a stop (reentry's rows), and their sum; a signal without a re-entry keeps its own result. `primary` has symbol, ts, outcome and net_r."""
+    from tidewatch.operators.labels import triple_barrier
+
+    second = again.where("reentry_t IS NOT NULL AND reentry_stop > reentry").select("symbol", F.col("ts").alias("_ts"), F.timestamp_seconds("reentry_t").alias("ts"), F.col("reentry").alias("entry"), F.col("reentry_stop").alias("stop"))
+    # several signals may sell anew at one bar: its outcome is labelled once for each plan
+    plans = second.select("symbol", "ts", "entry", "stop").distinct().withColumn("_plan", F.concat_ws("|", "symbol", F.col("entry").cast("string"), F.col("stop").cast("string")))
+    keyed = plans.select(F.col("_plan").alias("symbol"), "ts", "entry", "stop", F.col("symbol").alias("_symbol"))
+    own_bars = bars.join(keyed.select(F.col("symbol").alias("_plan"), F.col("_symbol").alias("symbol")).distinct(), "symbol").withColumn("symbol", F.col("_plan")).drop("_plan")
+    labelled = triple_barrier(keyed.drop("_symbol"), own_bars, horizon, reward=reward, cost_bps=cost_bps).select(F.col("symbol").alias("_plan"), "ts", F.col("net_r").alias("second_r"))
+    named = second.withColumn("_plan", F.concat_ws("|", "symbol", F.col("entry").cast("string"), F.col("stop").cast("string"))).join(labelled, ["_plan", "ts"]).select("symbol", F.col("_ts").alias("ts"), "second_r")
+    out = primary.join(named, _KEYS, "left")
+    return out.withColumn("sequence_r", F.col("net_r") + F.coalesce("second_r", F.lit(0.0)))
+
+
 def rebased_controls(matches: DataFrame, bars: DataFrame, lag: int, hold: int) -> DataFrame:
     """Controls stay as matched at the event; case and controls are both measured anew from `lag` to `hold` seconds later. matches: c_symbol, c_ts, p_symbol."""
     both = matches.select("c_symbol", "c_ts", F.explode(F.array(F.struct(F.col("c_symbol").alias("symbol"), F.lit(True).alias("is_case")), F.struct(F.col("p_symbol").alias("symbol"), F.lit(False).alias("is_case")))).alias("x")).select("c_symbol", "c_ts", "x.*").distinct()

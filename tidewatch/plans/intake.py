@@ -13,7 +13,8 @@ from tidewatch.operators import labels as L
 from tidewatch.operators import matching as J
 from tidewatch.operators import selection as S
 from tidewatch.operators import stats as A
-from tidewatch.plans.catalog import _RET, BARS, DAILY, DAY, STEP, TRADES, W_, _metrics, _out, _signals, bars, query, trades
+from tidewatch.operators.scans import with_ema
+from tidewatch.plans.catalog import _JOINED, _RET, BARS, DAILY, DAY, ORACLES, STEP, TRADES, W_, _metrics, _out, _signals, bars, query, trades
 from tidewatch.sources import candles as K
 
 c = F.col
@@ -368,9 +369,40 @@ def l15_path_study(spark, d):
     return _out(out, "symbol", "ts", "horizon", "mae_atr", "mfe_atr", "bars_to_mae", "bars_to_mfe", "close_atr", "hit", "bars_to_hit", "mae_before_hit_atr")
 
 
+_L5 = BARS + f", s AS (SELECT symbol, t, close, close * 0.4 AS atr FROM (SELECT *, {_RET} AS ret FROM bars) WHERE ret <= 0), mk AS (SELECT t, avg(close) AS level FROM bars GROUP BY 1 HAVING count(*) >= 2), j AS (SELECT s.*, (b.t - s.t) // 14400 AS n, b.high AS bh, b.low AS bl, b.close AS bc, unnest([1, 2, 3, 4, 6, 8, 10, 12]) AS point FROM s JOIN bars b ON b.symbol = s.symbol AND b.t > s.t AND b.t <= s.t + 172800), h AS (SELECT symbol, t, point, any_value(close) AS close, any_value(atr) AS atr, arg_max(bc, n) AS c, min(bl) AS l, max(bh) AS h, arg_max(bc, n) FILTER (n <= point - 4) AS bf, count(*) FILTER (n > point - 4) AS inn FROM j WHERE n <= point GROUP BY 1, 2, 3), k AS (SELECT h.*, (m1.level / m0.level - 1) * 100 AS mp FROM h LEFT JOIN mk m0 ON m0.t = h.t LEFT JOIN mk m1 ON m1.t = h.t + h.point * 14400)"
+
+
+@query(_L5 + " SELECT symbol, t, CAST(point AS BIGINT) AS point, round((close - c) / atr, 6) AS close_atr, round(greatest(0, close - l) / atr, 6) AS mfe_atr, round(greatest(0, h - close) / atr, 6) AS mae_atr, round((c / close - 1) * 100 - mp, 6) AS relative_pct, round(CASE WHEN point % 4 = 0 AND inn > 0 THEN (coalesce(bf, close) - c) / atr END, 6) AS block_atr FROM k")
+def l5_path_checkpoints(spark, d):
+    s, b = _signals(spark, d)
+    market = b.groupBy("ts").agg(F.avg("close").alias("level"), F.count("*").alias("n")).where("n >= 2").drop("n")
+    out = L.path_checkpoints(s.select("symbol", "ts", "close", (c("close") * 0.4).alias("atr")), b, market, STEP, (1, 2, 3, 4, 6, 8, 10, 12), 4)
+    return _out(out, "symbol", "ts", "point", "close_atr", "mfe_atr", "mae_atr", "relative_pct", "block_atr")
+
+
+_L19 = BARS + _JOINED.replace("172800", "259200").replace("b.high, b.low, b.close", "b.open, b.high, b.low, b.close") + ", p AS (SELECT *, entry * 1.2 AS stop, entry * 1.2 - entry AS risk FROM j), h AS (SELECT symbol, t, any_value(entry) AS entry, any_value(risk) AS risk, min(bt) FILTER (bt <= t + 172800 AND high >= stop) AS st, min(bt) FILTER (bt <= t + 172800 AND low <= entry - 2 * risk) AS tt, arg_max(close, bt) FILTER (bt <= t + 172800) AS lc FROM p GROUP BY 1, 2), f AS (SELECT *, CASE WHEN st IS NOT NULL AND coalesce(tt, st) >= st THEN -1.0 WHEN tt IS NOT NULL THEN 2.0 ELSE (entry - lc) / risk END - entry * 14 / 1e4 / risk AS r1 FROM h WHERE lc IS NOT NULL), n AS (SELECT p.*, h.st, lead(open) OVER w AS no, lead(bt) OVER w AS nt FROM p JOIN h USING (symbol, t) WINDOW w AS (PARTITION BY symbol, t ORDER BY bt)), g AS (SELECT symbol, t, any_value(risk) AS risk, arg_min(nt, bt) AS nt, arg_min(no, bt) AS ne FROM n WHERE st IS NOT NULL AND bt > st AND bt <= st + 86400 AND close < entry GROUP BY 1, 2), q AS (SELECT g.symbol, g.t, ne, ne + risk AS ns, b.t AS bt, b.high, b.low, b.close FROM g JOIN bars b ON b.symbol = g.symbol AND b.t > g.nt AND b.t <= g.nt + 172800 WHERE ne IS NOT NULL), x AS (SELECT symbol, t, any_value(ne) AS e2, any_value(ns - ne) AS k2, min(bt) FILTER (high >= ns) AS st, min(bt) FILTER (low <= ne - 2 * (ns - ne)) AS tt, arg_max(close, bt) AS lc FROM q GROUP BY 1, 2), y AS (SELECT symbol, t, CASE WHEN st IS NOT NULL AND coalesce(tt, st) >= st THEN -1.0 WHEN tt IS NOT NULL THEN 2.0 ELSE (e2 - lc) / k2 END - e2 * 14 / 1e4 / k2 AS r2 FROM x)"
+
+
+@query(_L19 + " SELECT s.symbol, s.t, round(r1, 6) AS net_r, round(r2, 6) AS second_r, round(r1 + coalesce(r2, 0), 6) AS sequence_r FROM s LEFT JOIN f USING (symbol, t) LEFT JOIN y USING (symbol, t)")
+def l19_sequence_sum(spark, d):
+    from tidewatch.operators import sequences as Q
+
+    s, b = _signals(spark, d)
+    primary = L.triple_barrier(s, b, 172_800).withColumn("net_r", F.when(c("outcome").isin("STOP", "TARGET", "TIME"), c("net_r")))
+    out = Q.reentry_sequence(primary.select("symbol", "ts", "outcome", "net_r"), Q.reentry(s, b, 172_800, 86_400), b, 172_800)
+    return _out(out, "symbol", "ts", "net_r", "second_r", "sequence_r")
+
+
+@query(BARS + f", l AS (SELECT symbol, t, list(close) OVER ({W_} ROWS UNBOUNDED PRECEDING) AS v FROM bars) SELECT symbol, t, " + ", ".join(f"round(list_reduce(v, lambda s, x: x * (2.0 / {n + 1}) + s * (1 - 2.0 / {n + 1})), 6) AS ema{n}" for n in (20, 100)) + " FROM l")
+def w1_ema_whole_history(spark, d):
+    return _out(with_ema(bars(spark, d), (20, 100)), "symbol", "ts", "ema20", "ema100")
+
+
+ORACLES["e6_all_families"] = _E6.replace("rd AND whole AND turn >= 8000 AND vol IS NOT NULL AS ready", "rd AS ready") + ", k AS (SELECT " + ", ".join(f'coalesce(ready AND {p}, false) AS "{n}"' for n, p in _FLAGS.items()) + " FROM j) SELECT unnest([" + ", ".join(f"'{n}'" for n in _FLAGS) + "]) AS family, unnest([" + ", ".join(f'count(*) FILTER ("{n}")' for n in _FLAGS) + "]) AS events, count(*) AS bars FROM k"
+
+
 # statistics
 
-_DRAW = "('0x' || substr(md5('{salt}|' || (i // {n}) || '|' || (i % {n})), 1, 8))::BIGINT % {n}"
 _BOOT = ", m AS (SELECT i // (SELECT n FROM z) AS rep, ('0x' || substr(md5('{salt}|' || (i // (SELECT n FROM z)) || '|' || (i % (SELECT n FROM z))), 1, 8))::BIGINT % (SELECT n FROM z) AS k FROM (SELECT unnest(range(0, 500 * (SELECT n FROM z))) AS i)), r AS (SELECT rep, sum(s) / sum(q.n) AS mean FROM m JOIN q USING (k) GROUP BY 1), o AS (SELECT list_sort(list(mean)) AS v FROM r) SELECT round(v[13], 6) AS low, round(v[487], 6) AS high FROM o"
 
 
