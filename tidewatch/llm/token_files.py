@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -140,15 +141,15 @@ class Coder:
         return out
 
 
-_SAFE = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")
+_SAFE = re.compile(r"[\x21-\x7e¡-įı-ɏ]+")
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def _byte_chars() -> dict[int, str]:
+def _byte_chars() -> list[str]:
     """The characters that byte-level pre-tokenizers write for bytes: printable ones for themselves, the rest from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(0x100 + k) for k, b in enumerate(rest)}
+    rest = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+    return [rest.get(b, chr(b)) for b in range(256)]
 
 
 _BYTE_CHARS = _byte_chars()
@@ -169,19 +170,26 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         out = self.old.get(word)
         if out is None:
-            text = word.decode()
-            if b"<|" in word or not (word.isascii() and text.isprintable() or _SAFE.fullmatch(text)):
-                out = self.coder.library(text)
-            elif text.isalpha():
-                out = self.coder.piece(text.lower())
-            elif word[-1:] in _ENDS and text[:-1].isalpha():
+            if word.isalpha():  # ASCII letters only
+                out = self.coder.piece(word.decode().lower())
+            elif word[-1:] in _ENDS and word[:-1].isalpha():
                 out = self[word[:-1]] + self[word[-1:]]
             else:
-                pieces = _PRE.findall(text.lower())
-                out = self.coder.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+                out = self.odd(word, word.decode())
         self[word] = out
         return out
 
+    def odd(self, word: bytes, text: str) -> bytes:
+        """Words with digits, marks or letters beyond ASCII."""
+        if b"<|" in word or not (word.isascii() and text.isprintable() or _SAFE.fullmatch(text)):
+            return self.coder.library(text)
+        if text.isalpha():
+            return self.coder.piece(text.lower())
+        if word[-1:] in _ENDS and text[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        pieces = _PRE.findall(text.lower())
+        return self.coder.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+
 
 _ENDS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
@@ -230,7 +238,7 @@ class WordCoder:
 
     def piece(self, piece: str) -> bytes:
         """A pre-token that normalisation leaves as it is goes to the tokenizer's model at once, as byte-level characters."""
-        tokens = self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS))
+        tokens = self.tokenize(piece if piece.isascii() else "".join([_BYTE_CHARS[b] for b in piece.encode()]))
         names = self.names
         return names[tokens[0].id] if len(tokens) == 1 else b"".join([names[t.id] for t in tokens])
 
