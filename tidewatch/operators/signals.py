@@ -5,7 +5,7 @@ A row has the bar's own features under plain names and those of the coarser fram
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features as W
@@ -54,11 +54,14 @@ def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int)
 
 
 def with_market(rows: DataFrame, benchmarks: list[str]) -> DataFrame:
-    """The mean returns of the benchmark symbols at the same time, whether all are above or below their mean, and the market's state."""
-    at = rows.where(F.col("symbol").isin(*benchmarks)).groupBy("ts").agg(
-        F.count("*").alias("_n"), *(F.avg(f"ret{n}").alias(f"market_r{n}") for n in (1, 3, 4, 24)), F.bool_and(F.col("close") > F.col("ema20")).alias("market_above"), F.bool_and(F.col("close") < F.col("ema20")).alias("market_below"), F.bool_and("ema_bear").alias("market_bear"),
-    ).where(F.col("_n") == len(benchmarks)).drop("_n")
-    joined = rows.join(at, "ts", "left")
+    """The mean returns of the benchmark symbols at the same time, whether all are above or below their mean, and the market's state: a window over the symbols of each time."""
+    w, own_leg = Window.partitionBy("ts"), F.col("symbol").isin(*benchmarks)
+    of_legs = lambda x: F.when(own_leg, x)
+    whole = F.count(of_legs(F.lit(1))).over(w) == len(benchmarks)
+    joined = rows.withColumn("_whole", whole).withColumns(
+        {f"market_r{n}": F.when(F.col("_whole"), F.avg(of_legs(F.col(f"ret{n}"))).over(w)) for n in (1, 3, 4, 24)}
+        | {"market_above": F.when(F.col("_whole"), F.bool_and(of_legs(F.col("close") > F.col("ema20"))).over(w)), "market_below": F.when(F.col("_whole"), F.bool_and(of_legs(F.col("close") < F.col("ema20"))).over(w)), "market_bear": F.when(F.col("_whole"), F.bool_and(of_legs(F.col("ema_bear"))).over(w))}
+    ).drop("_whole")
     state = F.when(F.col("market_r4").isNull(), "UNKNOWN").when((F.col("market_r4") >= 1.2) & (F.col("market_r24") >= 2.5) & F.col("market_above"), "RISK_ON").when((F.col("market_r4") <= -0.8) & (F.col("market_r24") <= 0) & F.col("market_below"), "RISK_OFF").otherwise("NEUTRAL")
     trend = F.when(F.col("market_r4").isNull(), "UNKNOWN").when(F.col("market_above") & (F.col("market_r24") > 0), "BULL").when(F.col("market_below") & (F.col("market_r24") < 0), "BEAR").otherwise("RANGE")
     own = lambda n: F.col(f"ret{n}") - F.coalesce(f"market_r{n}", F.lit(0.0))
