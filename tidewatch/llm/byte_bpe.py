@@ -4,7 +4,7 @@ A text of up to `chunk` characters is one chunk and is encoded where it is read.
 all tasks. Each chunk is pre-tokenised from its own start, which may lie within a pre-token; its overlap with the next one is extended until
 it holds a change from a letter or mark to white space, which is a pre-token boundary wherever one starts. So both chunks of a pair have a boundary
 in common, and from the first one on they agree. A chunk encodes its middle as one piece and the pre-tokens of its two overlaps
-singly; stitching takes the left chunk's up to the common boundary and the right chunk's after it. Decoding concatenates the bytes of the ids.
+singly; stitching takes the left chunk's up to the common boundary and the right chunk's after it, and fails rather than guess if there were none. Decoding concatenates the bytes of the ids.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows and rows with a null doc_id are encoded one by one; other columns are
 ignored. White space that only some libraries know (such as U+001C) is never taken for a sure boundary.
@@ -141,7 +141,9 @@ def stitched(pieces: Iterator[dict]) -> Iterator[tuple[dict, list[int], bool]]:
         tokens, middle = p["head"], p["middle"]
         if p["k"]:
             own = {t["at"] for t in tokens} | {p["middle_at"]}
-            common = next(t["at"] for t in tail if t["at"] in own)
+            common = next((t["at"] for t in tail if t["at"] in own), None)
+            if common is None:  # cut() sees to one; without it, any ids would be wrong
+                raise ValueError(f"chunks {p['k'] - 1} and {p['k']} of a document have no pre-token boundary in common")
             for t in tail:
                 if t["at"] < common:
                     ids += t["ids"]
