@@ -388,13 +388,13 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     buckets = max(4, -(-n_train // bucket_tokens))
     unknown = max(1e-12, (n_train - _mass(d1, of_counts, n_train, counts.distinct)) / n_train) if n_train else 1.0
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = docs.mapInArrow(_pairs(buckets, list(hot_words), folds), _PAIRS).repartition(max(partitions, buckets), "bucket").sortWithinPartitions("bucket")
+    pairs = docs.mapInArrow(_pairs(buckets, list(hot_words), folds), _PAIRS).repartitionById(max(partitions, buckets), "bucket").sortWithinPartitions("bucket")
     start = int(np.uint64(_hash(START)).view(np.int64))
     found = checkpoint(pairs.mapInArrow(_counted(n_train, d1, unknown, hot_words, [*hot_words, *([start] if n_docs > hot else [])], buckets), _OUT))
     d2 = discounts(np.sum([_unpack(r.blob)[0] for r in found.where("kind = 'stat'").select("blob").toLocalIterator()] or [[0] * (K + 1)], axis=0).tolist())
     # the hot histories' parts: at most hot_share entries from each bucket, a bucket at a time
     of_hot = backoff_weights([_unpack(r.blob) for r in found.where("kind = 'hback'").select("blob").toLocalIterator()], _left(d2))
-    backed = found.where("kind IN ('back', 'miss')").repartition(max(partitions, buckets), "part").sortWithinPartitions("part").mapInArrow(_settled(d2, of_hot), "batch long, blob binary")
+    backed = found.where("kind IN ('back', 'miss')").repartitionById(max(partitions, buckets), "part").sortWithinPartitions("part").mapInArrow(_settled(d2, of_hot), "batch long, blob binary")
     own = found.where("kind IN ('head', 'doc')").select("batch", F.concat(F.when(F.col("kind") == "head", F.lit("H")).otherwise("S").cast("binary"), F.col("blob")).alias("blob"))
     return own.union(backed).repartition(partitions, "batch").sortWithinPartitions("batch").mapInArrow(_summed(n_train, counts.distinct, n_docs, d2), _RESULT)
 
