@@ -13,7 +13,7 @@ from tidewatch.operators import labels as L
 from tidewatch.operators import matching as J
 from tidewatch.operators import selection as S
 from tidewatch.operators import stats as A
-from tidewatch.operators.scans import with_ema
+from tidewatch.operators.scans import in_chunks, with_ema
 from tidewatch.plans.catalog import _JOINED, _RET, BARS, DAILY, DAY, ORACLES, STEP, TRADES, W_, _metrics, _out, _signals, bars, query, trades
 from tidewatch.sources import candles as K
 
@@ -393,6 +393,13 @@ def l19_sequence_sum(spark, d):
     return _out(out, "symbol", "ts", "net_r", "second_r", "sequence_r")
 
 
+@query(ORACLES["w3_w4_w9_w10_features"])
+def w3_w4_w9_w10_in_chunks(spark, d):
+    """The same features as over whole symbols, in chunks of 64 bars with halos."""
+    features = lambda b: b.withColumns({"ret": W.returns(4), "volume_ratio": W.volume_ratio(), "position": W.range_position(), "vwap": W.vwap()})
+    return _out(in_chunks(bars(spark, d), features, back=24, chunk=64), "symbol", "ts", "ret", "volume_ratio", "position", "vwap")
+
+
 @query(BARS + f", l AS (SELECT symbol, t, list(close) OVER ({W_} ROWS UNBOUNDED PRECEDING) AS v FROM bars) SELECT symbol, t, " + ", ".join(f"round(list_reduce(v, lambda s, x: x * (2.0 / {n + 1}) + s * (1 - 2.0 / {n + 1})), 6) AS ema{n}" for n in (20, 100)) + " FROM l")
 def w1_ema_whole_history(spark, d):
     return _out(with_ema(bars(spark, d), (20, 100)), "symbol", "ts", "ema20", "ema100")
