@@ -55,6 +55,25 @@ def _column(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
 
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded length and text."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) >= size or chars >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a stream of batches as plain tuples."""
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of a DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

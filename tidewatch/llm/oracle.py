@@ -43,4 +43,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= CAST(0.3 AS DOUBLE) * word_chars AS kept FROM a
 """
 
-ORACLES: dict[str, str] = {"op7_decontamination": _DECONTAMINATION, "op9_quality_rules": _QUALITY_RULES}
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+v AS (SELECT DISTINCT term FROM q),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) JOIN v USING (term) GROUP BY 1, 2),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t, s GROUP BY term, docs),
+p AS (SELECT rid, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(w) * docs) // terms)))) AS share FROM t JOIN f USING (term) JOIN d USING (rid), s),
+r AS (SELECT item_id, rid, doc_id, CAST(sum(share) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN d USING (rid) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""
+
+_ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')"
+
+_CHAT_FORMAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok'),
+h AS (SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' ELSE '### Other ' || replace({_ESCAPED.format("role")}, ': ', '\\: ') || ': ' END AS head,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NULL AS last FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(head) + length({_ESCAPED.format("text")}) + 8) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(before = 'user', FALSE) ELSE FALSE END AND (NOT last OR role = 'assistant')) AS legal
+FROM h GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op7_decontamination": _DECONTAMINATION, "op9_quality_rules": _QUALITY_RULES, "op11_ranked_search": _RANKED_SEARCH, "op13_chat_format": _CHAT_FORMAT}

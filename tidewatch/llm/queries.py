@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontamination, language_model, licenses, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter
+from tidewatch.llm import byte_bpe, chat_format, conversation_repair, decontamination, language_model, licenses, quality_classifier, quality_rules, ranked_search, secrets, simhash, token_files, url_filter
 from tidewatch.llm.common import table
 from tidewatch.llm.oracle import ORACLES
 
@@ -55,8 +56,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults of op12's contract; a dropped row only names its conversation."""
+    conv_id, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    draw = F.crc32(F.concat_ws(":", conv_id, turn).cast("binary")) % 20
+    faulty = conversations.select("conv_id", "turn", F.when(draw == 4, "user").otherwise(role).alias("role"), F.when(draw == 1, "").when(draw == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), (draw == 0).alias("dropped"), draw.alias("draw"))
+    return faulty.withColumn("copy", F.explode(F.when(F.col("draw") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), named_only=F.col("dropped")))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], own.schema)
+    return chat_format.read(chat_format.segments(own.unionByName(probe)), in_order=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_simhash_near_dedup, op3_secret_scan, op4_url_filter, op5_byte_bpe, op6_katz_scoring, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_token_files)
+    own = (op1_license_scan, op2_simhash_near_dedup, op3_secret_scan, op4_url_filter, op5_byte_bpe, op6_katz_scoring, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_token_files, op11_ranked_search, op12_conversation_repair, op13_chat_format)
     return {f.__name__: f for f in own}
 
 
