@@ -67,6 +67,28 @@ def run_to_end(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def append_to(spark: SparkSession, stream: DataFrame, path: str, log: str, settings: dict[str, str] | None = None) -> None:
+    """Runs a stream over all that its source holds now and appends its rows to a folder; called again with the same log it goes on where it stopped. `settings` hold for the start of this stream alone."""
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    query.awaitTermination()
+
+
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once and read from there."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def settlement(joined: DataFrame, signals: DataFrame, step: int, horizon_bars: int, now: int, *, move: float, most_missing: float = 0.05) -> DataFrame:
     """Outcome of each signal (entry) from its later bars: CLOSED_TARGET or CLOSED_STOP at the first of -/+ `move`, CLOSED_TIME once the horizon is over with enough bars, POSTPONED if too many are missing, else OPEN."""
     t = F.unix_seconds("bar_ts")
