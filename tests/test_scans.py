@@ -46,7 +46,7 @@ def test_positions_and_means_over_the_whole_history(bars):
     placed = scans.with_position(bars, span=86_400)
     same(placed.select("symbol", "ts", "position"), bars.select("symbol", "ts", (F.row_number().over(w) - 1).alias("position")))
     closes = {s: [r.close for r in bars.where(F.col("symbol") == s).orderBy("ts").collect()] for s in ("a", "b")}
-    for made in (scans.with_ema(bars, (20, 100), block=16), scans.with_history(bars, (20, 100), {"close": "c"}, span=5 * 86_400)):
+    for made in (scans.with_ema(bars, (20, 100), span=2 * 86_400), scans.with_history(bars, (20, 100), {"close": "c"}, span=5 * 86_400)):
         for s, values in closes.items():
             got, e20, e100 = made.where(F.col("symbol") == s).orderBy("ts").select("ema20", "ema100").collect(), None, None
             for x, g in zip(values, got):
@@ -54,6 +54,24 @@ def test_positions_and_means_over_the_whole_history(bars):
                 assert (g.ema20, g.ema100) == pytest.approx((e20, e100), rel=1e-10)
 
 
+def test_means_of_one_minute_bars(spark):
+    """Many bars in a span of time, a fast mean among slow ones, gaps longer than a span, and the last two values of a sparse column."""
+    r, minute, rows = random.Random(4), 28_000_000, []
+    for k in range(20_000):
+        minute += 1 if r.random() < 0.999 else r.choice((60, 50_000))
+        rows.append((minute, 100.0 if k < 5000 else 100 + 10 * r.random(), float(k) if r.random() < 0.01 else None))
+    df = spark.createDataFrame(rows, "m long, close double, mark double").select(F.lit("s").alias("symbol"), F.timestamp_seconds(F.col("m") * 60).alias("ts"), "close", "mark").repartition(3)
+    got = scans.with_history(df, (2, 20, 100, 1000), {"mark": "marks"}).orderBy("ts").collect()
+    means, marks = {}, []
+    for k, ((_, close, mark), g) in enumerate(zip(rows, got, strict=True)):
+        means = {s: close if k == 0 else close * 2 / (s + 1) + means[s] * (1 - 2 / (s + 1)) for s in (2, 20, 100, 1000)}
+        marks = [*marks, mark][-2:] if mark is not None else marks
+        assert g.position == k and g.last_marks == marks
+        assert [g[f"ema{s}"] for s in means] == pytest.approx(list(means.values()), rel=1e-9)
+    with pytest.raises(ValueError):
+        scans.with_history(df, (1, 20), {})
+
+
 def test_running_totals_and_overlaps(spark, bars):
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     moved = bars.withColumn("r", F.col("close") - F.col("open"))

@@ -44,36 +44,9 @@ def running(rows: DataFrame, keys: list[str], order: list[str], x: str, *, span_
     return out.withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_span", "_sum", "_top", "_offset", "_peak")
 
 
-def with_ema(bars: DataFrame, spans: tuple[int, ...], price: str = "close", *, block: int = 64) -> DataFrame:
-    """Exponential means ema<span> over a symbol's whole history, seeded with its first bar.
-
-    Blocks of bars are folded on their own; a block's carry is the fold of the blocks before it. Blocks whose weight lies below 1e-18 are left out, which
-    no double can hold.
-    """
-    placed = with_position(bars, name="_at").withColumn("_block", F.floor(F.col("_at") / block))
-    w = Window.partitionBy("symbol", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.col("_at") % block
-    own: dict[str, Column] = {}
-    for s in spans:
-        keep = 1 - 2 / (s + 1)
-        weight = F.when(F.col("_at") == 0, 1.0).otherwise(1 - keep)
-        own[f"_e{s}"] = F.pow(F.lit(keep), step) * F.sum(weight * F.col(price) * F.pow(F.lit(keep), -step)).over(w)
-    folded = placed.withColumns(own)
-    ends = folded.groupBy("symbol", "_block").agg(*(F.max_by(f"_e{s}", "_at").alias(f"_e{s}") for s in spans))
-    carries: dict[str, Column] = {}
-    for s in spans:
-        per_block = (1 - 2 / (s + 1)) ** block
-        reach = max(1, math.ceil(math.log(1e-18) / math.log(per_block)))
-        before = F.collect_list(f"_e{s}").over(Window.partitionBy("symbol").orderBy("_block").rowsBetween(-reach, -1))
-        carries[f"_c{s}"] = F.aggregate(before, F.lit(0.0), _decayed(per_block))
-    carried = ends.withColumns(carries).select("symbol", "_block", *carries)
-    out = folded.join(carried, ["symbol", "_block"])
-    means = {f"ema{s}": F.col(f"_e{s}") + F.pow(F.lit(1 - 2 / (s + 1)), step + 1) * F.col(f"_c{s}") for s in spans}
-    return out.withColumns(means).drop("_at", "_block", *own, *carries)
-
-
-def _decayed(share: float) -> Callable[[Column, Column], Column]:
-    return lambda total, x: total * share + x
+def with_ema(bars: DataFrame, spans: tuple[int, ...], price: str = "close", *, span: int = SPAN) -> DataFrame:
+    """Exponential means ema<span> over a symbol's whole history, seeded with its first bar."""
+    return with_history(bars, spans, {}, price, span=span).drop("position")
 
 
 def carried(bars: DataFrame, columns: dict[str, str], *, inclusive: bool = True, span: int = SPAN) -> DataFrame:
@@ -90,30 +63,53 @@ def carried(bars: DataFrame, columns: dict[str, str], *, inclusive: bool = True,
 
 
 def with_history(bars: DataFrame, spans: tuple[int, ...], lasts: dict[str, str], price: str = "close", *, span: int = SPAN) -> DataFrame:
-    """What a bar owes to its symbol's whole history, in one pass: `position` from 0 on, exponential means ema<span>, and for each column of `lasts` its last two values that aren't null, as arrays last<name>, the newest last.
+    """What a bar owes to its symbol's whole history, in one pass: `position` from 0 on, exponential means ema<span>, and for each column of `lasts` its last two values that aren't null, as arrays last_<name>, the newest last.
 
-    Spans of time are folded on their own and hand their ends on; only one row for each span is ordered by symbol. A span should hold some thousand bars at most, since its weights are powers.
+    Spans of time are folded on their own, in runs short enough for their weights to be doubles however many bars a span holds, and hand their ends on; only one row
+    for each span is ordered by symbol, and a span takes on just those before it whose weight reaches 1e-18, which no double can hold. Work is linear in the bars.
     """
+    if min(spans, default=2) < 2:
+        raise ValueError("an exponential mean needs a span of at least 2")
+    keep = {s: 1 - 2 / (s + 1) for s in spans}
+    run = min((int(600 / -math.log(q)) for q in keep.values()), default=1)
     placed = bars.withColumn("_span", F.floor(F.unix_seconds("ts") / span))
     w = Window.partitionBy("symbol", "_span").orderBy("ts")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    keep = {s: 1 - 2 / (s + 1) for s in spans}
-    within = placed.withColumn("_k", F.row_number().over(w) - 1)
-    within = within.withColumns({f"_e{s}": F.pow(F.lit(q), c_("_k")) * F.sum((1 - q) * c_(price) * F.pow(F.lit(q), -c_("_k"))).over(upto) for s, q in keep.items()} | {f"_l_{n}": F.collect_list(col).over(upto) for col, n in lasts.items()})
-    ends = within.groupBy("symbol", "_span").agg(F.count("*").alias("n"), F.min_by(price, "_k").alias("first"), *(F.max_by(f"_e{s}", "_k").alias(f"e{s}") for s in spans), *(F.max_by(F.slice(F.reverse(f"_l_{n}"), 1, 2), "_k").alias(f"l_{n}") for n in lasts.values()))
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("_k", F.row_number().over(w) - 1).withColumns({"_run": F.floor(c_("_k") / run), "_step": c_("_k") % run})
+    # the last two values so far: each value that isn't null knows the one before it
+    paired = numbered.withColumns({f"_p_{n}": F.when(c_(col).isNotNull(), F.struct(F.last(col, ignorenulls=True).over(earlier).alias("older"), c_(col).alias("newer"))) for col, n in lasts.items()}) if lasts else numbered
+    in_run = Window.partitionBy("symbol", "_span", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    summed = paired.withColumns({f"_r{s}": F.pow(F.lit(q), c_("_step")) * F.sum((1 - q) * c_(price) * F.pow(F.lit(q), -c_("_step"))).over(in_run) for s, q in keep.items()} | {f"_l_{n}": F.last(f"_p_{n}", ignorenulls=True).over(upto) for n in lasts.values()})
+    # the ends of the runs before, which are all whole
+    ended = summed.withColumns({f"_t{s}": F.collect_list(F.when(c_("_step") == run - 1, c_(f"_r{s}"))).over(earlier) for s in spans})
+    within = ended.withColumns({f"_e{s}": c_(f"_r{s}") + F.pow(F.lit(q), c_("_step") + 1) * F.aggregate(f"_t{s}", F.lit(0.0), _decayed(q**run)) for s, q in keep.items()})
+    ends = within.groupBy("symbol", "_span").agg(F.count("*").alias("n"), F.min_by(price, "_k").alias("first"), *(F.max_by(f"_e{s}", "_k").alias(f"e{s}") for s in spans), *(F.max_by(f"_l_{n}", "_k").alias(f"l_{n}") for n in lasts.values()))
     order = Window.partitionBy("symbol").orderBy("_span")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("n", *(f"e{s}" for s in spans))).over(before)
-    seed = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    handed = ends.select("symbol", "_span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), seen.alias("_seen"), seed.alias("_seed"), *(F.flatten(F.collect_list(F.reverse(f"l_{n}")).over(before)).alias(f"_p_{n}") for n in lasts.values()))
-    carries = handed.withColumns({f"_c{s}": F.aggregate("_seen", c_("_seed"), _carried_on(q, f"e{s}")) for s, q in keep.items()}).drop("_seen", "_seed")
+    counted = ends.withColumns({"_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "_seed": F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))} | {f"_d{s}": F.lag(f"e{s}").over(order) for s in spans} | {f"_o_{n}": F.last(F.col(f"l_{n}.newer"), ignorenulls=True).over(before) for n in lasts.values()})
+    # a span's row carries the end of the span before, at the position where that ended
+    handed: dict[str, Column] = {}
+    for s, q in keep.items():
+        near = Window.partitionBy("symbol").orderBy("_before").rangeBetween(-math.ceil(math.log(1e-18) / math.log(q)), 0)
+        ends_before = F.collect_list(F.when(c_(f"_d{s}").isNotNull(), F.struct(c_("_before").alias("at"), c_(f"_d{s}").alias("e")))).over(near)
+        handed[f"_c{s}"] = F.aggregate(ends_before, c_("_seed") * F.pow(F.lit(q), c_("_before")), _weighted(q))
+    for n in lasts.values():
+        handed[f"_b_{n}"] = F.last(F.when(c_(f"l_{n}").isNotNull(), F.struct(F.coalesce(c_(f"l_{n}.older"), c_(f"_o_{n}")).alias("older"), c_(f"l_{n}.newer").alias("newer"))), ignorenulls=True).over(before)
+    carries = counted.withColumns(handed).select("symbol", "_span", "_before", *handed)
     out = within.join(carries, ["symbol", "_span"])
-    named = {"position": (c_("_before") + c_("_k")).cast("long")} | {f"ema{s}": F.pow(F.lit(q), c_("_k") + 1) * c_(f"_c{s}") + c_(f"_e{s}") for s, q in keep.items()} | {f"last_{n}": F.reverse(F.slice(F.reverse(F.concat(f"_p_{n}", f"_l_{n}")), 1, 2)) for n in lasts.values()}
-    return out.withColumns(named).drop("_span", "_k", "_before", *(f"_{k}{s}" for k in "ec" for s in spans), *(f"_{k}_{n}" for k in "lp" for n in lasts.values()))
+    named = {"position": (c_("_before") + c_("_k")).cast("long")} | {f"ema{s}": F.pow(F.lit(q), c_("_k") + 1) * c_(f"_c{s}") + c_(f"_e{s}") for s, q in keep.items()}
+    for n in lasts.values():
+        own, old = F.col(f"_l_{n}"), F.col(f"_b_{n}")
+        named[f"last_{n}"] = F.array_compact(F.when(own.isNull(), F.array(old["older"], old["newer"])).otherwise(F.array(F.coalesce(own["older"], old["newer"]), own["newer"])))
+    return out.withColumns(named).drop("_span", "_k", "_run", "_step", "_before", *(f"_{k}{s}" for k in "rtec" for s in spans), *(f"_{k}_{n}" for k in "plb" for n in lasts.values()))
+
+
+def _decayed(share: float) -> Callable[[Column, Column], Column]:
+    return lambda total, x: total * share + x
 
 
-def _carried_on(keep: float, name: str) -> Callable[[Column, Column], Column]:
-    return lambda total, x: total * F.pow(F.lit(keep), x["n"]) + x[name]
+def _weighted(keep: float) -> Callable[[Column, Column], Column]:
+    return lambda total, x: total + x["e"] * F.pow(F.lit(keep), F.col("_before") - x["at"])
 
 
 def c_(name: str) -> Column:
