@@ -38,11 +38,11 @@ def paired_edges(matches: DataFrame, outcome: str) -> DataFrame:
     return means.withColumn("edge", F.col("case_outcome") - F.col("control_mean"))
 
 
-def forward_bars(signals: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Each signal with its symbol's bars in (ts, ts + horizon]. Time buckets of one horizon give an equi-join: a signal meets two of them."""
+def forward_bars(signals: DataFrame, bars: DataFrame, horizon: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Each signal with its symbol's bars in (ts, ts + horizon], with their prices as bar_<name> and the columns of `more` as they are. Time buckets of one horizon give an equi-join: a signal meets two of them."""
     bucket = lambda c: F.floor(F.unix_seconds(c) / horizon)
     s = signals.withColumn("_bucket", F.explode(F.array(bucket("ts"), bucket("ts") + 1)))
-    b = bars.select("symbol", F.col("ts").alias("bar_ts"), *(F.col(x).alias(f"bar_{x}") for x in ("open", "high", "low", "close")), bucket("ts").alias("_bucket"))
+    b = bars.select("symbol", F.col("ts").alias("bar_ts"), *(F.col(x).alias(f"bar_{x}") for x in ("open", "high", "low", "close")), *more, bucket("ts").alias("_bucket"))
     gap = F.unix_seconds("bar_ts") - F.unix_seconds("ts")
     return s.join(b, ["symbol", "_bucket"]).where((gap > 0) & (gap <= horizon)).drop("_bucket")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import features as W
 from tidewatch.operators import setups as P
 from tidewatch.operators.matching import as_of
+from tidewatch.operators.zones import with_open_pivots
 
 LAST_SWINGS, SWING_LOOKBACK = 6, 240
 COARSE = ("ema_bear", "macro_bear", "lower_high", "lower_low", "zone_lower", "zone_upper", "zone_distance_atr", "swing_lows", "ema20", "ema50", "close", "atr")
@@ -29,8 +30,11 @@ def with_frame(bars: DataFrame) -> DataFrame:
     return out.withColumn("swing_lows", F.slice(F.reverse(lows), 1, LAST_SWINGS))
 
 
-def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int) -> DataFrame:
-    """A row for each bar of `one`, which becomes known when the bar closes."""
+def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int, *, pivots: tuple[int, int] | None = None) -> DataFrame:
+    """A row for each bar of `one`, which becomes known when the bar closes. `pivots` adds the open pivot lows of the last bars of either frame, as columns pivots and s4_pivots."""
+    coarse_columns = COARSE
+    if pivots:
+        one, four, coarse_columns = with_open_pivots(one, pivots[0], one_step), with_open_pivots(four, pivots[1], four_step), (*COARSE, "pivots")
     w, zero = W.by_symbol(), F.lit(0.0)
     own = W.with_sweep(P.with_breakdown(with_frame(one)))
     full = lambda n: F.count("close").over(W.rows(1 - n, 0)) == n
@@ -45,8 +49,8 @@ def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int)
         "bars_so_far": F.count("close").over(W.rows(-99, 0)),
     })
     own = own.withColumn("known_at", F.timestamp_seconds(F.unix_seconds("ts") + one_step))
-    coarse = with_frame(four).select("symbol", F.timestamp_seconds(F.unix_seconds("ts") + four_step).alias("closed_at"), *(F.col(c).alias(f"s4_{c}") for c in COARSE))
-    both = as_of(own, coarse, ["symbol"], "known_at", "closed_at", [f"s4_{c}" for c in COARSE])
+    coarse = with_frame(four).select("symbol", F.timestamp_seconds(F.unix_seconds("ts") + four_step).alias("closed_at"), *(F.col(c).alias(f"s4_{c}") for c in coarse_columns))
+    both = as_of(own, coarse, ["symbol"], "known_at", "closed_at", [f"s4_{c}" for c in coarse_columns])
     below = F.filter(F.concat("swing_lows", F.coalesce("s4_swing_lows", F.array().cast("array<double>"))), lambda x: x < F.col("close"))
     distances = F.least(*(F.col(c) for c in ("zone_distance_atr", "s4_zone_distance_here")))
     here = lambda lo, hi: F.when((F.col("close") >= F.col(lo)) & (F.col("close") <= F.col(hi)), 0.0).otherwise(F.least(F.abs(F.col("close") - F.col(lo)), F.abs(F.col("close") - F.col(hi)))) / F.col("atr")

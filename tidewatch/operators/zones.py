@@ -14,71 +14,87 @@ from tidewatch.operators.matching import forward_bars
 c = F.col
 
 
-def unbroken_pivots(signals: DataFrame, bars: DataFrame, step: int, lookback: int, broken: float = 0.20) -> DataFrame:
-    """Each signal with the confirmed pivot lows of the last `lookback` bars below its entry that no close since fell through by `broken` ATR: pivot_ts, pivot_low, body_top.
+_PIVOT = "struct<t:bigint,low:double,top:double,lowest:double>"
 
-    A pivot walks forward over at most `lookback` bars with the lowest close on its way; a signal picks up the pivots that reach its bar.
+
+def with_open_pivots(bars: DataFrame, lookback: int, step: int, name: str = "pivots") -> DataFrame:
+    """For each bar the pivot lows of the last `lookback` bars that are confirmed by now, with the lowest close since their confirmation: an array of (t, low, top of the body, lowest).
+
+    Pivots and closes travel as two arrays of bounded length, so there is no join and no exchange beyond the bars' own; a bar without a close isn't allowed.
     """
     w = by_symbol()
-    marked = with_strict_pivots(bars).where(c("pivot_low").isNotNull()).select("symbol", "ts")
-    shape = bars.select("symbol", "ts", c("low").alias("pivot_low"), F.greatest("open", "close").alias("body_top"), F.lead("ts", 2).over(w).alias("_known"))
-    pivots = shape.join(marked.withColumnRenamed("ts", "_known"), ["symbol", "_known"], "left_semi")
-    path = forward_bars(pivots, bars, step * lookback)
-    since = Window.partitionBy("symbol", "ts").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, 0)
-    placed = path.withColumn("_place", F.row_number().over(Window.partitionBy("symbol", "ts").orderBy("bar_ts")))
-    walked = placed.withColumn("_lowest", F.min(F.when(c("_place") >= 3, c("bar_close"))).over(since)).where(c("bar_ts") >= c("_known"))
-    reach = walked.select("symbol", c("ts").alias("pivot_ts"), c("bar_ts").alias("ts"), "pivot_low", "body_top", "_lowest")
-    joined = signals.where("atr > 0").join(reach, ["symbol", "ts"])
-    whole = c("_lowest").isNull() | (c("_lowest") >= c("pivot_low") - broken * c("atr"))
-    return joined.where((c("pivot_low") < c("entry")) & whole).drop("_lowest")
-
-
-def _clusters(pivots: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """Pivots of a signal in price order, with the number of their cluster: a new one begins where the next pivot lies more than `gap` ATR higher."""
-    w = Window.partitionBy(*keys).orderBy("pivot_low", "pivot_ts")
-    fresh = F.coalesce((c("pivot_low") - F.lag("pivot_low").over(w) > gap * c("atr")).cast("int"), F.lit(0))
-    return pivots.withColumn("_new", fresh).withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def demand_zones(signals: DataFrame, one: DataFrame, four: DataFrame, one_step: int, four_step: int, *, one_bars: int = 160, four_bars: int = 90) -> DataFrame:
-    """The nearest demand zone below each signal's entry: a pivot of the coarse frame alone, or two and more of the fine one that lie together. Signals without any have no row. `four_ts` of a signal is its bar of the coarse frame."""
-    keys = ["symbol", "ts"]
-    zone = lambda low, top, width, least: F.greatest(F.least(top, low + width * c("atr")), low + least * c("atr"))
-    coarse = unbroken_pivots(signals.withColumnsRenamed({"ts": "_ts", "four_ts": "ts"}), four, four_step, four_bars).withColumn("ts", c("_ts"))
-    high = coarse.select(*keys, "entry", F.lit("DEMAND_4H").alias("source"), c("pivot_low").alias("lower"), zone(c("pivot_low"), c("body_top"), 0.60, 0.10).alias("upper"))
-    fine = _clusters(unbroken_pivots(signals, one, one_step, one_bars), keys, 0.35)
-    grouped = fine.groupBy(*keys, "cluster").agg(F.first("entry").alias("entry"), F.first("atr").alias("atr"), F.count("*").alias("_n"), F.min("pivot_low").alias("lower"), F.max("body_top").alias("_top")).where("_n >= 2")
-    low = grouped.select(*keys, "entry", F.lit("DEMAND_1H_CLUSTER").alias("source"), "lower", zone(c("lower"), c("_top"), 0.45, 0.08).alias("upper"))
-    best = F.max(F.struct("upper", "source", "lower")).alias("_z")
-    return high.union(low).where(c("upper") < c("entry")).groupBy(*keys).agg(F.first("entry").alias("entry"), best).select(*keys, "entry", "_z.source", "_z.lower", "_z.upper")
+    marked = with_strict_pivots(bars).withColumn("_rn", F.row_number().over(w))
+    pivot = F.when(F.lead("pivot_low", 2).over(w).isNotNull(), F.struct(F.unix_seconds("ts").alias("t"), "low", F.greatest("open", "close").alias("top"), c("_rn").alias("rn")))
+    laid = marked.withColumn("_pivot", pivot).withColumns({"_known": F.collect_list("_pivot").over(rows(-lookback, -2)), "_closes": F.collect_list("close").over(rows(-lookback, 0))})
 
+    def seen(p: Column) -> Column:
+        since = c("_rn") - p["rn"] - 2
+        return F.struct(p["t"].alias("t"), p["low"].alias("low"), p["top"].alias("top"), F.array_min(F.slice("_closes", F.size("_closes") - since + 1, since)).alias("lowest"))
 
-def support_tiers(signals: DataFrame, one: DataFrame, four: DataFrame, one_step: int, four_step: int, *, room: float = 2.0, one_bars: int = 160, four_bars: int = 90) -> DataFrame:
-    """The tier of the support below each signal (entry, atr, risk): STRUCTURAL for a pivot of the coarse frame, INTERMEDIATE for two reactions of the fine one close together, MINOR for one, else UNKNOWN, with the room down to each in risks."""
-    keys = ["symbol", "ts"]
-    coarse = unbroken_pivots(signals.withColumnsRenamed({"ts": "_ts", "four_ts": "ts"}), four, four_step, four_bars).withColumn("ts", c("_ts"))
-    structural = coarse.groupBy(*keys).agg(F.max("pivot_low").alias("structural"))
-    fine = _clusters(unbroken_pivots(signals, one, one_step, one_bars), keys, 0.35)
-    groups = fine.groupBy(*keys, "cluster").agg(F.count("*").alias("_n"), F.avg("pivot_low").alias("_mean"), F.max("pivot_low").alias("_top"))
-    of_fine = groups.groupBy(*keys).agg(F.max(F.when(c("_n") >= 2, c("_mean"))).alias("intermediate"), F.max("_top").alias("minor"))
-    out = signals.join(structural, keys, "left").join(of_fine, keys, "left")
+    near = F.filter("_known", lambda p: p["t"] >= F.unix_seconds("ts") - step * lookback)
+    return laid.withColumn(name, F.transform(near, seen)).drop("_rn", "_pivot", "_known", "_closes", "pivot_low", "pivot_high")
+
+
+def unbroken(pivots: Column, entry: Column, atr: Column, broken: float = 0.20) -> Column:
+    """The pivots below the entry that no close since fell through by `broken` ATR."""
+    return F.filter(F.coalesce(pivots, F.array().cast(f"array<{_PIVOT}>")), lambda p: (p["low"] < entry) & (p["lowest"].isNull() | (p["lowest"] >= p["low"] - broken * atr)))
+
+
+def clustered(points: Column, kind: str, gap: Column) -> Column:
+    """An array of structs, sorted by their field v, as an array of clusters: a new one begins where the next v lies more than `gap` higher. `kind` is the type of the structs."""
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("now"))
+
+    def step(acc: Column, x: Column) -> Column:
+        joins = (F.size(acc["now"]) == 0) | (x["v"] - F.element_at(acc["now"], -1)["v"] <= gap)
+        return F.struct(F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), F.when(joins, F.concat(acc["now"], F.array(x))).otherwise(F.array(x)).alias("now"))
+
+    return F.aggregate(points, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+
+
+def _mean(cluster: Column) -> Column:
+    return F.aggregate(cluster, F.lit(0.0), lambda total, x: total + x["v"]) / F.size(cluster)
+
+
+def _fine_clusters(gap: float) -> Column:
+    """Clusters of the fine frame's pivots, in order of price, as (n, lower, highest, mean, top)."""
+    points = F.array_sort(F.transform(unbroken(c("pivots"), c("entry"), c("atr")), lambda p: F.struct(p["low"].alias("v"), p["t"].alias("t"), p["top"].alias("top"))))
+    groups = clustered(points, "struct<v:double,t:bigint,top:double>", gap * c("atr"))
+    return F.transform(groups, lambda g: F.struct(F.size(g).alias("n"), F.element_at(g, 1)["v"].alias("lower"), F.element_at(g, -1)["v"].alias("highest"), _mean(g).alias("mean"), F.array_max(F.transform(g, lambda p: p["top"])).alias("top")))
+
+
+def demand_zones(signals: DataFrame) -> DataFrame:
+    """The nearest demand zone below each signal's entry: a pivot of the coarse frame (s4_pivots) alone, or two and more of the fine one (pivots) that lie together. Signals (entry, atr) without any have no row. All is within the row."""
+    zone = lambda low, top, width, least: F.greatest(F.least(top, low + width * c("atr")), low + least * c("atr"))
+    made = lambda upper, source, lower: F.struct(upper.alias("upper"), F.lit(source).alias("source"), lower.alias("lower"))
+    coarse = F.transform(unbroken(c("s4_pivots"), c("entry"), c("atr")), lambda p: made(zone(p["low"], p["top"], 0.60, 0.10), "DEMAND_4H", p["low"]))
+    fine = F.transform(F.filter(_fine_clusters(0.35), lambda g: g["n"] >= 2), lambda g: made(zone(g["lower"], g["top"], 0.45, 0.08), "DEMAND_1H_CLUSTER", g["lower"]))
+    best = F.array_max(F.filter(F.concat(coarse, fine), lambda z: z["upper"] < c("entry")))
+    return signals.where("atr > 0").withColumn("_z", best).where("_z IS NOT NULL").select("symbol", "ts", "entry", "_z.source", "_z.lower", "_z.upper")
+
+
+def support_tiers(signals: DataFrame, *, room: float = 2.0) -> DataFrame:
+    """The tier of the support below each signal (entry, atr, risk, pivots, s4_pivots): STRUCTURAL for a pivot of the coarse frame, INTERMEDIATE for two reactions of the fine one close together, MINOR for one, else UNKNOWN, with the room down to each in risks."""
+    groups = c("_groups")
+    laid = signals.withColumn("_groups", F.when(c("atr") > 0, _fine_clusters(0.35)))
+    out = laid.withColumns({
+        "structural": F.when(c("atr") > 0, F.array_max(F.transform(unbroken(c("s4_pivots"), c("entry"), c("atr")), lambda p: p["low"]))),
+        "intermediate": F.array_max(F.transform(F.filter(groups, lambda g: g["n"] >= 2), lambda g: g["mean"])), "minor": F.array_max(F.transform(groups, lambda g: g["highest"])),
+    }).drop("_groups")
     tier = F.when(c("structural").isNotNull(), "STRUCTURAL").when(c("intermediate").isNotNull(), "INTERMEDIATE").when(c("minor").isNotNull(), "MINOR").otherwise("UNKNOWN")
     rooms = {f"{k}_room_r": (c("entry") - c(k)) / c("risk") for k in ("structural", "minor")}
     return out.withColumns(rooms | {"tier": tier}).withColumn("support_ok", F.coalesce(c("structural_room_r") >= room, F.lit(False)))
 
 
-def liquidity_pools(bars: DataFrame, lower: Column, upper: Column, *, look: int = 24, gap: float = 0.12, touches: int = 2, apart: int = 2, below: float = 0.20, above: float = 0.45) -> DataFrame:
-    """The pool of repeated highs near the zone [lower, upper] among the `look` bars before each bar (column atr): level, touches and the newest of them. The highs travel as an array of bounded length."""
-    highs = F.collect_list("high").over(rows(-look, -1))
-    laid = bars.withColumns({"_lo": lower - below * c("atr"), "_hi": upper + above * c("atr"), "_highs": highs}).where("atr > 0")
-    points = laid.select("symbol", "ts", "atr", "_lo", "_hi", F.posexplode("_highs").alias("_i", "_h"))
-    w = Window.partitionBy("symbol", "ts").orderBy("_h", "_i")
-    fresh = F.coalesce((c("_h") - F.lag("_h").over(w) > gap * c("atr")).cast("int"), F.lit(0))
-    numbered = points.withColumn("_new", fresh).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pools = numbered.groupBy("symbol", "ts", "_k").agg(F.avg("_h").alias("level"), F.count("*").alias("n"), F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-    good = pools.where((c("n") >= touches) & (c("_b") - c("_a") >= apart) & c("level").between(c("_lo"), c("_hi")))
-    best = good.groupBy("symbol", "ts").agg(F.max(F.struct("n", "_b", "level")).alias("_p"))
-    return best.select("symbol", "ts", c("_p.level").alias("pool_level"), c("_p.n").alias("pool_touches"))
+def with_liquidity_pool(bars: DataFrame, lower: Column, upper: Column, *, look: int = 24, gap: float = 0.12, touches: int = 2, apart: int = 2, below: float = 0.20, above: float = 0.45) -> DataFrame:
+    """The pool of repeated highs near the zone [lower, upper] among the `look` bars before each bar (column atr): pool_level and pool_touches, the one with the most touches and of these the newest; nulls without one. The highs are one array of bounded length."""
+    laid = bars.withColumn("_highs", F.collect_list("high").over(rows(-look, -1)))
+    points = F.array_sort(F.transform("_highs", lambda h, i: F.struct(h.alias("v"), i.alias("i"))))
+    groups = clustered(points, "struct<v:double,i:int>", gap * c("atr"))
+    at = lambda g: F.transform(g, lambda p: p["i"])
+    pools = F.transform(groups, lambda g: F.struct(F.size(g).cast("long").alias("n"), F.array_max(at(g)).alias("newest"), _mean(g).alias("level"), F.array_min(at(g)).alias("oldest")))
+    good = F.filter(pools, lambda p: (p["n"] >= touches) & (p["newest"] - p["oldest"] >= apart) & p["level"].between(lower - below * c("atr"), upper + above * c("atr")))
+    found = laid.withColumn("_pool", F.when(c("atr") > 0, F.array_max(good)))
+    return found.withColumns({"pool_level": c("_pool.level"), "pool_touches": c("_pool.n")}).drop("_highs", "_pool")
 
 
 def impulse_pullback(bars: DataFrame, *, look: int = 14, least_atr: float = 1.20, retrace: tuple[float, float] = (0.18, 0.72)) -> DataFrame:
@@ -175,15 +191,14 @@ def break_watch(signals: DataFrame, bars: DataFrame, step: int, *, detect_bars:
 _FOUND = "struct<free:bigint,at:bigint,pool:double,bos:bigint>"
 
 
-def sweep_events(signals: DataFrame, small: DataFrame, pools: DataFrame, step: int, wait_bars: int, *, bos_bars: int = 4, sweep_by: float = 0.03, wick: float = 0.20, reclaim_by: float = 0.12, break_by: float = 0.03, body: tuple[float, float] = (0.70, 1.00)) -> DataFrame:
-    """For each signal (zone_lower, zone_upper, atr): the first bar among the next `wait_bars` that sweeps a pool of highs in the zone and closes back below it, and the controlled break of the lows before the sweep within `bos_bars`.
+def sweep_events(signals: DataFrame, small: DataFrame, step: int, wait_bars: int, *, bos_bars: int = 4, sweep_by: float = 0.03, wick: float = 0.20, reclaim_by: float = 0.12, break_by: float = 0.03, body: tuple[float, float] = (0.70, 1.00)) -> DataFrame:
+    """For each signal (zone_lower, zone_upper, atr): the first of the small bars (with pool_level) among the next `wait_bars` that sweeps a pool of highs in the zone and closes back below it, and the controlled break of the lows before the sweep within `bos_bars`.
 
     A sweep fails when a close gets above its high or the wait is over, and only then the next one counts. Sweeps of a signal are few and are taken in turn by a fold over an array of at most `wait_bars` of them. State: SWEEP_AND_BREAK, NO_CONTROLLED_BREAK or NO_SWEEP.
     """
     keys, a = ["symbol", "ts"], c("atr")
-    shaped = small.join(pools, ["symbol", "ts"], "left").withColumn("_micro", F.min("low").over(rows(-bos_bars, -1)))
-    extra = shaped.select("symbol", c("ts").alias("bar_ts"), "pool_level", "_micro")
-    ahead = forward_bars(signals.where("atr > 0"), small, step * (wait_bars + bos_bars)).join(extra, ["symbol", "bar_ts"]).withColumn("_n", ((F.unix_seconds("bar_ts") - F.unix_seconds("ts")) / step).cast("long"))
+    shaped = small.withColumn("_micro", F.min("low").over(rows(-bos_bars, -1)))
+    ahead = forward_bars(signals.where("atr > 0"), shaped, step * (wait_bars + bos_bars), ("pool_level", "_micro")).withColumn("_n", ((F.unix_seconds("bar_ts") - F.unix_seconds("ts")) / step).cast("long"))
     span = c("bar_high") - c("bar_low")
     near = (c("bar_high") >= c("zone_lower") - 0.12 * a) & (c("bar_low") <= c("zone_upper") + 0.12 * a)
     auction = (span > 0) & (c("bar_close") < c("bar_open")) & (c("bar_high") >= c("pool_level") + sweep_by * a) & (c("bar_close") < c("pool_level")) & ((c("bar_high") - F.greatest("bar_open", "bar_close")) / span >= wick)

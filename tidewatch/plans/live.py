@@ -10,7 +10,7 @@ from tidewatch.operators import bars as B
 from tidewatch.operators import features as W
 from tidewatch.plans.catalog import _JOINED, _RET, BARS, STEP, W_, _out, _signals, bars, query
 from tidewatch.plans.scores import _TICKS, _bars_sql, walk
-from tidewatch.sources.candles import shared_folder
+from tidewatch.sources.candles import kept, shared_folder
 from tidewatch.streaming import capture as C
 from tidewatch.streaming import live as T
 from tidewatch.streaming import settle as S
@@ -82,7 +82,7 @@ def _in_parts(spark, rows, x):
 
 def _delivered(spark, rows, columns, use, parts=PARTS + 1):
     """Writes the parts one after the other into a folder and calls `use` with the folder's stream after each."""
-    rows, path = T.kept(rows, shared_folder(spark, "parts")), shared_folder(spark, "stream-in")
+    rows, path = kept(rows, shared_folder(spark, "parts")), shared_folder(spark, "stream-in")
     for k in range(parts):
         rows.where(c("part") == k).select(*columns).write.mode("append").parquet(path)
         use(spark.readStream.schema(rows.select(*columns).schema).parquet(path))

@@ -12,6 +12,7 @@ from tidewatch.operators import signals as G
 from tidewatch.operators.matching import as_of
 from tidewatch.operators.scans import running
 from tidewatch.plans.catalog import DAY, STEP, _out, query
+from tidewatch.sources.candles import kept, shared_folder
 
 HOUR, MARKET = 3600, ["purchase", "view"]
 c = F.col
@@ -85,8 +86,15 @@ def walk(spark, d, step):
     return B.from_ticks(ticks, step).withColumn("amount", c("amount") * 1000)
 
 
-def signal(spark, d, before=lambda rows: rows):
-    rows = before(G.signal_rows(walk(spark, d, STEP), walk(spark, d, DAY), DAY, STEP)).where("atr > 0")
+def frames(spark, d, *steps):
+    """Bars of the price walk at several steps, the finest first: made once from the ticks and written, the coarser ones from the finer."""
+    finest = kept(walk(spark, d, steps[0]), shared_folder(spark, "bars"))
+    return [finest, *(B.resample(finest, s) for s in steps[1:])]
+
+
+def signal(spark, d, before=lambda rows: rows, bars=None, pivots=None):
+    one, four = bars or frames(spark, d, STEP, DAY)
+    rows = before(G.signal_rows(one, four, DAY, STEP, pivots=pivots)).where("atr > 0")
     marked = rows.withColumns({"spread_bps": c("volume") * 4, "funding_rate": (c("close") - c("open")) / c("close") / 20, "change24": c("ret24") * 1.5})
     return G.with_market(marked, MARKET)
 

@@ -83,12 +83,6 @@ def append_to(spark: SparkSession, stream: DataFrame, path: str, log: str, setti
     query.awaitTermination()
 
 
-def kept(rows: DataFrame, path: str) -> DataFrame:
-    """Rows written once and read from there."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def settlement(joined: DataFrame, signals: DataFrame, step: int, horizon_bars: int, now: int, *, move: float, most_missing: float = 0.05) -> DataFrame:
     """Outcome of each signal (entry) from its later bars: CLOSED_TARGET or CLOSED_STOP at the first of -/+ `move`, CLOSED_TIME once the horizon is over with enough bars, POSTPONED if too many are missing, else OPEN."""
     t = F.unix_seconds("bar_ts")
