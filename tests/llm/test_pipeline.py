@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from test_decontamination import plain
+from test_near_copies import similarity
 from test_secrets import expected
 
 import corpus_pipeline
@@ -66,6 +67,16 @@ def test_stages_equal_plain_ones(spark, tables):
     gone = {d for i, (d, _) in enumerate(kept) if d is not None and d != min(ids[root[i]])}
     kept = rejected(kept, gone)
     assert {200, 205, 209} <= gone
+    # then the smallest id of each class of texts whose 5-word shingles are alike by 0.8 or more
+    root = {d: d for d, t in kept if d is not None and (t or "").split()}
+    for _ in range(3):
+        for d, t in kept:
+            for e, u in kept:
+                if d in root and e in root and root[d] != root[e] and similarity(t, u) >= 0.8:
+                    root[d] = root[e] = min(root[d], root[e])
+    again = {d for d, first in root.items() if d != first}
+    kept = rejected(kept, again)
+    assert again | gone >= set(range(220, 225))
     kept = rejected(kept, {x[0] for x in plain(kept, items) if x[-1]})
     assert not {240, 241, 244} & {d for d, _ in kept}
 

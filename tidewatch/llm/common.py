@@ -39,6 +39,14 @@ def id_and_bytes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def without(documents: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id isn't among the one column of `gone`, with their own columns whatever these are called; rows with a null id stay."""
+    name = "gone_id"
+    while name in documents.columns:
+        name += "_"
+    return documents.join(gone.toDF(name), documents[id_col] == F.col(name), "left_anti")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns of plain values."""
     arrow = arrow_schema(schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes
+from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes, without
 
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -154,5 +154,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their own columns. Rows whose doc_id is null stay; rows with one doc_id stay or go together."""
-    bad = contamination(documents, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents[options.get("id_col", "doc_id")] == F.col("_bad"), "left_anti")
+    return without(documents, contamination(documents, benchmark, **options).where("contaminated").select("doc_id").distinct(), options.get("id_col", "doc_id"))

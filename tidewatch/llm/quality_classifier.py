@@ -4,7 +4,8 @@ Trusted positives and unlabelled web text train a linear scorer that minimises t
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with the logistic loss. The class prior pi is estimated from the labelled rows. Features are shares and
 counts of the text alone; they never see an id, a language, a source or a label.
 
-Training uses at most `max_positive` positives and `max_unlabelled` unlabelled rows, those with the lowest hash of their id; scoring covers every row.
+Training uses at most `max_positive` positives and `max_unlabelled` unlabelled rows, those with the lowest hash of their id, and of each id one row, the one with the
+greatest feature row; scoring covers every row.
 
 Defined cases: a null or empty text has zero counts and gets a score like any other; a null doc_id counts as the text '' for the fold; ids labelled
 twice count once, as positive if any row says so; without positives or unlabelled rows the score is the prior (0.5 without labels) for all; repeated rows
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, fold_of, id_and_bytes, map_batches
+from tidewatch.llm.common import arrow_schema, fold_of, id_and_bytes, map_batches, without
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -90,7 +91,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     positive = lowest(marked.where("y > 0"), max_positive).withColumn("is_positive", F.lit(True))
     unlabelled = lowest(docs.where("doc_id IS NOT NULL"), max_unlabelled).withColumn("is_unlabelled", F.lit(True))
     chosen = F.broadcast(positive.join(unlabelled, "doc_id", "full").fillna(False))  # at most max_positive + max_unlabelled ids
-    rows = _feature_rows(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").orderBy("doc_id").toPandas()
+    # one feature row for each id, the greatest of its rows, so that an id on many rows neither fills the driver nor drowns the others
+    each = _feature_rows(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("x").alias("x"))
+    rows = each.join(chosen, "doc_id").orderBy("doc_id").toPandas()
     if not len(rows) or not rows.is_positive.any() or not rows.is_unlabelled.any():
         return {"constant": float(prior)}
     x = np.stack(rows.x.to_numpy())
@@ -117,5 +120,4 @@ def classify(documents: DataFrame, model: dict, *, id_col: str = "doc_id", text_
 def keep_good(documents: DataFrame, model: dict, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that the model accepts. Rows that share an id go only if all of them are rejected; rows with a null id stay."""
     judged = classify(documents, model, id_col=id_col, **options)
-    bad = judged.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("doc_id").alias("_bad"))
-    return documents.join(bad, documents[id_col] == F.col("_bad"), "left_anti")
+    return without(documents, judged.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0 AND doc_id IS NOT NULL").select("doc_id"), id_col)

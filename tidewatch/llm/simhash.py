@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes
+from tidewatch.llm.common import arrow_schema, checkpoint, id_and_bytes, without
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -340,6 +340,12 @@ def joined_by(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int,
     return rows.join(hot, key).union(rows.join(hot.select(key), key, "left_anti").join(per_key.where(F.col(n) * share <= total), key))
 
 
+def _spread(edges: DataFrame, least: DataFrame, parts: int = 8) -> DataFrame:
+    """Edges with the one row of their u. A vertex of very many neighbours meets them in `parts` tasks, as its row is repeated for each part of them."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    return dealt.join(least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """vertex and root (the smallest vertex that it reaches), for each vertex of an edge. Vertices may be of any type that has an order."""
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
@@ -348,9 +354,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _spread(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpoint(small)
         now = measured()
         if now == before:
@@ -376,5 +382,4 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each component stays: the one whose id is component_id. Rows with a null id stay; so do all rows that repeat the id that stays."""
-    drop = near_duplicates(documents, id_col=id_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return documents.join(drop, documents[id_col] == F.col("_drop"), "left_anti")
+    return without(documents, near_duplicates(documents, id_col=id_col, **options).where("doc_id <> component_id").select("doc_id").distinct(), id_col)
