@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewatch.operators.features import by_symbol, returns, rows
 
@@ -60,21 +66,90 @@ def exhaustion(bars: DataFrame, benchmark: str, step: int, *, rise: float = 10.0
     return joined.withColumn("is_event", F.coalesce(F.col("whole") & (F.col("prior18") >= rise) & (F.col("last6") <= fall) & (F.col("relative6") <= relative), F.lit(False)))
 
 
-def cooldown(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Keeps the first event and each one at least `seconds` after the last kept one.
-
-    An event that far from the one before it is always kept, so runs between such gaps are independent. Each is folded on its own, and no key is
-    gathered as a whole.
+def _exits(times: np.ndarray, seconds: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted times the next one at least `seconds` later (or their number), and the last one kept if it is kept itself."""
+    after = np.searchsorted(times, times + seconds)
+    last = np.arange(len(times))
+    while True:
+        ahead = after[last]
+        if not (ahead < len(times)).any():
+            return after, last
+        last = np.where(ahead < len(times), ahead, last)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(first n columns, the two columns after them) of each run of rows that are equal in the first n; the last two are whole numbers."""
+    at, held = None, []
+    for b in batches:
+        names = list(zip(*(b.column(k).to_pylist() for k in range(n))))
+        a, z = (b.column(k).to_numpy(zero_copy_only=False) for k in (n, n + 1))
+        first = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[first]:
+                if names[first] != at and held:
+                    yield at, *(np.concatenate(x) for x in zip(*held))
+                    held = []
+                at = names[first]
+                held.append((a[first:k], z[first:k]))
+                first = k
+    if held:
+        yield at, *(np.concatenate(x) for x in zip(*held))
+
+
+def cooldown(events: DataFrame, keys: list[str], seconds: int, *, cooldowns: int = 16) -> DataFrame:
+    """Keeps the first event and each one at least `seconds` after the last kept one; rows of one time stay or go together.
+
+    Time is cut into spans of `cooldowns` cooldowns. Each span is a map on its own: for any event that may be the first one kept in it, the last one that is then kept. Only these
+    few (those of the span's first cooldown and the next one) are put in order by key, where one pass chains the maps; then each span is walked from its first kept event. So a
+    run of dense events of any length spreads over tasks, in linear time; a task holds the distinct seconds of one span. A null key has no events.
     """
-    w = Window.partitionBy(*keys).orderBy("ts")
-    t = F.unix_seconds("ts")
-    far = F.coalesce((t - F.lag(t).over(w) >= seconds).cast("int"), F.lit(0))
-    runs = events.select(*keys, "ts").distinct().withColumn("_far", far).withColumn("_run", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    times = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.unix_seconds("ts"))).alias("_times"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate("_times", none, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= seconds), F.concat(acc, F.array(x))).otherwise(acc))
-    chosen = times.select(*keys, F.explode(kept).alias("_t")).withColumn("ts", F.timestamp_seconds("_t")).drop("_t")
-    return events.join(chosen, [*keys, "ts"], "left_semi")
+    width = seconds * cooldowns
+    times = events.select(*keys, F.unix_seconds("ts").alias("_t")).distinct().withColumn("_span", F.floor(F.col("_t") / width))
+    named = [f"`{k}` {times.schema[k].dataType.simpleString()}" for k in keys]
+    n = len(keys)
+
+    maps, starts, kept_ddl = (", ".join([*named, tail]) for tail in ("_span long, _entry long, _exit long", "_span long, _start long", "_t long"))
+    schemas = {ddl: to_arrow_schema(StructType.fromDDL(ddl)) for ddl in (maps, starts, kept_ddl)}
+
+    def table(ddl: str, key_rows: list[tuple], *columns) -> pa.RecordBatch:
+        schema = schemas[ddl]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip([*(zip(*key_rows) if key_rows else [[]] * n), *columns], schema)], schema=schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*key, span), t, _ in _groups(batches, n + 1):
+            _, last = _exits(t, seconds)
+            most = min(len(t), np.searchsorted(t, span * width + seconds) + 1)
+            yield table(maps, [tuple(key)] * most, [span] * most, t[:most], t[last[:most]])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, free, done = None, None, None
+        for b in batches:
+            found = []
+            for *key, span, entry, exit_ in zip(*(c.to_pylist() for c in b.columns)):
+                if key != at:
+                    at, free, done = key, None, None
+                if span != done and (free is None or entry >= free):
+                    free, done = exit_ + seconds, span
+                    found.append((tuple(key), span, entry))
+            yield table(starts, [k for k, _, _ in found], [s for _, s, _ in found], [e for _, _, e in found])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*key, _), t, start in _groups(batches, n + 1):
+            after, kept, k = np.searchsorted(t, t + seconds), [], int(np.searchsorted(t, start[0]))
+            while k < len(t):
+                kept.append(int(t[k]))
+                k = int(after[k])
+            yield table(kept_ddl, [tuple(key)] * len(kept), kept)
+
+    by_span = times.repartition(*keys, "_span").sortWithinPartitions(*keys, "_span", "_t")
+    of_spans = by_span.select(*keys, "_span", "_t", F.col("_t").alias("_again")).mapInArrow(mapped, maps)
+    first = of_spans.repartition(*keys).sortWithinPartitions(*keys, "_span", "_entry").mapInArrow(chained, starts)
+    laid = times.join(first, [*keys, "_span"]).select(*keys, "_span", "_t", "_start").repartition(*keys, "_span").sortWithinPartitions(*keys, "_span", "_t")
+    chosen = laid.mapInArrow(walked, kept_ddl).select(*keys, F.col("_t").alias("_kept"))
+    same = F.unix_seconds("ts") == F.col("_kept")
+    for key in keys:
+        same = same & (events[key] == chosen[key])
+    return events.join(chosen, same, "left_semi")
 
 
 def confirmation(events: DataFrame, bars: DataFrame, step: int, lags: int = 6, horizon: int = 0) -> DataFrame:

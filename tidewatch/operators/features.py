@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewatch.operators.scans import carried, running, with_history, with_position
+from tidewatch.operators.scans import SPAN, carried, running, with_history, with_position
 
 
 def by_symbol() -> WindowSpec:
@@ -128,12 +128,23 @@ def with_sweep(bars: DataFrame, n: int = 20, keep: int = 8, over: float = 1.001)
     return numbered.withColumn("_newest", newest).withColumns({"sweep_level": F.col("_newest.level"), "sweep_bars_ago": (F.col("_rn") - F.col("_newest.rn")).cast("long")}).drop("_rn", "_hit", "_newest")
 
 
-def with_runs(bars: DataFrame, condition: Column, name: str = "run") -> DataFrame:
-    """How many bars in a row up to this one fulfil the condition."""
-    flagged = bars.withColumn("_ok", F.coalesce(condition, F.lit(False)))
-    island = flagged.withColumn("_island", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(rows(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("symbol", "_island").orderBy("ts")
-    return island.withColumn(name, F.sum(F.when(F.col("_ok"), 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_ok", "_island")
+def with_runs(bars: DataFrame, condition: Column, name: str = "run", *, span: int = SPAN) -> DataFrame:
+    """How many bars in a row up to this one fulfil the condition.
+
+    Runs are counted within spans of time; the first run of a span takes on what the spans before it end with. Only one row for each span is ordered by symbol.
+    """
+    flagged = bars.withColumns({"_ok": F.coalesce(condition, F.lit(False)), "_span": F.floor(F.unix_seconds("ts") / span)})
+    upto = Window.partitionBy("symbol", "_span").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    island = flagged.withColumn("_island", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(upto))
+    own = F.sum(F.when(F.col("_ok"), 1).otherwise(0)).over(Window.partitionBy("symbol", "_span", "_island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    within = island.withColumn("_run", own)
+    spans = within.groupBy("symbol", "_span").agg(F.count("*").alias("n"), F.max_by("_run", "ts").alias("tail"), F.max("_island").alias("breaks"))
+    order = Window.partitionBy("symbol").orderBy("_span")
+    summed = spans.withColumn("upto", F.sum("n").over(order))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    handed = F.coalesce(F.last("upto").over(before), F.lit(0)) + F.coalesce(F.last(F.when(F.col("breaks") > 0, F.col("tail") - F.col("upto")), ignorenulls=True).over(before), F.lit(0))
+    out = within.join(summed.select("symbol", "_span", handed.alias("_handed")), ["symbol", "_span"])
+    return out.withColumn(name, (F.col("_run") + F.when(F.col("_island") == 0, F.col("_handed")).otherwise(0)).cast("long")).drop("_ok", "_span", "_island", "_run", "_handed")
 
 
 def touch_episodes(bars: DataFrame, lower: Column, upper: Column) -> DataFrame:

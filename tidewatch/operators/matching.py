@@ -6,28 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str]) -> DataFrame:
-    """For each left row the latest right row at or before it: both sides in one sorted window, one shuffle, no range join."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], *, span: int | None = None) -> DataFrame:
+    """For each left row the latest right row at or before it: both sides in one sorted window, one shuffle, no range join.
+
+    With `span` (seconds), a key is cut into spans of time that hand their last right row on, so that no task holds a key; only one row for each span is ordered by key.
+    """
     picked = F.struct(F.col(right_ts).alias("as_of_ts"), *columns)
     a = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(picked.alias("x")).schema["x"].dataType).alias("_right"))
     b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_left"), picked.alias("_right"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_found", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_left.*", "_found.*")
-
-
-def matched_controls(cases: DataFrame, pool: DataFrame, calipers: dict[str, float], distance: Column, top: int = 3, *, allowed: Column | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+    both = a.unionByName(b)
+    upto = lambda *by: Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    if span is None:
+        return both.withColumn("_found", F.last("_right", ignorenulls=True).over(upto(*keys))).where("_side = 1").select("_left.*", "_found.*")
+    cut = lambda t: F.floor((F.unix_seconds(t) if dict(both.dtypes)["_t"] == "timestamp" else F.col(t)) / span)
+    within = both.withColumn("_span", cut("_t")).withColumn("_own", F.last("_right", ignorenulls=True).over(upto(*keys, "_span"))).where("_side = 1")
+    # the newest right row of each span; spans that hold left rows only look for the one before
+    ends = b.select(*keys, cut("_t").alias("_span"), "_t", "_right").groupBy(*keys, "_span").agg(F.max_by("_right", "_t").alias("_end"))
+    asked = within.select(*keys, "_span").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+    spans = ends.unionByName(asked).groupBy(*keys, "_span").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    handed = spans.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    same = F.col("w._span") == F.col("h._span")
+    for key in keys:
+        same = same & F.col(f"w.{key}").eqNullSafe(F.col(f"h.{key}"))
+    return within.alias("w").join(handed.alias("h"), same, "left").select("w._left", F.coalesce("w._own", "h._before").alias("_found")).select("_left.*", "_found.*")
+
+
+def matched_controls(cases: DataFrame, pool: DataFrame, calipers: dict[str, float], distance: Column, top: int = 3, *, allowed: Column | None = None, per: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
     """The `top` nearest rows of the pool at each case's timestamp: another symbol, within all calipers. `distance` may use c_ columns of the case and p_ columns of the pool.
 
     `allowed` adds a condition on c_ and p_ columns, such as that the control doesn't carry the case's own family; `per` names further columns that tell cases apart.
-    An equi-join on the timestamp with the calipers as its residual condition; never a product of the tables.
+    A band join: the first two calipers cut their columns into cells of their width, and a case, of which there are few, meets the pool's rows of its own and the
+    neighbouring cells, so a crowded timestamp is many keys. `parts` cuts a crowded cell further, by a hash of the pool's symbol. Ranks are cut to `top` before they are shuffled and after.
+    A column that is null, infinite or not a number matches nothing.
     """
     c = cases.select(*(F.col(x).alias(f"c_{x}") for x in cases.columns))
     p = pool.select(*(F.col(x).alias(f"p_{x}") for x in pool.columns))
-    close = F.lit(True) if allowed is None else allowed
+    close, keys = F.lit(True) if allowed is None else allowed, ["_part"]
     for column, width in calipers.items():
         close = close & (F.abs(F.col(f"c_{column}") - F.col(f"p_{column}")) <= width)
-    joined = c.join(p, (F.col("c_ts") == F.col("p_ts")) & (F.col("c_symbol") != F.col("p_symbol")) & close)
+    one = F.lit(1).cast("long")
+    for k, (column, width) in enumerate([x for x in calipers.items() if x[1] > 0][:2]):
+        # a trifle wider than the caliper, so that rounding can't put a match two cells away
+        at = lambda side, column=column, width=width: F.col(f"{side}_{column}") / F.lit(width * (1 + 1e-9))
+        finite = lambda side, at=at: F.abs(at(side)) < 1e15
+        c = c.where(finite("c")).withColumn(f"_cell{k}", F.explode(F.sequence(F.floor(at("c")) - one, F.floor(at("c")) + one)))
+        p = p.where(finite("p")).withColumn(f"_cell{k}", F.floor(at("p")))
+        keys.append(f"_cell{k}")
+    c = c.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
+    p = p.withColumn("_part", F.pmod(F.xxhash64("p_symbol"), F.lit(parts)).cast("int") if parts > 1 else F.lit(0))
+    same = F.col("c_ts") == F.col("p_ts")
+    for key in keys:
+        same = same & (c[key] == p[key])
+    joined = c.join(p, same & (F.col("c_symbol") != F.col("p_symbol")) & close).drop(*keys)
     w = Window.partitionBy("c_symbol", "c_ts", *(f"c_{x}" for x in per)).orderBy("distance", "p_symbol")
     return joined.withColumn("distance", distance).withColumn("control_rank", F.row_number().over(w).cast("long")).where(F.col("control_rank") <= top)
 

@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.scans import with_dense_rank
+
 
 def flags(column: str, values: list[str]) -> dict[str, Column]:
     """One column of 0 and 1 for each value; null gives 0."""
@@ -29,6 +31,16 @@ def expanding_folds(rows: DataFrame, t: str, edges: list[int], embargo: int) ->
     return laid.withColumn("role", role).where(F.col("role").isNotNull()).drop("_a", "_b")
 
 
+def rank_folds(rows: DataFrame, t: str, folds: int, *, first: float = 0.4, embargo: int = 0) -> DataFrame:
+    """Expanding folds over the distinct times of t (whole seconds): the first `first` of them only train, the others are cut into `folds` equal tests. Fold k trains on all times before its test but the last `embargo` of them, so each later row is tested exactly once whatever the table's span. Rows without a time are left out."""
+    ranked = with_dense_rank(rows, t, name="_rank").where(F.col("_rank").isNotNull())
+    edge = lambda k: F.when(k == folds, F.col("_rank_of")).otherwise(F.floor(F.col("_rank_of") * (F.lit(first) + F.lit(1 - first) * k / folds)))
+    laid = ranked.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))
+    low, high = edge(F.col("fold")), edge(F.col("fold") + 1)
+    role = F.when(F.col("_rank") < low - embargo, "train").when((F.col("_rank") >= low) & (F.col("_rank") < high), "test")
+    return laid.withColumn("role", role).where(F.col("role").isNotNull()).drop("_rank", "_rank_of")
+
+
 def _fit(train: DataFrame, features: list[str], label: str, kind: str, balanced: bool, least: int):
     n, share = train.agg(F.count(label), F.avg(F.col(label).cast("double"))).first()
     if n < least or share in (0.0, 1.0):

@@ -116,6 +116,28 @@ def c_(name: str) -> Column:
     return F.col(name)
 
 
+def with_dense_rank(rows: DataFrame, t: str, *, span: int = 86_400, name: str = "rank") -> DataFrame:
+    """The number of distinct values of t (whole seconds) below each row's own, over the whole table, as dense ranks from 0 on, with their count as <name>_of.
+
+    Distinct values are numbered within spans, and one row for each span is put in order: a row a day by default, whatever the table's size.
+    """
+    values = rows.where(F.col(t).isNotNull()).select(F.col(t).alias("_v"), F.floor(F.col(t) / span).alias("_span")).distinct()
+    own = F.row_number().over(Window.partitionBy("_span").orderBy("_v")) - 1
+    counts = values.groupBy("_span").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(F.lit(0))
+    before = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), f"{name}_of": F.sum("_n").over(whole)}).drop("_n")
+    ranked = values.withColumn("_own", own).join(before, "_span").select("_v", (F.col("_before") + F.col("_own")).cast("long").alias(name), F.col(f"{name}_of").cast("long").alias(f"{name}_of"))
+    return rows.join(ranked, rows[t] == F.col("_v"), "left").drop("_v")
+
+
+def ranged(values: DataFrame, keys: list[str], x: str, cuts: int = 64) -> DataFrame:
+    """Rows with `_range`, the number of the range of x within their key that they lie in, from an approximate sketch; nulls lie in the first."""
+    bounds = values.groupBy(*keys).agg(F.percentile_approx(F.col(x).cast("double"), [k / cuts for k in range(1, cuts)], 10 * cuts).alias("_bounds"))
+    joined = values.alias("a").join(bounds.alias("b"), _same("a", "b", keys), "left").select("a.*", "b._bounds") if keys else values.join(F.broadcast(bounds), F.lit(True))
+    at = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b < F.col(x).cast("double")))
+    return joined.withColumn("_range", F.when(F.col(x).isNull(), 0).otherwise(at)).drop("_bounds")
+
+
 def percentiles(rows: DataFrame, keys: list[str], x: str, shares: list[float | Column], *, cuts: int = 64) -> DataFrame:
     """Exact percentiles with linear interpolation, as array q by key; keys without values are left out. A Column in place of a share gives a rank from 0 on, in terms of _total.
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewatch.functions.columns import finite, trade_metrics, wilson
-from tidewatch.operators.scans import percentiles, running
+from tidewatch.operators.scans import percentiles, ranged, running
 
 
 def metrics(trades: DataFrame, keys: list[str], r: str = "r") -> DataFrame:
@@ -92,17 +99,82 @@ def row_bootstrap(rows: DataFrame, identity: str, x: str, reps: int = 500, bags:
     return _drawn(sums, bags, reps, "row")
 
 
+#: A row is drawn k times with the odds of a Poisson number of mean one: the least 32-bit draws that give 1, 2, ... times.
+_POISSON = np.ceil(2.0**32 * np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])).astype(np.uint64)
+
+
+def _drawn_times(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """How often each row is drawn in each repetition, from a 32-bit mixing of its number and the repetition's: rows down, repetitions across."""
+    low, factor, shift = np.uint64(0xFFFFFFFF), np.uint64(73_244_475), np.uint64(16)
+    u = (ids[:, None] * np.uint64(2_654_435_761) + reps * np.uint64(40_503_001) + np.uint64(12_345)) & low
+    for _ in range(2):
+        u = ((u ^ (u >> shift)) * factor) & low
+    return np.searchsorted(_POISSON, u ^ (u >> shift), side="right")
+
+
+def poisson_bootstrap(rows: DataFrame, identity: str, x: str, keys: list[str] | None = None, *, reps: int = 500, share: float = 0.95, most_keys: int = 256) -> DataFrame:
+    """Interval of the mean of single rows by a bootstrap of rows: low, high and n by key.
+
+    In each repetition a row counts as often as a Poisson number of mean one says, drawn from its `identity` (a whole number) and the repetition, which is what drawing n of n rows with
+    replacement comes to. So all repetitions are made in one pass: a task adds up each repetition's weights and weighted values, `reps` numbers for each of at most `most_keys` keys at a
+    time, and these sums are added. Results don't depend on partitions, but for rounding. Rows without a value or an identity don't count.
+    """
+    keys = keys or []
+    own = rows.where(F.col(x).isNotNull() & F.col(identity).isNotNull()).select(F.pmod(F.col(identity).cast("long"), F.lit(1 << 32)).alias("_id"), F.col(x).cast("double").alias("_x"), *keys)
+    kinds = "".join(f", `{k}` {own.schema[k].dataType.simpleString()}" for k in keys)
+    ddl = f"_rep int, _w double, _wx double, _n long{kinds}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    piece = max(1, 500_000 // reps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, sums = np.arange(reps, dtype=np.uint64), {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, (w, wx, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps), pa.int32()), pa.array(w), pa.array(wx), pa.array(np.full(reps, n), pa.int64()), *(pa.array([v] * reps, type=schema.field(k).type) for k, v in zip(keys, key))], schema=schema)
+
+        for b in batches:
+            ids, values = b.column("_id").to_numpy().astype(np.uint64), b.column("_x").to_numpy()
+            groups: dict = {}
+            for at, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys))) if keys else ():
+                groups.setdefault(key, []).append(at)
+            for key, at in groups.items() if keys else [((), np.arange(len(ids)))]:
+                if key not in sums:
+                    if len(sums) == most_keys:
+                        yield from out()
+                        sums.clear()
+                    sums[key] = (np.zeros(reps), np.zeros(reps), 0)
+                w, wx, n = sums[key]
+                for k in range(0, len(at), piece):
+                    times = _drawn_times(ids[at[k : k + piece]], each)
+                    w += times.sum(0)
+                    wx += values[at[k : k + piece]] @ times
+                sums[key] = (w, wx, n + len(at))
+        yield from out()
+
+    means = own.mapInArrow(run, ddl).groupBy(*keys, "_rep").agg((F.sum("_wx") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_mean"), F.sum("_n").alias("_n"))
+    tail = (1 - share) / 2
+    return means.groupBy(*keys).agg(F.percentile("_mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"), F.max("_n").alias("n")).select(*keys, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "n")
+
+
 def wilson_by(rows: DataFrame, keys: list[str], won: Column) -> DataFrame:
     low, high = wilson(F.col("wins"), F.col("n"))
     return rows.groupBy(*keys).agg(F.count_if(won).alias("wins"), F.count("*").alias("n")).withColumns({"low": low, "high": high})
 
 
-def auc(rows: DataFrame, keys: list[str], score: str, label: Column) -> DataFrame:
-    """Area under the ROC curve by rank sums over distinct scores, so ties share a rank and no window spans all rows."""
+def auc(rows: DataFrame, keys: list[str], score: str, label: Column, *, cuts: int = 64) -> DataFrame:
+    """Area under the ROC curve by rank sums over distinct scores, so ties share a rank. Scores of a key are cut into ranges by a sketch; ranges are counted first and each is summed on its own, so no task holds a key."""
     at = rows.groupBy(*keys, score).agg(F.count_if(label).alias("pos"), F.count_if(~label).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    below = F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return at.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*keys).agg((F.sum("_won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    cut = ranged(at, keys, score, cuts)
+    sums = cut.groupBy(*keys, "_range").agg(F.sum("neg").alias("_m"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = F.col("a._range") == F.col("b._range")
+    for key in keys:
+        same = same & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    laid = cut.alias("a").join(before.alias("b"), same).select("a.*", "b._before")
+    own = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("neg").over(own), F.lit(0))
+    return laid.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*keys).agg((F.sum("_won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def block_stability(rows: DataFrame, block: str, r: str = "r") -> DataFrame:

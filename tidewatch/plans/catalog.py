@@ -179,11 +179,23 @@ def e9_exhaustion(spark, d):
     return _out(E.exhaustion(bars(spark, d), "purchase", STEP), "symbol", "ts", "prior18", "last6", "relative6", "is_event")
 
 
-@query(BARS + ", b AS (SELECT (t // 86400) * 86400 AS bt, symbol, arg_max(close, t) AS day_close FROM bars GROUP BY 1, 2) SELECT r.symbol, r.t, round(b.day_close, 6) AS day_close FROM bars r ASOF LEFT JOIN (SELECT symbol, bt + 86400 AS closed_at, day_close FROM b) b ON r.symbol = b.symbol AND r.t >= b.closed_at")
-def j1_as_of(spark, d):
+_J1 = BARS + ", b AS (SELECT (t // 86400) * 86400 AS bt, symbol, arg_max(close, t) AS day_close FROM bars GROUP BY 1, 2) SELECT r.symbol, r.t, round(b.day_close, 6) AS day_close FROM bars r ASOF LEFT JOIN (SELECT symbol, bt + 86400 AS closed_at, day_close FROM b) b ON r.symbol = b.symbol AND r.t >= b.closed_at"
+
+
+def _as_of(spark, d, span):
     fine = bars(spark, d)
     coarse = B.resample(fine, DAY).select("symbol", F.timestamp_seconds(F.unix_seconds("ts") + DAY).alias("closed_at"), F.col("close").alias("day_close"))
-    return _out(J.as_of(fine.select("symbol", "ts"), coarse, ["symbol"], "ts", "closed_at", ["day_close"]), "symbol", "ts", "day_close")
+    return _out(J.as_of(fine.select("symbol", "ts"), coarse, ["symbol"], "ts", "closed_at", ["day_close"], span=span), "symbol", "ts", "day_close")
+
+
+@query(_J1)
+def j1_as_of(spark, d):
+    return _as_of(spark, d, None)
+
+
+@query(_J1)
+def j1_as_of_over_spans(spark, d):
+    return _as_of(spark, d, 3 * DAY)
 
 
 _MATCH = DAILY + f", f AS (SELECT symbol, t, (close / lag(close) OVER ({W_}) - 1) * 100 AS ret, amount, (lead(open) OVER ({W_}) - lead(close, 2) OVER ({W_})) / lead(open) OVER ({W_}) * 100 AS outcome FROM bars), c AS (SELECT * FROM f WHERE ret <= -60), p AS (SELECT * FROM f WHERE ret > -60), m AS (SELECT c.symbol AS c_symbol, c.t, p.symbol AS p_symbol, c.outcome AS co, p.outcome AS po, abs(c.ret - p.ret) / 6 + 0.35 * abs(ln(c.amount / p.amount)) AS distance FROM c JOIN p ON c.t = p.t AND c.symbol <> p.symbol AND abs(c.ret - p.ret) <= 40), k AS (SELECT *, row_number() OVER (PARTITION BY c_symbol, t ORDER BY distance, p_symbol) AS control_rank FROM m)"

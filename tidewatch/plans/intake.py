@@ -423,6 +423,20 @@ def a11_row_interval(spark, d):
     return _metrics(A.row_bootstrap(trades(spark, d), "id", "r", bags=200))
 
 
+_MIX = "xor({u}, {u} >> 16) * 73244475 % 4294967296"
+
+
+def _poisson_sql(reps):
+    step = lambda name, of: f"{name} AS (SELECT * EXCLUDE u, {_MIX.format(u='u')} AS u FROM {of})"
+    times = " + ".join(f"(u >= {int(x)})::INT" for x in A._POISSON)
+    return f", p0 AS (SELECT symbol, r, rep, (id % 4294967296 * 2654435761 + rep * 40503001 + 12345) % 4294967296 AS u FROM trades, range({reps}) q(rep) WHERE r IS NOT NULL), {step('p1', 'p0')}, {step('p2', 'p1')}, p3 AS (SELECT symbol, r, rep, xor(u, u >> 16) AS u FROM p2), p4 AS (SELECT symbol, rep, count(*) AS n, sum(r * ({times})) / sum({times}) AS m FROM p3 GROUP BY 1, 2)"
+
+
+@query(TRADES + _poisson_sql(500) + " SELECT symbol, max(n) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM p4 GROUP BY 1")
+def a11_poisson_interval(spark, d):
+    return _metrics(A.poisson_bootstrap(trades(spark, d), "id", "r", ["symbol"], share=0.95))
+
+
 _X = "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 10 = 1 THEN 'inf'::DOUBLE ELSE r END"
 _KNOWN = f"CASE WHEN isfinite({_X}) THEN {_X} END"
 

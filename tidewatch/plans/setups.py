@@ -93,6 +93,15 @@ def m3_m5_expanding_folds(spark, d):
     return folds.groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum("engine_E1").alias("e1"))
 
 
+_FOLDS, _FIRST, _GAP = 5, 0.4, 20
+
+
+@query(TRADES + f", k AS (SELECT *, dense_rank() OVER (ORDER BY t) - 1 AS rk FROM trades), u AS (SELECT max(rk) + 1 AS u FROM k), f AS (SELECT i AS fold, CAST(floor(u * ({_FIRST} + (1 - {_FIRST}) * i / {_FOLDS})) AS BIGINT) AS a, CASE WHEN i + 1 = {_FOLDS} THEN u ELSE CAST(floor(u * ({_FIRST} + (1 - {_FIRST}) * (i + 1) / {_FOLDS})) AS BIGINT) END AS b FROM u, range({_FOLDS}) r(i)), x AS (SELECT fold, t, r, CASE WHEN rk < a - {_GAP} THEN 'train' WHEN rk >= a AND rk < b THEN 'test' END AS role FROM k, f) SELECT fold, role, count(*) AS n, min(t) AS first_t, max(t) AS last_t, round(avg(r), 6) AS mean_r FROM x WHERE role IS NOT NULL GROUP BY 1, 2")
+def m5_rank_folds(spark, d):
+    folds = M.rank_folds(trades(spark, d), "t", _FOLDS, first=_FIRST, embargo=_GAP)
+    return folds.groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.round(F.avg("r"), 6).alias("mean_r"))
+
+
 def _scored(spark, d, kind):
     rows = trades(spark, d).withColumns({"win": (F.col("r") > 0).cast("int"), "big": (F.col("r") > 2).cast("int"), "hour": (F.col("t") % 86_400) / 3600} | M.flags("engine", ["E0", "E1", "E2"]))
     return M.walk_forward_scores(M.expanding_folds(rows, "t", _EDGES, 28_800), 2, ["score", "hour", "regime", "engine_E0", "engine_E1", "engine_E2"], ["win", "big"], kind=kind)
