@@ -112,6 +112,22 @@ def walk_forward(trades: DataFrame, t: str, start: int, folds: int, train: int,
     return laid.withColumn("role", role).where(F.col("role").isNotNull())
 
 
+def rolling_folds(rows: DataFrame, t: str, train: int, test: int, embargo: int, *, start: int | None = None) -> DataFrame:
+    """Folds as in walk_forward, laid from the first time (or `start`) to the end of the data: as many as it takes for each row after the first training and embargo to be tested once. A row is repeated only for the folds that use it."""
+    low, high = rows.agg(F.min(t), F.max(t)).first()
+    if low is None:
+        return rows.withColumns({"fold": F.lit(None).cast("long"), "role": F.lit(None).cast("string")})
+    begin = low if start is None else start
+    folds = max(1, -(-(high - begin - train - embargo + 1) // test))
+    x, zero, last = F.col(t) - F.lit(begin), F.lit(0).cast("long"), F.lit(folds - 1).cast("long")
+    first_train, last_train, tested = F.greatest(F.floor((x - train) / test) + 1, zero), F.least(F.floor(x / test), last), F.floor((x - train - embargo) / test)
+    none = F.array().cast("array<bigint>")
+    used = lambda folds, role: F.transform(folds, lambda k: F.struct(k.alias("fold"), F.lit(role).alias("role")))
+    trains = F.when((x >= 0) & (first_train <= last_train), F.sequence(first_train, last_train)).otherwise(none)
+    tests = F.when((tested >= 0) & (tested <= last), F.array(tested)).otherwise(none)
+    return rows.withColumn("_f", F.explode(F.concat(used(trains, "train"), used(tests, "test")))).select("*", "_f.*").drop("_f")
+
+
 def edge_states(folds: DataFrame, engine: str, regime: str, r: str, *, min_engine: int, min_regime: int, min_pf: float) -> DataFrame:
     """Test rows with the state of their engine and of engine and regime, and the expected result, all from the fold's training rows alone."""
     x, train = F.col(r), folds.where("role = 'train'")

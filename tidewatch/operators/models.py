@@ -13,9 +13,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.storagelevel import StorageLevel
 from pyspark.sql import functions as F
 
 from tidewatch.operators.scans import with_dense_rank
+from tidewatch.operators.stats import auc
 
 
 def flags(column: str, values: list[str]) -> dict[str, Column]:
@@ -84,3 +86,50 @@ def walk_forward_scores(folds: DataFrame, n_folds: int, features: list[str], lab
 def importance(df_weights: DataFrame) -> DataFrame:
     """Mean signed and mean absolute weight of each feature over the folds."""
     return df_weights.groupBy("label", "feature").agg(F.count("*").alias("folds"), F.avg("weight").alias("mean_weight"), F.avg(F.abs("weight")).alias("mean_abs_weight"))
+
+
+def head_matrix(folds: DataFrame, keep: list[str], heads: dict[str, Column], sets: dict[str, list[str]]) -> DataFrame:
+    """One row for each row of one fold (column role): its label of each head (y_<head>, null where the head has none) and one vector for each feature set (x_<set>).
+
+    Missing values take the median of the training rows, or 0 where these have none; a feature <name>_missing of a set says where <name> was missing. Medians are one aggregation.
+    """
+    names = sorted({f for s in sets.values() for f in s})
+    plain = [f for f in names if not (f.endswith("_missing") and f[:-8] in names)]
+    value = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    train = folds.where("role = 'train'")
+    found = train.agg(*(F.percentile_approx(value(f), 0.5, 1000).alias(f"m{k}") for k, f in enumerate(plain))).first()
+    filled = {f"__{f}": F.coalesce(value(f), F.lit(0.0 if m is None else float(m))) for f, m in zip(plain, found)}
+    flags_ = {f"__{f}": value(f[:-8]).isNull().cast("double") for f in names if f not in plain}
+    out = folds.select("role", *keep, *(F.when(p, 1.0).otherwise(F.when(p.isNotNull(), 0.0)).alias(f"y_{h}") for h, p in heads.items()), *(e.alias(n) for n, e in (filled | flags_).items()))
+    return Pipeline(stages=[VectorAssembler(inputCols=[f"__{f}" for f in s], outputCol=f"x_{name}") for name, s in sets.items()]).fit(out).transform(out).select("role", *keep, *(f"y_{h}" for h in heads), *(f"x_{s}" for s in sets))
+
+
+def boosted_heads(folds: DataFrame, keep: list[str], heads: dict[str, Column], sets: dict[str, list[str]], *, trees: int = 10, depth: int = 3, least: int = 20) -> DataFrame:
+    """Test rows of one fold scored by boosted trees for every head and feature set: the columns of `keep`, feature_set, head, y and p.
+
+    All models are fitted from one assembled matrix, which stays in memory or on disk for their time. A head without enough training rows or with one class only is scored by its training share.
+    """
+    matrix = head_matrix(folds, keep, heads, sets).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = matrix.where("role = 'train'"), matrix.where("role = 'test'")
+    counts = train.agg(*(e for h in heads for e in (F.count(f"y_{h}").alias(f"n_{h}"), F.avg(f"y_{h}").alias(f"s_{h}")))).first()
+    cells = []
+    for s in sets:
+        for h in heads:
+            n, share = counts[f"n_{h}"], counts[f"s_{h}"]
+            name = f"p_{s}_{h}"
+            if n < least or share in (0.0, 1.0):
+                test = test.withColumn(name, F.lit(0.5 if share is None else float(share)))
+            else:
+                weighted = train.where(F.col(f"y_{h}").isNotNull()).withColumn("__weight", F.when(F.col(f"y_{h}") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+                model = GBTClassifier(featuresCol=f"x_{s}", labelCol=f"y_{h}", weightCol="__weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=42).fit(weighted)
+                model = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("__p")
+                test = model.transform(test).withColumn(name, vector_to_array("__p")[1]).drop("__p")
+            cells.append(F.struct(F.lit(s).alias("feature_set"), F.lit(h).alias("head"), F.col(f"y_{h}").alias("y"), F.col(name).alias("p")))
+    return test.select(*keep, F.inline(F.array(*cells)))
+
+
+def head_report(scored: DataFrame) -> DataFrame:
+    """Rows, positives, mean probability and AUC of each head and feature set."""
+    known = scored.where("y IS NOT NULL")
+    counts = known.groupBy("feature_set", "head").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("positive"), F.round(F.avg("p"), 6).alias("mean_p"))
+    return counts.join(auc(known, ["feature_set", "head"], "p", F.col("y") == 1), ["feature_set", "head"])

@@ -42,11 +42,15 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def cohort_check(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """MISSING and UNEXPECTED keys."""
+def cohort_check(expected: DataFrame, found: DataFrame, key: str, *, most: int | None = None) -> DataFrame:
+    """MISSING and UNEXPECTED keys, and, where `most` is given, DUPLICATE ones, which are found on more than that many rows."""
     missing = expected.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("MISSING"))
     extra = found.select(key).distinct().join(expected.select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("UNEXPECTED"))
-    return missing.unionByName(extra)
+    out = missing.unionByName(extra)
+    if most is None:
+        return out
+    often = found.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.lit("DUPLICATE").alias("problem"))
+    return out.unionByName(often)
 
 
 def fingerprint(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -156,15 +156,21 @@ def plan_reason(entry: Column, stop: Column, atr: Column, *, max_stop_pct: float
     return F.when(bad, "INVALID_PLAN").when(100 * risk / entry > max_stop_pct, "SKIP_STOP_PCT").when(risk / atr > max_risk_atr, "SKIP_RISK_TOO_WIDE").when(cost_bps / 1e4 * entry / risk > max_cost_r, "SKIP_COST_R")
 
 
-def fill_then_barrier(signals: DataFrame, bars: DataFrame, wait: int, horizon: int, limit: str = "limit_price", reward: float = 2.0) -> DataFrame:
-    """A short's limit order that must fill within `wait` seconds, then its stop or target within `horizon` seconds after the bar that filled it. All signals stay."""
+def fill_then_barrier(signals: DataFrame, bars: DataFrame, wait: int, horizon: int, limit: str = "limit_price", reward: float = 2.0, fill_bar: str = "none") -> DataFrame:
+    """A short's limit order that must fill within `wait` seconds, then its stop or target within `horizon` seconds after the bar that filled it. All signals stay.
+
+    `fill_bar` says what counts of the bar that filled it, whose path before and after the fill isn't known: "none" of it, "stop" only (the cautious reading: its low may have come before the fill), or "both".
+    """
+    if fill_bar not in ("none", "stop", "both"):
+        raise ValueError(fill_bar)
     own = Window.partitionBy(*_KEYS)
     price, risk = F.col(limit), F.col("stop") - F.col(limit)
     due = (F.col("bar_high") >= price) & (_t() - F.unix_seconds("ts") <= wait)
     joined = forward_bars(signals.where(risk > 0), bars, wait + horizon).withColumn("fill_t", F.min(F.when(due, _t())).over(own))
     held = joined.where((_t() >= F.col("fill_t")) & (_t() <= F.col("fill_t") + horizon))
     later = _t() > F.col("fill_t")
-    hits = held.groupBy(*_KEYS).agg(F.first("fill_t").alias("fill_t"), F.min(F.when(later & (F.col("bar_high") >= F.col("stop")), _t())).alias("stop_t"), F.min(F.when(later & (F.col("bar_low") <= price - reward * risk), _t())).alias("target_t"), F.max_by("bar_close", _t()).alias("_last"))
+    stops, wins = (F.lit(True) if fill_bar in allowed else later for allowed in (("stop", "both"), ("both",)))
+    hits = held.groupBy(*_KEYS).agg(F.first("fill_t").alias("fill_t"), F.min(F.when(stops & (F.col("bar_high") >= F.col("stop")), _t())).alias("stop_t"), F.min(F.when(wins & (F.col("bar_low") <= price - reward * risk), _t())).alias("target_t"), F.max_by("bar_close", _t()).alias("_last"))
     out = signals.join(hits, _KEYS, "left")
     state = F.when(risk <= 0, "INVALID_RISK").when(F.col("fill_t").isNull(), "NO_FILL").when(_before("stop_t", "target_t"), "STOP").when(F.col("target_t").isNotNull(), "TARGET").otherwise("TIME")
     gross = F.when(state == "STOP", F.lit(-1.0)).when(state == "TARGET", F.lit(reward)).when(state == "TIME", (price - F.col("_last")) / risk)

@@ -39,10 +39,14 @@ def with_supply_zone(bars: DataFrame, ahead: int = 4, lookback: int = 75, drop:
     return best.withColumns({"zone_lower": F.col("_best.lower"), "zone_upper": F.col("_best.upper"), "zone_distance_atr": F.col("_best.distance") / F.nullif(F.col("atr"), F.lit(0.0))}).drop("_zone", "_zones", "_best")
 
 
-def pressure(level: Column, atr: Column, relative: Column, *, high_buffer: float = 0.1, compression: float = 0.1, near: float = 1.0) -> dict[str, Column]:
-    """Five votes of pressure into a support level, from the last 8 bars against the 8 before; null until there are 20 bars."""
+# fixed values
+PUBLISHED = {"high_buffer": 0.05, "compression": 0.05, "near": 1.25, "lookback": 24}
+
+
+def pressure(level: Column, atr: Column, relative: Column, *, high_buffer: float = 0.1, compression: float = 0.1, near: float = 1.0, lookback: int = 20) -> dict[str, Column]:
+    """Five votes of pressure into a support level, from the last 8 bars against the 8 before; null until there are `lookback` bars. PUBLISHED has the thresholds of the execution study."""
     recent, prior = rows(-7, 0), rows(-15, -8)
-    ready = F.count("close").over(rows(-19, 0)) == 20
+    ready = F.count("close").over(rows(1 - lookback, 0)) == lookback
     mean8, mean20 = F.avg("close").over(recent), F.avg("close").over(rows(-19, 0))
     lower = F.max("high").over(recent) <= F.max("high").over(prior) - high_buffer * atr
     tighter = (mean8 - level) / atr <= (F.avg("close").over(prior) - level) / atr - compression
