@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form: lower case, copyright lines and list marks gone, punctuation and space as single blanks, equivalent
 spellings as one, a version as its number alone ('version 2.0', 'v2' and '2.0' are '2', '2.0+' is '2 or later'). Known licence texts pass through the same form. The digest of the whole text, and of each of its lines, is joined to
-the known digests, so a licence is found as a whole document and as a notice line within one.
+the known digests, so a licence is found as a whole document and as a notice line within one. So are notices that are wrapped over two or three lines, paragraphs, the text after an
+introduction of one line or paragraph, and each identifier of an SPDX expression (`MIT OR Apache-2.0`, `GPL-2.0-only WITH Classpath-exception-2.0`, deprecated forms such as `GPL-2.0+`).
 
 Every known text holds one of a few stems (ANCHORS), so a text or line without any can't be one and isn't brought to its form. Where a table of licences
 has a text without one, all lines are.
@@ -76,6 +77,13 @@ OR_LATER = {
 }
 #: The sentences around a licence's name.
 NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the {}.", "This project is licensed under the {}.", "This project is licensed under {}.", 'Licensed under the {} (the "License");')
+#: The header that the GNU licences ask for: subject, name of the licence, identifier and versions, and how the version is given.
+GNU_HEADER = "{subject} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{version}"
+GNU_SUBJECTS = ("This program", "This library", "This software", "This file", "It")
+GNU_NAMES = {"GPL": ("GNU General Public License", ("2.0", "3.0")), "LGPL": ("GNU Lesser General Public License", ("2.1", "3.0")), "AGPL": ("GNU Affero General Public License", ("3.0",))}
+GNU_VERSIONS = {"or-later": ("; either version {} of the License, or (at your option) any later version.", ", either version {} of the License, or any later version."), "only": ("; version {} of the License.", ", version {}.", "; version {} of the License only.", "; either version {} of the License.")}
+#: Deprecated SPDX identifiers that have no + form of their own.
+DEPRECATED = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0+": "LGPL-3.0-or-later", "AGPL-3.0+": "AGPL-3.0-or-later"}
 #: Whole texts of short licences.
 TEXTS = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
@@ -128,6 +136,9 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     named = spark.createDataFrame([(k, x) for k, own in (names | later).items() for x in own], "license_id string, name string")
     notices = named.select("license_id", F.explode(F.array(*(F.replace(F.lit(n), F.lit("{}"), F.col("name")) for n in NOTICES))).alias("text"))
     tags = spark.createDataFrame([(k, f"SPDX-License-Identifier: {k}") for k in (*NAMES, *OR_LATER)], "license_id string, text string")
+    tags = tags.union(spark.createDataFrame([(to, f"SPDX-License-Identifier: {k}") for k, to in DEPRECATED.items()], tags.schema))
+    headers = [(f"{family}-{v}-{kind}", GNU_HEADER.format(subject=subject, name=name, version=form.format(v.removesuffix(".0")))) for family, (name, versions) in GNU_NAMES.items() for v in versions for kind, forms in GNU_VERSIONS.items() for form in forms for subject in GNU_SUBJECTS]
+    tags = tags.union(spark.createDataFrame(headers, tags.schema))
     rows = []
     for k, (title, terms, appendix) in whole_texts().items():
         usual = (x for n in names[k] for x in (n, f"The {n}")) if len(terms) < 5_000 else (title.strip().split("\n\n")[0], NAMES[k], *OTHER_NAMES.get(k, ())[:2])
@@ -141,8 +152,33 @@ def _digest(canon: Column) -> Column:
     return F.when(flat != "", F.sha2(flat, 256))
 
 
+_SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(.*)"
+_OPERATORS = r"(?i)[ \t]+(?:OR|AND)[ \t]+|[()]+"
+_EXCEPTION = r"(?i)[ \t]+WITH[ \t]+[^ \t]+"
+#: A line that holds comment marks at most parts paragraphs.
+_PARAGRAPH = r"\n[ \t]*[-*#/;]*[ \t]*\n"
+WHOLE, LINE, RUN, PART, REST = range(5)
+
+
+def _units(rows: DataFrame, may_hold) -> DataFrame:
+    """doc_id, row and the units of each text that may be a licence: (kind, at, line). A text that can't hold one has none."""
+    unit = lambda kind, at, line: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), line.alias("line"))
+    none = F.array().cast("array<struct<kind:int,at:int,line:string>>")
+    held = lambda units: F.filter(units, lambda u: may_hold(u["line"]))
+    lined = rows.withColumn("lines", F.when(may_hold(F.col("text")), F.split("text", "\n")))
+    n = F.size("lines")
+    run = lambda w: F.when(n >= w, held(F.transform(F.slice("lines", 1, n - (w - 1)), lambda x, i: unit(RUN, i, F.array_join(F.slice("lines", i + 1, w), "\n"))))).otherwise(none)
+    singles = lined.withColumn("singles", held(F.transform("lines", lambda x, i: unit(LINE, i, x))))
+    tagged = F.filter("singles", lambda u: F.contains(F.lower(u["line"]), F.lit("spdx-license-identifier:")))
+    parts = F.flatten(F.transform(tagged, lambda u: F.transform(F.split(F.regexp_extract(u["line"], _SPDX, 1), _OPERATORS), lambda x: unit(PART, u["at"], F.concat(F.lit("SPDX-License-Identifier: "), F.regexp_replace(x, _EXCEPTION, ""))))))
+    paragraphs = F.filter(F.transform(F.split("text", _PARAGRAPH), lambda x, i: unit(RUN, i, x)), lambda u: F.contains(u["line"], F.lit("\n")) & may_hold(u["line"]))
+    rests = F.filter(F.array(*(unit(REST, F.lit(k), F.regexp_replace("text", pattern, "")) for k, pattern in enumerate((r"\A[^\n]*\n", r"(?s)\A.*?\n[ \t]*\n")))), lambda u: (u["line"] != F.col("text")) & may_hold(u["line"]))
+    whole = F.array(unit(WHOLE, F.lit(0), F.col("text")))
+    return singles.withColumn("unit", F.explode_outer(F.when(F.col("lines").isNotNull(), F.concat(whole, "singles", parts, run(2), run(3), paragraphs, rests)))).select("doc_id", "row", "unit.kind", "unit.at", "unit.line")
+
+
 def scan(documents: DataFrame, licenses: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 20_000) -> DataFrame:
-    """One row for each document: whole_license (of the entire text), licenses (sorted, of text or lines, comma-joined) and n_lines (lines that match).
+    """One row for each document: whole_license (of the entire text), licenses (sorted, of the text or any unit of it, comma-joined) and n_lines (lines that match by themselves or in part).
 
     The digests are broadcast while there are at most `broadcast_rows` licences (about 100 bytes each); a larger table joins by shuffled digest.
     """
@@ -155,10 +191,12 @@ def scan(documents: DataFrame, licenses: DataFrame | None = None, *, id_col: str
         known = F.broadcast(known)
     may_hold = anchored if size.all_anchored else (lambda text: text.isNotNull())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    # the whole text as unit 0, then the lines that may be a notice; a text that can't hold one has no unit
-    parts = F.when(may_hold(F.col("text")), F.concat(F.array("text"), F.filter(F.split("text", "\n"), may_hold)))
-    units = rows.select("doc_id", "row", F.posexplode_outer(parts).alias("unit", "line"))
-    looked = units.select("doc_id", "row", "unit", _digest(canonical(F.col("line"))).alias("digest")).join(known, "digest", "left").where("unit IS NULL OR unit = 0 OR ids IS NOT NULL")
-    found = looked.groupBy("row", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"), F.max(F.when(F.col("unit") == 0, F.array_join("ids", ","))).alias("whole_license"), F.count_if((F.col("unit") > 0) & F.col("ids").isNotNull()).alias("n_lines"))
+    units = _units(documents.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text")), may_hold)
+    kind = F.col("kind")
+    looked = units.select("doc_id", "row", "kind", "at", _digest(canonical(F.col("line"))).alias("digest")).join(known, "digest", "left").where(kind.isNull() | (kind == WHOLE) | F.col("ids").isNotNull())
+    in_line = kind.isin(LINE, PART) & F.col("ids").isNotNull()
+    of = lambda *kinds: F.flatten(F.collect_list(F.when(kind.isin(*kinds), F.col("ids"))))
+    # what wrapped notices say counts where no licence text is found: such a text may quote one
+    texts, runs = of(WHOLE, REST), of(RUN)
+    found = looked.groupBy("row", "doc_id").agg(F.array_sort(F.array_distinct(F.concat(texts, of(LINE, PART), F.when(F.size(texts) == 0, runs).otherwise(F.array().cast("array<string>"))))).alias("ids"), F.max(F.when(kind == WHOLE, F.array_join("ids", ","))).alias("whole_license"), F.size(F.collect_set(F.when(in_line, F.col("at")))).alias("n_lines"))
     return found.select("doc_id", F.coalesce("whole_license", F.lit("")).alias("whole_license"), F.array_join("ids", ",").alias("licenses"), F.col("n_lines").cast("long").alias("n_lines"))
