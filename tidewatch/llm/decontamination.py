@@ -79,6 +79,10 @@ def _patterns(benchmark: DataFrame, id_col: str, text_col: str, window: int) ->
     return checkpoint(items.mapInArrow(run, _PATTERNS).distinct())
 
 
+#: Into how many tasks the documents of one window are dealt where patterns join by shuffle.
+_PARTS = 8
+
+
 def _signed(line: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(line)).view(np.int64))
 
@@ -133,11 +137,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     sc = documents.sparkSession.sparkContext
     patterns = _patterns(benchmark, item_col, item_text_col, window)
     scanned = checkpoint(id_and_bytes(documents, id_col, text_col).mapInArrow(_scanning(sc.broadcast(_tables(patterns, slots))), _SCANNED))
-    tested = patterns.select("key", "words", "item")
-    if patterns.count() <= broadcast_patterns:
-        tested = F.broadcast(tested)
+    # windows, each once however many items hold it, confirm the stops; items are looked up for each document's distinct windows
+    windows = patterns.select("key", "words").distinct()
     stopped = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    hits = stopped.join(tested, ["key", "words"]).groupBy("row", "start", "length").agg(F.collect_set("item").alias("items"))
+    if patterns.count() <= broadcast_patterns:
+        hits = stopped.join(F.broadcast(windows), ["key", "words"])
+        held = lambda df: df.join(F.broadcast(patterns.select("key", "words", "item")), ["key", "words"])
+    else:
+        # a window that very many documents hold meets them in several tasks
+        parts = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+        dealt = stopped.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(_PARTS)).cast("int"))
+        hits = dealt.join(parts(windows), ["key", "words", "part"])
+        held = lambda df: df.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(_PARTS)).cast("int")).join(parts(patterns.select("key", "words", "item")), ["key", "words", "part"])
+    hits = checkpoint(hits.select("row", "start", "length", "key", "words"))
     # spans in order; a word counts once however many spans hold it
     start = F.struct(F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("covered"))
 
@@ -145,7 +157,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
         end = s["start"] + s["length"]
         return F.struct(F.greatest(acc["reach"], end).alias("reach"), (acc["covered"] + F.greatest(end - F.greatest(s["start"], acc["reach"]), F.lit(0))).alias("covered"))
 
-    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    of_items = held(hits.select("row", "key", "words").distinct()).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans")).join(of_items, "row")
     counted = by_row.select("row", F.aggregate("spans", start, step, lambda acc: acc["covered"]).alias("hit"), "items")
     both = scanned.select("row", "doc_id", "n_words").join(counted, "row", "left")
     n_hit, items = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
