@@ -2,6 +2,7 @@
 
 import json
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -58,3 +59,19 @@ def test_a_tokenizer_of_another_form_goes_to_the_library(tmp_path):
     assert token_files.encodes_by_words(PATH) and not token_files.encodes_by_words(str(tmp_path / "cased.json"))
     coder = token_files.WordCoder(str(tmp_path / "cased.json"))
     assert np.frombuffer(coder.encode([b"Hello WORLD abc"])[0], coder.kind).tolist() == coder.tokenizer.encode("Hello WORLD abc", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", ["one id", "null ids", "both"])
+def test_an_id_on_many_rows_spreads_over_buckets(spark, tmp_path, kind):
+    r = random.Random(3)
+    ids = [{"one id": 7, "null ids": None, "both": r.choice((7, None))}[kind] if k % 3 else k for k in range(600)]
+    docs = spark.createDataFrame([(d, " ".join(r.choice(("stone", "river", "cloud")) for _ in range(r.randint(0, 30)))) for d in ids], "doc_id long, text string").repartition(3)
+    token_files.write(docs, PATH, str(tmp_path / "h"), buckets=8)
+    rows = sorted(token_files.read(spark, str(tmp_path / "h")).collect(), key=lambda x: x.start)
+    assert [x.start for x in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    assert [x.doc_id for x in rows] == sorted((d for d in ids), key=lambda d: (d is not None, d or 0))
+    coder = token_files.WordCoder(PATH)
+    want = sorted((str(x.doc_id), zlib.crc32(np.array([*coder.tokenizer.encode(x.text, add_special_tokens=False).ids, 2], "<u4").tobytes())) for x in docs.collect())
+    assert sorted((str(x.doc_id), x.ids_crc32) for x in rows) == want
+    sizes = [x.n for x in spark.read.parquet(str(tmp_path / "h" / "blocks")).selectExpr("bucket", "size(doc_ids) AS n").groupBy("bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()]
+    assert max(sizes) < 200 and len(sizes) >= 6

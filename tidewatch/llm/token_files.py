@@ -11,7 +11,7 @@ met; a word is encoded by the tokenizers library once. The store has a bound and
 file go to the library as a whole.
 
 Defined cases: a null text counts as empty and has the end id only; a null doc_id sorts first; documents that share a doc_id follow each other in the
-order of their ids; an empty table gives no blocks and no rows; other columns are ignored.
+order of their ids, or of a hash of these and then their ids where they are so many that they get several buckets; an empty table gives no blocks and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,9 +262,39 @@ _PARTS = "bucket int, block int, part int, start long, ids array<int>"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def token_ids(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, bounds: list[int] = (), buckets: int = 1) -> DataFrame:
-    """bucket (by doc_id between the bounds; -1 for a null id), doc_id and the ids as bytes, for each row. Each task adds the counts of its ids, as a row of a bucket below -1."""
-    schema = arrow_schema(_IDS)
+class Places:
+    """Numbers buckets in the order of the file from `cuts`, ids that cut the rows into equal shares, and the share of null ids, which come first.
+
+    An id that is several of the cuts is on so many rows that it gets as many buckets of its own, as null ids do by their share: a hash of the row's token ids picks one.
+    """
+
+    def __init__(self, cuts: list[int], nulls: int = 0) -> None:
+        times = Counter(cuts)
+        self.bounds, self.nulls, self.below, self.own, number = sorted(times), max(1, nulls), [], {}, max(1, nulls)
+        for b in self.bounds:
+            self.below.append(number)
+            number += 1
+            if times[b] > 1:
+                self.own[b] = (number, times[b])
+                number += times[b]
+        self.below.append(number)
+
+    def of(self, doc_id: int | None, ids: bytes) -> int:
+        if doc_id is None:
+            return self._part(ids, self.nulls)
+        if doc_id in self.own:
+            first, parts = self.own[doc_id]
+            return first + self._part(ids, parts)
+        return self.below[bisect_left(self.bounds, doc_id)]
+
+    @staticmethod
+    def _part(ids: bytes, parts: int) -> int:
+        return xxhash.xxh64_intdigest(ids) * parts >> 64 if parts > 1 else 0
+
+
+def token_ids(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, places: Places | None = None, buckets: int = 1) -> DataFrame:
+    """bucket (by `places`), doc_id and the ids as bytes, for each row. Each task adds the counts of its ids, as a row of a bucket below -1."""
+    schema, places = arrow_schema(_IDS), places or Places([])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -275,7 +307,7 @@ def token_ids(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                 part = batch.slice(at, 100)
                 ids = [x + end for x in coder.encode([c.as_py() for c in part.column("text")])]
                 counts += np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=len(counts))
-                in_buckets = [-1 if d is None else bisect_left(bounds, d) for d in part.column("doc_id").to_pylist()]
+                in_buckets = [places.of(d, x) for d, x in zip(part.column("doc_id").to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(in_buckets, pa.int32()), part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
         row = (-2 - TaskContext.get().partitionId() % buckets, None, counts.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
@@ -331,10 +363,11 @@ def write(documents: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc
     """Writes the files of `documents` to the new folder `path`. Only bucket bounds and the counts of the vocabulary's ids come to the driver."""
     spark = documents.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = documents.agg(F.percentile_approx(F.col(id_col), [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    cuts, rows, with_id = documents.agg(F.percentile_approx(F.col(id_col), [k / n for k in range(1, max(2, n))], 100 * n), F.count(F.lit(1)), F.count(F.col(id_col))).first()
+    places = Places((cuts or []) if n > 1 else [], n * (rows - with_id) // max(1, rows))
     coder = WordCoder.of(tokenizer)
     kind, n_ids = coder.kind.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
-    ids = token_ids(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, bounds=sorted(set(cuts or [])), buckets=n)
+    ids = token_ids(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, places=places, buckets=n)
     ordered = checkpoint(ids.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids"))
     counts = np.zeros(n_ids, np.int64)
     for r in ordered.where("bucket < -1").mapInArrow(_counted(), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
