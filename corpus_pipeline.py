@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import byte_bpe, decontamination, near_copies, quality_classifier, secrets, simhash
-from tidewatch.llm.common import checkpoint, table, without
+from tidewatch.llm.common import table, without
 from tidewatch.llm.token_files import new_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,7 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: first the smallest doc_id of each SimHash component, then, of what stays, the smallest of each class of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
-    first = checkpoint(simhash.deduplicate(docs).select(*COLUMNS))
+    path = new_folder(spark, "near-dedup")
+    simhash.deduplicate(docs).select(*COLUMNS).write.parquet(path)
+    first = spark.read.schema(docs.select(*COLUMNS).schema).parquet(path)
     again = near_copies.classes(first).where("doc_id <> component_id").select("doc_id").distinct()
     return without(first, again).select(*COLUMNS)
 
