@@ -40,17 +40,18 @@ def test_heads_match_a_plain_booster(spark):
     r_ = np.where(np.isnan(a), 1.5, a) + 0.5 * r.normal(size=n)
     rows = [(k, "train" if k < 1000 else "test", float(a[k]), float(b[k]), float(noise[k]), float(r_[k]), float(b[k] + 0.3 * noise[k])) for k in range(n)]
     df = spark.createDataFrame(rows, "id long, role string, a double, b double, noise double, r double, q double")
-    heads = {"from_a": F.col("r") > 0.3, "from_b": F.col("q") > 0, "never": F.col("r") > 1e9, "half_known": F.when(F.col("id") % 2 == 0, F.col("q") > 0)}
-    sets = {"a": ["a", "a_missing"], "noise": ["noise"], "all": ["a", "a_missing", "b", "noise"]}
-    scored = M.boosted_heads(df, ["id"], heads, sets, trees=15)
+    heads = {"from_a": F.col("r") > 0.3, "never": F.col("r") > 1e9, "half_known": F.when(F.col("id") % 2 == 0, F.col("q") > 0)}
+    sets = {"a": ["a", "a_missing"], "all": ["a", "a_missing", "b", "noise"]}
+    scored = M.boosted_heads(df, ["id"], heads, sets, trees=6)
     report = {(x.feature_set, x.head): x for x in M.head_report(scored).collect()}
-    assert len(report) == 12 and report["a", "never"].auc is None and report["a", "half_known"].n == 250 and report["a", "never"].mean_p == 0
+    assert len(report) == 6 and report["a", "never"].auc is None and report["a", "half_known"].n == 250 and report["a", "never"].mean_p == 0
     filled = np.where(np.isnan(a), np.nanmedian(a[:1000]), a)
     whole = np.stack([filled, np.isnan(a).astype(float), b, noise], axis=1)
-    for head, y in (("from_a", r_ > 0.3), ("from_b", b + 0.3 * noise > 0)):
-        plain = _auc(_plain_boost(whole[:1000], y[:1000].astype(float), whole[1000:]), y[1000:].astype(int))
+    for head, y, known in (("from_a", r_ > 0.3, np.ones(n, bool)), ("half_known", b + 0.3 * noise > 0, np.arange(n) % 2 == 0)):
+        learn, held = known & (np.arange(n) < 1000), known & (np.arange(n) >= 1000)
+        plain = _auc(_plain_boost(whole[learn], y[learn].astype(float), whole[held]), y[held].astype(int))
         assert report["all", head].auc == pytest.approx(plain, abs=0.03) and report["all", head].auc > 0.85
-    assert abs(report["noise", "from_a"].auc - 0.5) < 0.1 and report["a", "from_a"].auc > 0.85
+    assert abs(report["a", "half_known"].auc - 0.5) < 0.15 and report["a", "from_a"].auc > 0.85
     missing = scored.where("feature_set = 'a' AND head = 'from_a'").join(df.where("isnan(a)").select("id"), "id").agg(F.avg("p")).first()[0]
     assert missing > 0.6  # the flag tells what the median hides
 
