@@ -69,3 +69,11 @@ def test_a_document_goes_by_what_its_lines_lose(spark):
     assert len(got) == len(rows) and by_id[1].kept and by_id[2].kept and not by_id[3].kept and by_id[4].base_failed and by_id[6].base_failed and by_id[None].n_words == 0
     assert by_id[2].lines_removed == 2 and by_id[2].n_dup_lines == 1 and by_id[2].text.strip() == distinct.strip()
     assert quality_rules.clean(docs.where("false")).count() == 0
+
+
+def test_losing_just_as_much_as_allowed_is_kept():
+    good = " ".join(chr(97 + k) * 10 for k in range(7))  # 70 characters in words
+    loud = "ABCD EFGH IJKL MNOP QRST UVWX YZAB CD"  # 30 more, in a line of capitals
+    judged = lambda text: quality_rules.judge(text.encode(), min_words=1, max_repeat=100, max_lost=0.3, with_text=False)
+    assert judged(f"{good}\n{loud}")[1] == 100 and judged(f"{good}\n{loud}")[6] is True
+    assert judged(f"{good}\n{loud}E")[6] is False

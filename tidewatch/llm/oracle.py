@@ -67,7 +67,7 @@ h AS (SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '##
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(head) + length({_ESCAPED.format("text")}) + 8) AS BIGINT) AS formatted_chars,
-  bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(before = 'user', FALSE) ELSE FALSE END AND (NOT last OR role = 'assistant')) AS legal
+  bool_and(CASE role WHEN 'system' THEN before IS NULL OR before NOT IN ('system', 'user', 'assistant') WHEN 'user' THEN before IS NULL OR before <> 'user' WHEN 'assistant' THEN coalesce(before = 'user', FALSE) ELSE FALSE END AND (NOT last OR role = 'assistant')) AS legal
 FROM h GROUP BY conv_id
 """
 
