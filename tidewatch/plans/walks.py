@@ -108,5 +108,5 @@ def m2_six_heads_three_sets(spark, d):
     rows = trades(spark, d).withColumns({"score": F.when(c("id") % 17 != 0, c("score")), "hour": c("t") % 86_400 / 3600} | M.flags("engine", ["E0", "E1", "E2"]))
     heads = {"win": c("r") > 0, "big": c("r") > 1.5, "loss": c("r") < -1, "flat": F.abs("r") < 0.5, "long_hold": c("t_exit") - c("t") > 14_400, "late": c("t") % 86_400 >= 43_200}
     folds = M.rank_folds(rows, "t", 1, first=0.7, embargo=20)
-    scored = M.boosted_heads(folds, ["id"], heads, _SETS, trees=5)
+    scored = M.boosted_heads(folds, ["id"], heads, _SETS, trees=3)
     return M.head_report(scored)
