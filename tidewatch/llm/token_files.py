@@ -368,7 +368,8 @@ def write(documents: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc
     coder = WordCoder.of(tokenizer)
     kind, n_ids = coder.kind.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
     ids = token_ids(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, places=places, buckets=n)
-    ordered = checkpoint(ids.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids"))
+    # by number and not by hash, so that no task gets several buckets while another has none
+    ordered = checkpoint(ids.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids"))
     counts = np.zeros(n_ids, np.int64)
     for r in ordered.where("bucket < -1").mapInArrow(_counted(), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
