@@ -17,6 +17,16 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles divide: by zero an infinity, or NaN for 0 / 0, where ANSI mode would stop the job."""
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm of doubles: minus infinity for 0 and NaN below, where Spark's own has null."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.log(x))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import quotient
 from tidewatch.operators.scans import SPAN, carried, running, with_history, with_position
 
 
@@ -21,8 +22,8 @@ def rows(lo: int, hi: int) -> WindowSpec:
 
 
 def returns(n: int, price: str = "close") -> Column:
-    """Percent change over n bars; null while history is short."""
-    return (F.col(price) / F.lag(price, n).over(by_symbol()) - 1) * 100
+    """Percent change over n bars; null while history is short, infinite from a price of 0."""
+    return (quotient(F.col(price), F.lag(price, n).over(by_symbol())) - 1) * 100
 
 
 def true_range() -> Column:
@@ -113,7 +114,7 @@ def with_structure(bars: DataFrame, spans: tuple[int, ...] = (20, 50, 100)) -> D
     falls = lambda k: F.coalesce(F.try_element_at(f"last_{k}", F.lit(-1)) < F.try_element_at(f"last_{k}", F.lit(-2)), F.lit(False))
     close = F.col("close")
     named = {
-        "atr_pct": F.col("atr") / F.greatest(close, F.lit(1e-12)) * 100, "last_high": F.try_element_at("last_highs", F.lit(-1)), "last_low": F.try_element_at("last_lows", F.lit(-1)),
+        "atr_pct": quotient(F.col("atr"), close) * 100, "last_high": F.try_element_at("last_highs", F.lit(-1)), "last_low": F.try_element_at("last_lows", F.lit(-1)),
         "ema_bear": (close < F.col(fast)) & (F.col(fast) < F.col(middle)), "macro_bear": (F.col(middle) <= F.col(slow)) | (close < F.col(slow)), "lower_high": falls("highs"), "lower_low": falls("lows"),
     }
     return out.withColumns(named).drop("position", "last_highs", "last_lows")

@@ -11,7 +11,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import clamp
+from tidewatch.functions.columns import clamp, quotient
 
 MIN_ATR_PCT, MAX_ATR_PCT, MAX_STOP_PCT, MIN_STOP_ATR, MAX_ENTRY_ATR = 0.25, 12.0, 8.0, 0.8, 0.65
 READY, DEVELOPING, WATCH = 80.0, 70.0, 60.0
@@ -98,7 +98,7 @@ def plan(stop_anchor: Column, buffer: float, least_risk: float, *, atr: Column |
     entry = c("close") if entry is None else entry
     a = c("atr") if atr is None else atr
     risk = F.greatest(stop_anchor + buffer * a - entry, least_risk * a)
-    return {"risk": risk, "stop": entry + risk, "stop_pct": risk / F.greatest(entry, F.lit(1e-12)) * 100}
+    return {"risk": risk, "stop": entry + risk, "stop_pct": quotient(risk, entry) * 100}
 
 
 def room(entry: Column, risk: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import quotient
 from tidewatch.operators.features import by_symbol, rows
 from tidewatch.operators.matching import forward_bars
 
@@ -29,7 +30,7 @@ def with_supply_zone(bars: DataFrame, ahead: int = 4, lookback: int = 75, drop:
     """The nearest supply zone: a base-like candle whose next `ahead` bars fell by `drop` of its ATR, known only once these are closed. Zones not below the price go first; ties to the older."""
     span = F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
     base = (F.col("close") >= F.col("open")) | (F.abs(F.col("close") - F.col("open")) / span <= body)
-    fell = (F.count("low").over(rows(1, ahead)) == ahead) & ((F.col("low") - F.min("low").over(rows(1, ahead))) / F.col("atr") >= drop)
+    fell = (F.count("low").over(rows(1, ahead)) == ahead) & (quotient(F.col("low") - F.min("low").over(rows(1, ahead)), F.col("atr")) >= drop)
     zone = F.when(base & fell & (F.col("atr") > 0), F.struct(F.unix_seconds("ts").alias("t"), F.least("open", "close").alias("lower"), F.col("high").alias("upper")))
     known = bars.withColumn("_zone", zone).withColumn("_zones", F.collect_list("_zone").over(rows(1 - lookback, -ahead)))
     price = F.col("close")
@@ -49,8 +50,8 @@ def pressure(level: Column, atr: Column, relative: Column, *, high_buffer: float
     ready = F.count("close").over(rows(1 - lookback, 0)) == lookback
     mean8, mean20 = F.avg("close").over(recent), F.avg("close").over(rows(-19, 0))
     lower = F.max("high").over(recent) <= F.max("high").over(prior) - high_buffer * atr
-    tighter = (mean8 - level) / atr <= (F.avg("close").over(prior) - level) / atr - compression
-    close_by = ((F.col("close") - level) / atr).between(-0.2, near)
+    tighter = quotient(mean8 - level, atr) <= quotient(F.avg("close").over(prior) - level, atr) - compression
+    close_by = quotient(F.col("close") - level, atr).between(-0.2, near)
     bearish = (F.col("close") <= mean8) & (mean8 <= mean20 + 0.05 * atr) & (F.sum((F.col("close") < F.col("open")).cast("int")).over(recent) >= 3)
     votes = {"lower_highs": lower, "close_compression": tighter, "near_support": close_by, "bearish_alignment": bearish, "relative_weakness": F.coalesce(relative, F.lit(0.0)) < 0}
     cast = {k: F.when(ready, F.coalesce(v, F.lit(False)).cast("long")) for k, v in votes.items()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import quotient
 from tidewatch.operators import features as W
 from tidewatch.operators import setups as P
 from tidewatch.operators.matching import as_of
@@ -53,7 +54,7 @@ def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int,
     both = as_of(own, coarse, ["symbol"], "known_at", "closed_at", [f"s4_{c}" for c in coarse_columns])
     below = F.filter(F.concat("swing_lows", F.coalesce("s4_swing_lows", F.array().cast("array<double>"))), lambda x: x < F.col("close"))
     distances = F.least(*(F.col(c) for c in ("zone_distance_atr", "s4_zone_distance_here")))
-    here = lambda lo, hi: F.when((F.col("close") >= F.col(lo)) & (F.col("close") <= F.col(hi)), 0.0).otherwise(F.least(F.abs(F.col("close") - F.col(lo)), F.abs(F.col("close") - F.col(hi)))) / F.col("atr")
+    here = lambda lo, hi: quotient(F.when((F.col("close") >= F.col(lo)) & (F.col("close") <= F.col(hi)), 0.0).otherwise(F.least(F.abs(F.col("close") - F.col(lo)), F.abs(F.col("close") - F.col(hi)))), F.col("atr"))
     return both.withColumn("s4_zone_distance_here", F.when(F.col("s4_zone_lower").isNotNull(), here("s4_zone_lower", "s4_zone_upper"))).withColumns({"nearest_support": F.array_max(below), "supply_distance": distances})
 
 

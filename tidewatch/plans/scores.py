@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import quotient
 from tidewatch.operators import bars as B
 from tidewatch.operators import features as W
 from tidewatch.operators import scores as E
@@ -95,7 +96,7 @@ def frames(spark, d, *steps):
 def signal(spark, d, before=lambda rows: rows, bars=None, pivots=None):
     one, four = bars or frames(spark, d, STEP, DAY)
     rows = before(G.signal_rows(one, four, DAY, STEP, pivots=pivots)).where("atr > 0")
-    marked = rows.withColumns({"spread_bps": c("volume") * 4, "funding_rate": (c("close") - c("open")) / c("close") / 20, "change24": c("ret24") * 1.5})
+    marked = rows.withColumns({"spread_bps": c("volume") * 4, "funding_rate": quotient(c("close") - c("open"), c("close")) / 20, "change24": c("ret24") * 1.5})
     return G.with_market(marked, MARKET)
 
 
