@@ -45,3 +45,19 @@ def test_signal_rows_of_a_price_of_zero(fallen):
 
     rows = signals.signal_rows(fallen, resample(fallen, DAY), DAY, 14_400)
     assert rows.agg(F.max("ret4"), F.max("supply_distance")).first() is not None and rows.count() == 280
+
+
+def test_prefilter_ages_count_bars_that_were_left_out(spark):
+    from tidewatch.operators.scores import with_prefilter
+
+    # 40 bars, a break, then 14 bars without range, which have no row, and a last bar
+    closes = {n: 100.0 for n in range(1, 41)} | {41: 90.0, 57: 90.0}
+    zero = ("ema20", "ret4", "ret12", "ret24", "turnover", "volume_ratio", "low_spread12")
+    flags = ("macro_bear", "ema_bear", "lower_high", "lower_low")
+    rows = spark.createDataFrame([("a", n, p) for n, p in closes.items()], "symbol string, bar_no int, close double").withColumns(
+        {"ts": F.timestamp_seconds(F.col("bar_no") * 14_400), "high": F.col("close") + 1, "low": F.col("close") - 1, "atr": F.lit(1.0), "market_state": F.lit("NEUTRAL")} | {k: F.lit(0.0) for k in zero} | {k: F.lit(False) for k in flags}
+    )
+    last = {x.bar_no: (x.proxy_broken, x.proxy_bars_ago) for x in with_prefilter(rows).collect()}
+    assert last[41] == (True, 0) and last[57] == (False, None)
+    near = rows.withColumn("bar_no", F.when(F.col("bar_no") == 57, 56).otherwise(F.col("bar_no")))
+    assert {x.bar_no: x.proxy_bars_ago for x in with_prefilter(near).collect()}[56] == 15

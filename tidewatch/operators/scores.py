@@ -142,16 +142,17 @@ def with_deep_score(rows: DataFrame) -> DataFrame:
 
 
 def with_prefilter(rows: DataFrame, look: int = 16, support: int = 24) -> DataFrame:
-    """The prefilter score: structure, a support broken in the last `look` bars or close by, persistence of closes below it, compression, momentum, participation and guards. Needs market_state.
+    """The prefilter score: structure, a support broken in the last `look` bars or close by, persistence of closes below it, compression, momentum, participation and guards. Needs market_state. Ages count bars by bar_no if it is given, so that bars left out (without range) count too.
 
     Which bar broke depends on the current ATR, so the last `look` bars travel as an array of bounded length.
     """
     from tidewatch.operators.features import by_symbol, rows as frame
 
     prior = F.when(F.count("low").over(frame(-support, -1)) >= 12, F.min("low").over(frame(-support, -1)))
-    packed = rows.withColumn("_bar", F.struct(F.row_number().over(by_symbol()).alias("rn"), prior.alias("level"), "close"))
+    number = c("bar_no") if "bar_no" in rows.columns else F.row_number().over(by_symbol())
+    packed = rows.withColumn("_bar", F.struct(number.alias("rn"), prior.alias("level"), "close"))
     recent = packed.withColumns({"_recent": F.collect_list("_bar").over(frame(1 - look, 0)), "_n": F.count("close").over(frame(-35, 0)), "_low24": F.min("low").over(frame(-24, -1)), "_last8": F.collect_list("close").over(frame(-7, 0)), "_span12": F.max("high").over(frame(-11, 0)) - F.min("low").over(frame(-11, 0))})
-    broken = F.try_element_at(F.filter("_recent", lambda b: b["close"] < b["level"] - 0.05 * _atr()), F.lit(-1))
+    broken = F.try_element_at(F.filter("_recent", lambda b: (b["rn"] > c("_bar.rn") - look) & (b["close"] < b["level"] - 0.05 * _atr())), F.lit(-1))
     found = recent.withColumn("_broke", F.when(c("_n") >= 36, broken))
     whole = c("_n") >= 36
     level = F.when(c("_broke").isNotNull(), c("_broke.level")).when(whole, c("_low24"))

@@ -47,7 +47,7 @@ def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int,
         "rejection": rejection(), "sweep": F.col("sweep_bars_ago").isNotNull(), "close_before": F.lag("close").over(w), "high_before": F.lag("high").over(w), "low_before": F.lag("low").over(w), "close_3_ago": F.coalesce(F.lag("close", 3).over(w), F.col("close")),
         "prior_high20": F.coalesce(F.max("high").over(W.rows(-20, -1)), F.col("high")), "high12": F.max("high").over(W.rows(-11, 0)), "low12": F.min("low").over(W.rows(-11, 0)), "low24": F.min("low").over(W.rows(-23, 0)),
         "position24": F.when(full(10), F.least(F.greatest(F.coalesce(W.range_position(24), F.lit(0.5)), zero), F.lit(1.0))), "position48": F.when(full(10), F.coalesce(W.range_position(48), F.lit(0.5))), "turnover": F.sum("amount").over(W.rows(-23, 0)), "low_spread12": F.max("low").over(W.rows(-11, 0)) - F.min("low").over(W.rows(-11, 0)),
-        "bars_so_far": F.count("close").over(W.rows(-99, 0)),
+        "bars_so_far": F.count("close").over(W.rows(-99, 0)), "bar_no": F.row_number().over(w),
     })
     own = own.withColumn("known_at", F.timestamp_seconds(F.unix_seconds("ts") + one_step))
     coarse = with_frame(four).select("symbol", F.timestamp_seconds(F.unix_seconds("ts") + four_step).alias("closed_at"), *(F.col(c).alias(f"s4_{c}") for c in coarse_columns))
