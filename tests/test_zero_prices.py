@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import ln, quotient
+from tidewatch.functions.columns import ln, quotient, rounded
 from tidewatch.operators import events, features, setups, signals
 
 DAY = 86_400
@@ -61,3 +61,11 @@ def test_prefilter_ages_count_bars_that_were_left_out(spark):
     assert last[41] == (True, 0) and last[57] == (False, None)
     near = rows.withColumn("bar_no", F.when(F.col("bar_no") == 57, 56).otherwise(F.col("bar_no")))
     assert {x.bar_no: x.proxy_bars_ago for x in with_prefilter(near).collect()}[56] == 15
+
+
+def test_rounding_of_halves_as_sql_over_doubles(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [42.25 / 5 * 1.00001, -42.25 / 5 * 1.00001, 0.5e-6, 1.0000005, 2.5, 1e305, math.inf, -math.inf, 123456789012.12346]
+    got = [x.v for x in spark.createDataFrame([(v, k) for k, v in enumerate(values)], "x double, k int").select(rounded(F.col("x")).alias("v"), "k").orderBy("k").collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchall()[0][0] for v in values]
+    assert got[0] == 8.450085

@@ -27,6 +27,12 @@ def ln(x: Column) -> Column:
     return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.log(x))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Doubles to some digits, halves away from 0 after scaling, as SQL engines over doubles do; Spark's own rounds the decimal text."""
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import brier, interval_bin
+from tidewatch.functions.columns import brier, interval_bin, rounded
 from tidewatch.operators import bars as B
 from tidewatch.operators import events as E
 from tidewatch.operators import features as W
@@ -50,7 +50,7 @@ def query(sql: str | None = None):
 def _out(df: DataFrame, *columns: str) -> DataFrame:
     """Times as seconds and doubles rounded, so that sums of any order compare equal."""
     kinds = dict(df.dtypes)
-    return df.select(*(F.unix_seconds("ts").alias("t") if c == "ts" else F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in columns))
+    return df.select(*(F.unix_seconds("ts").alias("t") if c == "ts" else rounded(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in columns))
 
 
 @query(BARS + " SELECT symbol, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, round(amount, 6) AS amount FROM bars")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.columns import clamp, finite, ratio
+from tidewatch.functions.columns import clamp, finite, ln, ratio
 from tidewatch.operators import bars as B
 from tidewatch.operators import events as E
 from tidewatch.operators import features as W
@@ -595,7 +595,7 @@ def scalar_functions(spark, d):
     value = F.when(c("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(c("value"))
     iso_year = F.year(F.date_add(F.to_date("ts"), 4 - F.weekday(F.to_date("ts")) - 1))
     out = e.select(
-        "event_id", (ratio(finite(value), c("user_id").cast("double")) * 1.00001).alias("share"), clamp(c("value"), 10, 100).alias("clamped"), F.log("value").alias("log_value"), F.floor(c("value") / 0.05).cast("double").alias("steps"), finite(value).alias("finite_value"),
+        "event_id", (ratio(finite(value), c("user_id").cast("double")) * 1.00001).alias("share"), clamp(c("value"), 10, 100).alias("clamped"), ln(c("value")).alias("log_value"), F.floor(c("value") / 0.05).cast("double").alias("steps"), finite(value).alias("finite_value"),
         F.concat(F.date_format("ts", "yyyy"), F.lit("-Q"), F.quarter("ts").cast("string")).alias("quarter"), (iso_year * 100 + F.weekofyear("ts")).cast("long").alias("iso_week"), F.conv(F.substring(F.sha2(c("event_id").cast("string"), 256), 1, 8), 16, 10).cast("long").alias("prefix"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
     return _metrics(out)
