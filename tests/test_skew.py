@@ -134,3 +134,12 @@ def test_folds_by_rank(spark):
     assert M.rank_folds(df.where("false"), "t", 3).count() == 0
     w = Window.orderBy("t")
     assert df.where("t IS NOT NULL").select((F.dense_rank().over(w) - 1).alias("k")).distinct().count() == len(ranks)
+
+
+def test_dense_rank_broadcasts_no_rows(spark):
+    from tidewatch.operators.scans import with_dense_rank
+
+    # a range knows its size, so that a plain join would send it through the driver
+    ranked = with_dense_rank(spark.range(50_000).selectExpr("id AS t"), "t")
+    assert ranked.where("rank = t AND rank_of = 50000").count() == 50_000
+    assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()

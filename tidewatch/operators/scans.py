@@ -119,15 +119,15 @@ def c_(name: str) -> Column:
 def with_dense_rank(rows: DataFrame, t: str, *, span: int = 86_400, name: str = "rank") -> DataFrame:
     """The number of distinct values of t (whole seconds) below each row's own, over the whole table, as dense ranks from 0 on, with their count as <name>_of.
 
-    Distinct values are numbered within spans, and one row for each span is put in order: a row a day by default, whatever the table's size.
+    Distinct values are numbered within spans, and one row for each span is put in order: a row a day by default, whatever the table's size. Both joins merge: distinct times or rows that look small by their file are never broadcast through the driver.
     """
     values = rows.where(F.col(t).isNotNull()).select(F.col(t).alias("_v"), F.floor(F.col(t) / span).alias("_span")).distinct()
     own = F.row_number().over(Window.partitionBy("_span").orderBy("_v")) - 1
     counts = values.groupBy("_span").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(F.lit(0))
     before = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), f"{name}_of": F.sum("_n").over(whole)}).drop("_n")
-    ranked = values.withColumn("_own", own).join(before, "_span").select("_v", (F.col("_before") + F.col("_own")).cast("long").alias(name), F.col(f"{name}_of").cast("long").alias(f"{name}_of"))
-    return rows.join(ranked, rows[t] == F.col("_v"), "left").drop("_v")
+    ranked = values.withColumn("_own", own).join(before.hint("merge"), "_span").select("_v", (F.col("_before") + F.col("_own")).cast("long").alias(name), F.col(f"{name}_of").cast("long").alias(f"{name}_of"))
+    return rows.join(ranked.hint("merge"), rows[t] == F.col("_v"), "left").drop("_v")
 
 
 def ranged(values: DataFrame, keys: list[str], x: str, cuts: int = 64) -> DataFrame:
