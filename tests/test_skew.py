@@ -143,3 +143,20 @@ def test_dense_rank_broadcasts_no_rows(spark):
     ranked = with_dense_rank(spark.range(50_000).selectExpr("id AS t"), "t")
     assert ranked.where("rank = t AND rank_of = 50000").count() == 50_000
     assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_rows_are_read_once_for_all_fits_of_a_fold(spark):
+    from pyspark.sql import functions as F
+    from tidewatch.operators.models import walk_forward_scores
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    feature = F.udf(counted, "double").asNondeterministic()
+    rows = spark.range(0, 400, 1, 4).selectExpr("id", "0 AS fold", "if(id < 300, 'train', 'test') AS role", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 7 > 3 AS INT) AS y", "CAST(id % 5 = 0 AS INT) AS z")
+    scored, _ = walk_forward_scores(rows.withColumn("x", feature("x")), 1, ["x"], ["y", "z"])
+    assert read.value <= 2 * 400
+    assert scored.select("p_y", "p_z").count() == 100 and not spark.sparkContext._jsc.getPersistentRDDs()

@@ -67,7 +67,9 @@ def walk_forward_scores(folds: DataFrame, n_folds: int, features: list[str], lab
     """Test rows with p_<label> for each label, and (fold, label, feature, weight) of the logistic models."""
     scored, weights = [], []
     for k in range(n_folds):
-        train, out = folds.where((F.col("fold") == k) & (F.col("role") == "train")), folds.where((F.col("fold") == k) & (F.col("role") == "test"))
+        # all fits of a fold read its training rows many times
+        train = folds.where((F.col("fold") == k) & (F.col("role") == "train")).select(*features, *labels).persist(StorageLevel.MEMORY_AND_DISK)
+        out = folds.where((F.col("fold") == k) & (F.col("role") == "test"))
         for label in labels:
             fitted, share = _fit(train, features, label, kind, balanced, least)
             if fitted is None:
@@ -79,6 +81,7 @@ def walk_forward_scores(folds: DataFrame, n_folds: int, features: list[str], lab
             out = applied.select(*kept, vector_to_array("probability")[1].alias(f"p_{label}"))
             if kind == "logistic":
                 weights += [(k, label, c, float(x)) for c, x in zip(used, model.stages[-1].coefficients)]
+        train.unpersist()
         scored.append(out)
     return reduce(DataFrame.unionByName, scored), weights
 
