@@ -109,3 +109,12 @@ def test_intervals_and_streaks(spark):
     assert low < mean < high and high - low < 1
     assert stats.cluster_bootstrap(rows.where("day < 3"), "day", "r").first() == (None, None)
     assert stats.loss_streaks(rows, ["s"], ["id"], "r", F.floor(F.col("id") / 3)).first().longest_loss_streak == 2
+
+
+def test_the_mean_of_a_first_bar_is_its_price_to_the_last_bit(spark):
+    closes = [round(3 + 1.37 * k, 2) for k in range(60)]
+    df = spark.createDataFrame([(f"s{k}", d * 86_400, x + d) for k, x in enumerate(closes) for d in (40, 41, 75)], "symbol string, t long, close double").withColumn("ts", F.timestamp_seconds("t"))
+    got = scans.with_history(df, (20, 50, 100), {}).collect()
+    first = [g for g in got if g.position == 0]
+    assert len(first) == 60 and all(g.close == g.ema20 == g.ema50 == g.ema100 for g in first)
+    assert all(g.ema20 < g.close for g in got if g.position > 0)

@@ -97,7 +97,9 @@ def with_history(bars: DataFrame, spans: tuple[int, ...], lasts: dict[str, str],
         handed[f"_b_{n}"] = F.last(F.when(c_(f"l_{n}").isNotNull(), F.struct(F.coalesce(c_(f"l_{n}.older"), c_(f"_o_{n}")).alias("older"), c_(f"l_{n}.newer").alias("newer"))), ignorenulls=True).over(before)
     carries = counted.withColumns(handed).select("symbol", "_span", "_before", *handed)
     out = within.join(carries, ["symbol", "_span"])
-    named = {"position": (c_("_before") + c_("_k")).cast("long")} | {f"ema{s}": F.pow(F.lit(q), c_("_k") + 1) * c_(f"_c{s}") + c_(f"_e{s}") for s, q in keep.items()}
+    # the first bar's mean is its price to the last bit, so that neither lies below the other
+    position = c_("_before") + c_("_k")
+    named = {"position": position.cast("long")} | {f"ema{s}": F.when(position == 0, c_(price)).otherwise(F.pow(F.lit(q), c_("_k") + 1) * c_(f"_c{s}") + c_(f"_e{s}")) for s, q in keep.items()}
     for n in lasts.values():
         own, old = F.col(f"_l_{n}"), F.col(f"_b_{n}")
         named[f"last_{n}"] = F.array_compact(F.when(own.isNull(), F.array(old["older"], old["newer"])).otherwise(F.array(F.coalesce(own["older"], old["newer"]), own["newer"])))
