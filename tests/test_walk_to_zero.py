@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ("e1_fast_score", "e6_quality_families_on_walk", "p10_filter_actions", "p17_market_regime", "p21_preferred_zone", "p6_model_gate", "p9_setup_router", "w14_supply_zone_on_walk", "w15_support_room_two_frames", "w27_published_pressure", "w29_bottom_risk", "w30_bias_location_trigger", "p11_scanner_status", "p16_tiers", "p7_hard_gate", "w31_zone_confirmation", "e14_rule_quality", "e5_engine_candidates")
+NAMES = ("e1_fast_score", "e6_quality_families_on_walk", "p10_filter_actions", "p17_market_regime", "p21_preferred_zone", "p6_model_gate", "p9_setup_router", "w14_supply_zone_on_walk", "w15_support_room_two_frames", "w27_published_pressure", "w29_bottom_risk", "w30_bias_location_trigger", "p11_scanner_status", "p16_tiers", "p7_hard_gate", "w31_zone_confirmation", "e14_rule_quality", "e5_engine_candidates", "t6_settled_by_timers")
 
 
 @pytest.fixture(scope="module")
