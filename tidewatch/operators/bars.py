@@ -24,10 +24,11 @@ def ticks(events: DataFrame, groups: int | None = None) -> DataFrame:
     return with_utc(events).where("ts IS NOT NULL AND value IS NOT NULL").select(symbol.alias("symbol"), "ts", F.col("value").alias("price"))
 
 
-def from_ticks(rows: DataFrame, step: int) -> DataFrame:
-    """Tumbling bars; the aggregation combines on the map side, so only one row for each bar and task is shuffled."""
+def from_ticks(rows: DataFrame, step: int, *ties: str) -> DataFrame:
+    """Tumbling bars; the aggregation combines on the map side, so only one row for each bar and task is shuffled. Of ticks of one time, the first by the columns `ties` opens and closes a bar, as arg_min and arg_max over ordered ticks have it; without `ties`, any of them."""
+    opens, closes = F.struct("ts", *ties), F.struct(-F.unix_micros("ts"), *ties)
     return rows.groupBy("symbol", floor_ts(F.col("ts"), step).alias("bar")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"),
+        F.min_by("price", opens if ties else "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), (F.min_by("price", closes) if ties else F.max_by("price", "ts")).alias("close"),
         F.count("*").cast("double").alias("volume"), F.sum("price").alias("amount"),
     ).withColumnRenamed("bar", "ts")
 

@@ -83,8 +83,8 @@ def walk(spark, d, step, scale=4000):
     """Bars of a price walk: the running sum of the events' values; a larger scale is quieter."""
     e = B.with_utc(spark.read.parquet(f"{d}/events.parquet")).where("ts IS NOT NULL AND value IS NOT NULL").select(c("event_type").alias("symbol"), "ts", "event_id", (c("value") - 50).alias("move"))
     summed = running(e, ["symbol"], ["ts", "event_id"], "move", span_of=F.floor(F.unix_seconds("ts") / DAY))
-    ticks = summed.select("symbol", "ts", rounded(100 * F.exp(c("equity") / scale), 4).alias("price"))
-    return B.from_ticks(ticks, step).withColumn("amount", c("amount") * 1000)
+    ticks = summed.select("symbol", "ts", "event_id", rounded(100 * F.exp(c("equity") / scale), 4).alias("price"))
+    return B.from_ticks(ticks, step, "event_id").withColumn("amount", c("amount") * 1000)
 
 
 def frames(spark, d, *steps):
