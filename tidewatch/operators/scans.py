@@ -66,12 +66,13 @@ def with_history(bars: DataFrame, spans: tuple[int, ...], lasts: dict[str, str],
     """What a bar owes to its symbol's whole history, in one pass: `position` from 0 on, exponential means ema<span>, and for each column of `lasts` its last two values that aren't null, as arrays last_<name>, the newest last.
 
     Spans of time are folded on their own, in runs short enough for their weights to be doubles however many bars a span holds, and hand their ends on; only one row
-    for each span is ordered by symbol, and a span takes on just those before it whose weight reaches 1e-18, which no double can hold. Work is linear in the bars.
+    for each span is ordered by symbol, and a span takes on just those before it whose weight reaches 1e-650: below it not even the greatest double counts beside the least. Work is linear in the bars.
+    Very high prices are scaled by a power of two within a run, so that no weight takes them to infinity; a mean that was infinite stays so.
     """
     if min(spans, default=2) < 2:
         raise ValueError("an exponential mean needs a span of at least 2")
     keep = {s: 1 - 2 / (s + 1) for s in spans}
-    run = min((int(600 / -math.log(q)) for q in keep.values()), default=1)
+    run = min((int(345 / -math.log(q)) for q in keep.values()), default=1)
     placed = bars.withColumn("_span", F.floor(F.unix_seconds("ts") / span))
     w = Window.partitionBy("symbol", "_span").orderBy("ts")
     upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -79,7 +80,9 @@ def with_history(bars: DataFrame, spans: tuple[int, ...], lasts: dict[str, str],
     # the last two values so far: each value that isn't null knows the one before it
     paired = numbered.withColumns({f"_p_{n}": F.when(c_(col).isNotNull(), F.struct(F.last(col, ignorenulls=True).over(earlier).alias("older"), c_(col).alias("newer"))) for col, n in lasts.items()}) if lasts else numbered
     in_run = Window.partitionBy("symbol", "_span", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    summed = paired.withColumns({f"_r{s}": F.pow(F.lit(q), c_("_step")) * F.sum((1 - q) * c_(price) * F.pow(F.lit(q), -c_("_step"))).over(in_run) for s, q in keep.items()} | {f"_l_{n}": F.last(f"_p_{n}", ignorenulls=True).over(upto) for n in lasts.values()})
+    # weights reach 1e150 in a run; prices stay below 1e100, or below 1e154 where they are scaled
+    scaled = paired.withColumn("_scale", F.when(F.max(F.abs(price)).over(Window.partitionBy("symbol", "_span", "_run")) > 1e100, 2.0**-512).otherwise(1.0))
+    summed = scaled.withColumns({f"_r{s}": F.pow(F.lit(q), c_("_step")) * F.sum((1 - q) * (c_(price) * c_("_scale")) * F.pow(F.lit(q), -c_("_step"))).over(in_run) / c_("_scale") for s, q in keep.items()} | {f"_l_{n}": F.last(f"_p_{n}", ignorenulls=True).over(upto) for n in lasts.values()})
     # the ends of the runs before, which are all whole
     ended = summed.withColumns({f"_t{s}": F.collect_list(F.when(c_("_step") == run - 1, c_(f"_r{s}"))).over(earlier) for s in spans})
     within = ended.withColumns({f"_e{s}": c_(f"_r{s}") + F.pow(F.lit(q), c_("_step") + 1) * F.aggregate(f"_t{s}", F.lit(0.0), _decayed(q**run)) for s, q in keep.items()})
@@ -90,20 +93,21 @@ def with_history(bars: DataFrame, spans: tuple[int, ...], lasts: dict[str, str],
     # a span's row carries the end of the span before, at the position where that ended
     handed: dict[str, Column] = {}
     for s, q in keep.items():
-        near = Window.partitionBy("symbol").orderBy("_before").rangeBetween(-math.ceil(math.log(1e-18) / math.log(q)), 0)
+        near = Window.partitionBy("symbol").orderBy("_before").rangeBetween(-math.ceil(-650 * math.log(10) / math.log(q)), 0)
         ends_before = F.collect_list(F.when(c_(f"_d{s}").isNotNull(), F.struct(c_("_before").alias("at"), c_(f"_d{s}").alias("e")))).over(near)
-        handed[f"_c{s}"] = F.aggregate(ends_before, c_("_seed") * F.pow(F.lit(q), c_("_before")), _weighted(q))
+        endless = F.max(F.abs(f"_d{s}")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == float("inf")
+        handed[f"_c{s}"] = F.when(endless, float("inf")).otherwise(F.aggregate(ends_before, c_("_seed") * F.pow(F.lit(q), c_("_before")), _weighted(q)))
     for n in lasts.values():
         handed[f"_b_{n}"] = F.last(F.when(c_(f"l_{n}").isNotNull(), F.struct(F.coalesce(c_(f"l_{n}.older"), c_(f"_o_{n}")).alias("older"), c_(f"l_{n}.newer").alias("newer"))), ignorenulls=True).over(before)
     carries = counted.withColumns(handed).select("symbol", "_span", "_before", *handed)
     out = within.join(carries, ["symbol", "_span"])
     # the first bar's mean is its price to the last bit, so that neither lies below the other
     position = c_("_before") + c_("_k")
-    named = {"position": position.cast("long")} | {f"ema{s}": F.when(position == 0, c_(price)).otherwise(F.pow(F.lit(q), c_("_k") + 1) * c_(f"_c{s}") + c_(f"_e{s}")) for s, q in keep.items()}
+    named = {"position": position.cast("long")} | {f"ema{s}": F.when(position == 0, c_(price)).when(c_(f"_c{s}") == float("inf"), float("inf")).otherwise(F.pow(F.lit(q), c_("_k") + 1) * c_(f"_c{s}") + c_(f"_e{s}")) for s, q in keep.items()}
     for n in lasts.values():
         own, old = F.col(f"_l_{n}"), F.col(f"_b_{n}")
         named[f"last_{n}"] = F.array_compact(F.when(own.isNull(), F.array(old["older"], old["newer"])).otherwise(F.array(F.coalesce(own["older"], old["newer"]), own["newer"])))
-    return out.withColumns(named).drop("_span", "_k", "_run", "_step", "_before", *(f"_{k}{s}" for k in "rtec" for s in spans), *(f"_{k}_{n}" for k in "plb" for n in lasts.values()))
+    return out.withColumns(named).drop("_span", "_k", "_run", "_step", "_scale", "_before", *(f"_{k}{s}" for k in "rtec" for s in spans), *(f"_{k}_{n}" for k in "plb" for n in lasts.values()))
 
 
 def _decayed(share: float) -> Callable[[Column, Column], Column]:

@@ -78,7 +78,7 @@ def fast_score() -> dict[str, Column]:
     r4, r12, gap = c("ret4"), c("ret12"), F.abs(c("close") - c("ema20")) / _atr()
     under_high = F.greatest(F.lit(0.0), c("prior_high20") - c("close")) / _atr()
     structure = total([first_of((c("ema_bear"), 18), (c("close") < c("ema20"), 9)), on(c("lower_high"), 8), on(c("lower_low"), 8), on(c("macro_bear"), 5)])
-    stretched = F.when(_below_ema() > 2.2, -F.least(F.lit(20.0), F.floor((_below_ema() - 2.2) * 6).cast("double"))).otherwise(0.0)
+    stretched = F.when(_below_ema() > 2.2, -F.floor(F.least(F.lit(20.0), (_below_ema() - 2.2) * 6)).cast("double")).otherwise(0.0)  # at most 20 first: a whole number of NaN would be 0
     parts = {
         "bear_structure": F.least(F.lit(34.0), structure),
         "momentum": total([first_of(((r4 >= -6) & (r4 <= -0.25), 8), ((r4 >= -10) & (r4 < -6), 4)), on((r12 >= -12) & (r12 <= -0.5), 6), on((r4 > 0) & (under_high <= 1), 5)]),
