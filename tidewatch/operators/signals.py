@@ -46,7 +46,7 @@ def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int,
         "volume_ratio": W.volume_ratio(), "vwap": W.vwap(), "bb_z": F.when(wide, z["bb_z"]).otherwise(0.0), "bb_failed": F.coalesce(wide & (F.col("high") > upper) & (F.col("close") < upper), F.lit(False)),
         "rejection": rejection(), "sweep": F.col("sweep_bars_ago").isNotNull(), "close_before": F.lag("close").over(w), "high_before": F.lag("high").over(w), "low_before": F.lag("low").over(w), "close_3_ago": F.coalesce(F.lag("close", 3).over(w), F.col("close")),
         "prior_high20": F.coalesce(F.max("high").over(W.rows(-20, -1)), F.col("high")), "high12": F.max("high").over(W.rows(-11, 0)), "low12": F.min("low").over(W.rows(-11, 0)), "low24": F.min("low").over(W.rows(-23, 0)),
-        "position24": F.when(full(10), F.least(F.greatest(F.coalesce(W.range_position(24), F.lit(0.5)), zero), F.lit(1.0))), "position48": F.when(full(10), F.coalesce(W.range_position(48), F.lit(0.5))), "turnover": F.sum("amount").over(W.rows(-23, 0)), "low_spread12": F.max("low").over(W.rows(-11, 0)) - F.min("low").over(W.rows(-11, 0)),
+        "position24": F.when(full(10), F.coalesce(W.range_position(24), F.lit(0.5))), "position48": F.when(full(10), F.coalesce(W.range_position(48), F.lit(0.5))), "turnover": F.sum("amount").over(W.rows(-23, 0)), "low_spread12": F.max("low").over(W.rows(-11, 0)) - F.min("low").over(W.rows(-11, 0)),
         "bars_so_far": F.count("close").over(W.rows(-99, 0)), "bar_no": F.row_number().over(w),
     })
     own = own.withColumn("known_at", F.timestamp_seconds(F.unix_seconds("ts") + one_step))
@@ -54,7 +54,7 @@ def signal_rows(one: DataFrame, four: DataFrame, four_step: int, one_step: int,
     both = as_of(own, coarse, ["symbol"], "known_at", "closed_at", [f"s4_{c}" for c in coarse_columns])
     below = F.filter(F.concat("swing_lows", F.coalesce("s4_swing_lows", F.array().cast("array<double>"))), lambda x: x < F.col("close"))
     distances = F.least(*(F.col(c) for c in ("zone_distance_atr", "s4_zone_distance_here")))
-    here = lambda lo, hi: quotient(F.when((F.col("close") >= F.col(lo)) & (F.col("close") <= F.col(hi)), 0.0).otherwise(F.least(F.abs(F.col("close") - F.col(lo)), F.abs(F.col("close") - F.col(hi)))), F.col("atr"))
+    here = lambda lo, hi: F.when((F.col("close") >= F.col(lo)) & (F.col("close") <= F.col(hi)), 0.0).otherwise(quotient(F.least(F.abs(F.col("close") - F.col(lo)), F.abs(F.col("close") - F.col(hi))), F.col("atr")))
     return both.withColumn("s4_zone_distance_here", F.when(F.col("s4_zone_lower").isNotNull(), here("s4_zone_lower", "s4_zone_upper"))).withColumns({"nearest_support": F.array_max(below), "supply_distance": distances})
 
 
