@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ("e1_fast_score", "p9_setup_router", "w30_bias_location_trigger", "e5_engine_candidates")
+NAMES = ("e1_fast_score", "p9_setup_router", "w30_bias_location_trigger", "e5_engine_candidates", "p7_hard_gate")
 
 
 @pytest.fixture(scope="module")
